@@ -15,7 +15,7 @@ from roomsense.functions import hour_bucket, status_fixed, status_text, tile_tex
 from roomsense.operators.environment import env_score, peak_by_sector
 from roomsense.plans.joins import maybe_broadcast
 from roomsense.plans.latest import latest
-from roomsense.plans.windows import anchor, days, hours, since
+from roomsense.plans.windows import anchor, days, hours, latest_time, since
 from roomsense.tables import Tables
 
 
@@ -90,20 +90,24 @@ def sector_heatmap(t: Tables, *, as_of=None) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("alerts_24h")))
     # both are one row per sector at most: bounded by the checked dimensions
     small = t.is_small("sensors") and t.is_small("sectors")
-    reading = latest(t.env, [], ["co2", "voc"]).select(F.col("r").alias("r")).scalar()
+    reading = latest(since(t.env, latest_time(t.env)), [], ["co2", "voc"]).select(F.col("r").alias("r")).scalar()
     history = co2_history(t, as_of=as_of)
     sec = t.sectors.where(F.col("active") == 1).select("sector_id", "sector_name", "sector_type", "max_capacity")
     tiles = (sec.join(maybe_broadcast(people, small), "sector_id", "left")
              .join(maybe_broadcast(alerts, small), "sector_id", "left"))
-    co2, voc = reading.getField("co2"), reading.getField("voc")
-    status = status_fixed(co2, voc)
+    # each scalar subquery is projected once; the columns below only read
+    # its attribute (a subquery is not "cheap", so the projections stay apart)
+    staged = tiles.select("*", reading.alias("_rd"), history.alias("_hist"))
+    co2, voc = F.col("_rd.co2"), F.col("_rd.voc")
     n_alerts = F.coalesce("alerts_24h", F.lit(0)).cast("bigint")
-    return tiles.select(
+    out = staged.select(
         "sector_id", "sector_name", "sector_type", "max_capacity",
         F.coalesce(F.col("r.people"), F.lit(0)).cast("int").alias("people"),
         F.round(F.coalesce(co2, F.lit(0.0)), 0).alias("co2"),
         F.round(F.coalesce(voc, F.lit(0.0)), 0).alias("voc"),
-        status.alias("status"), n_alerts.alias("alerts_24h"),
-        F.coalesce(history, F.array().cast("array<double>")).alias("co2_history"),
-        status_text(status).alias("status_label"), tile_text(n_alerts).alias("tile_text"),
-    )
+        status_fixed(co2, voc).alias("status"), n_alerts.alias("alerts_24h"),
+        F.coalesce(F.col("_hist"), F.array().cast("array<double>")).alias("co2_history"),
+        tile_text(n_alerts).alias("tile_text"))
+    return out.withColumn("status_label", status_text("status")).select(
+        "sector_id", "sector_name", "sector_type", "max_capacity", "people", "co2", "voc", "status",
+        "alerts_24h", "co2_history", "status_label", "tile_text")

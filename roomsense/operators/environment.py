@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roomsense.functions import (ddmm_hhmm, env_score as score_expr, hhmm, hour_bucket, pct_change,
                                  status_fixed, trend)
 from roomsense.plans.latest import last_n, latest
-from roomsense.plans.windows import anchor, as_of_col, days, hours, minutes, ntz, period_hours, since
+from roomsense.plans.windows import anchor, as_of_col, days, hours, latest_time, minutes, ntz, period_hours, since
 from roomsense.tables import Tables
 
 ENV_VARS = ("co2", "voc", "temperature", "humidity")
@@ -85,7 +85,10 @@ def _whole():
 def env_score(t: Tables) -> DataFrame:
     """Latest reading (ties on ts broken by id) -> 0-100 score and
     status.  An empty table scores 100 / NORMAL (C15)."""
-    r = latest(t.env, [], ["co2", "voc", "temperature", "humidity", "noise", "ts"])
+    # the newest reading has ts = max(ts): read only rows at that time (on
+    # day-partitioned facts, one day partition)
+    newest = since(t.env, latest_time(t.env))
+    r = latest(newest, [], ["co2", "voc", "temperature", "humidity", "noise", "ts"])
     co2 = F.coalesce(F.col("r.co2"), F.lit(0.0))
     voc = F.coalesce(F.col("r.voc"), F.lit(0.0))
     return r.select(

@@ -46,9 +46,19 @@ def as_of_col(as_of=None) -> Column:
     return ntz(as_of)
 
 
+def latest_time(env: DataFrame) -> Column:
+    """max(ts) as a scalar subquery.  On a day-partitioned fact the newest
+    day comes first (a partition column: file footers only), then max(ts) is
+    read from that one day's partition instead of the whole table."""
+    if "day" in env.columns:
+        last_day = env.select(F.max("day")).scalar()
+        return env.where(F.col("day") >= last_day).select(F.max("ts")).scalar()
+    return env.select(F.max("ts")).scalar()
+
+
 def anchor(env: DataFrame, as_of=None) -> Column:
     """max(ts) of the environment readings, else ``as_of``."""
-    return F.coalesce(env.select(F.max("ts")).scalar(), as_of_col(as_of))
+    return F.coalesce(latest_time(env), as_of_col(as_of))
 
 
 def hours(n: int) -> Column:

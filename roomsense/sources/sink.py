@@ -35,7 +35,10 @@ def write_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
     """Append one batch; overwrite of the batch folder keeps replays idempotent."""
     out = f"{table_path(root, table)}/batch_id={batch_id}"
     if table in FACT_SCHEMAS:
-        df.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(out)
+        # sorted by (sensor, time) inside each day: row-group min/max on
+        # sensor_id and ts let per-sensor and time-range reads skip groups
+        (df.withColumn("day", F.to_date("ts")).sortWithinPartitions("day", "sensor_id", "ts")
+         .write.mode("overwrite").partitionBy("day").parquet(out))
     else:
         df.write.mode("overwrite").parquet(out)
 
