@@ -75,36 +75,41 @@ def first_per_key(batch: DataFrame, arrival: str = ARRIVAL) -> DataFrame:
     return by_id.groupBy("sensor_id", "ts").agg(F.min_by(row, F.col("id")).alias("r")).select("r.*")
 
 
-def drop_stored(batch: DataFrame, target: DataFrame, batch_small: bool | None = None) -> DataFrame:
+def drop_stored(batch: DataFrame, target: DataFrame, batch_small: bool | None = None,
+                keys: DataFrame | None = None) -> DataFrame:
     """C7 step 3: drop rows already stored under either key.
 
-    The target is first narrowed to the batch's id range and time range
-    (literal bounds: parquet row-group skipping and ``day`` partition
-    pruning).  When the batch is proven small, the target streams past the
-    broadcast batch keys (semi-join) so only colliding keys are kept and the
-    big side is never shuffled; otherwise both sides shuffle on the key.
+    ``keys`` (default: ``batch``) is any frame holding at least the batch's
+    ids and (sensor_id, ts) keys — the raw, already materialised input works,
+    so the de-duplicated batch is not recomputed for the key sets.  The
+    target is first narrowed to the keys' id range and time range (literal
+    bounds: parquet row-group skipping and ``day`` partition pruning).  When
+    the keys are proven small, the target streams past them broadcast
+    (semi-join), so only colliding target keys survive and the big side is
+    never shuffled; otherwise both sides shuffle on the key.
     """
-    b = batch.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("ts").alias("t0"),
-                  F.max("ts").alias("t1")).first()
+    keys = batch if keys is None else keys
+    b = keys.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("ts").alias("t0"),
+                 F.max("ts").alias("t1")).first()
     if b is None or b["lo"] is None:
         return batch
     if batch_small is None:
-        batch_small = fits_broadcast(batch, DIM_ROW_BOUND)
+        batch_small = fits_broadcast(keys, DIM_ROW_BOUND)
     by_id = target.where(F.col("id").between(b["lo"], b["hi"])).select("id")
     by_key = target.where(F.col("ts").between(b["t0"], b["t1"]))
     if "day" in target.columns:
         by_key = by_key.where(F.col("day").between(b["t0"].date(), b["t1"].date()))
     by_key = by_key.select("sensor_id", "ts")
     if batch_small:
-        by_id = by_id.join(F.broadcast(batch.select("id")), "id", "left_semi")
-        by_key = by_key.join(F.broadcast(batch.select("sensor_id", "ts")), ["sensor_id", "ts"], "left_semi")
+        by_id = by_id.join(F.broadcast(keys.select("id").where(F.col("id").isNotNull())), "id", "left_semi")
+        by_key = by_key.join(F.broadcast(keys.select("sensor_id", "ts")), ["sensor_id", "ts"], "left_semi")
     return batch.join(by_id, "id", "left_anti").join(by_key, ["sensor_id", "ts"], "left_anti")
 
 
 def dedupe(batch: DataFrame, target: DataFrame, arrival: str = ARRIVAL) -> DataFrame:
     """I02 insert-ignore as a set operation."""
     firsts = first_per_key(batch, arrival)
-    return drop_stored(firsts, target).drop(arrival)
+    return drop_stored(firsts, target, keys=batch).drop(arrival)
 
 
 def sensor_mapping(sensor_id) -> tuple:
