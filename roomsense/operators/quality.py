@@ -64,29 +64,37 @@ def _fact_checks(t: Tables, fact: DataFrame, table: str, required: list[str]) ->
         for c in ["not_null", "fk_sensor", "unique_id", "unique_sensor_ts"]])))
 
 
-def _dim_checks(t: Tables) -> list[DataFrame]:
-    def one(df, table, check, cond):
-        return df.agg(F.count_if(cond).cast("bigint").alias("violations")).select(
-            F.lit(table).alias("table_name"), F.lit(check).alias("check"), "violations")
+def _checks_one_pass(rows: DataFrame, table: str, key: str, flags: list[str]) -> DataFrame:
+    """Per-row 0/1 flags plus the uniqueness of ``key`` from one scan:
+    grouping sets (key) and () over the flagged rows."""
+    g = rows.groupingSets([[key], []], key).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in flags], F.grouping_id().alias("gid"))
+    dup = F.when(F.col("n") > 1, F.col("n") - 1).otherwise(F.lit(0))
+    s = g.agg(F.sum(F.when(F.col("gid") == 0, dup)).alias("unique_id"),
+              *[F.sum(F.when(F.col("gid") == 1, F.col(f))).alias(f) for f in flags])
+    return s.select(F.inline(F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("check"),
+                 F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("violations"))
+        for c in ["unique_id", *flags]])))
 
-    def dup(df, table, key):
-        g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        return g.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).cast("bigint").alias(
-            "violations")).select(F.lit(table).alias("table_name"), F.lit("unique_id").alias("check"), "violations")
 
+def _dim_checks(t: Tables) -> list[DataFrame]:
     sectors = t.dim("sectors").select("sector_id", F.lit(1).alias("_sec"))
     sensors = t.dim("sensors").select("sensor_id", F.lit(1).alias("_sen"))
-    sen = t.sensors.join(sectors, "sector_id", "left")
-    al = t.alerts.join(sectors, "sector_id", "left").join(sensors, "sensor_id", "left")
+    sec_dup = _checks_one_pass(t.sectors.select("sector_id"), "sectors", "sector_id", [])
+    sen = t.sensors.select("sensor_id", "sector_id").join(sectors, "sector_id", "left").select(
+        "sensor_id", F.col("_sec").isNull().cast("int").alias("fk_sector"))
+    al = (t.alerts.select("alert_id", "sector_id", "sensor_id", "status", "severity")
+          .join(sectors, "sector_id", "left").join(sensors, "sensor_id", "left")
+          .select("alert_id",
+                  F.col("_sec").isNull().cast("int").alias("fk_sector"),
+                  F.col("_sen").isNull().cast("int").alias("fk_sensor"),
+                  (~F.col("status").isin(*ALERT_STATUSES)).cast("int").alias("domain_status"),
+                  (~F.col("severity").isin(*ALERT_SEVERITIES)).cast("int").alias("domain_severity")))
     return [
-        dup(t.sectors, "sectors", "sector_id"),
-        dup(t.sensors, "sensors", "sensor_id"),
-        one(sen, "sensors", "fk_sector", F.col("_sec").isNull()),
-        dup(t.alerts, "alerts", "alert_id"),
-        one(al.select("_sec"), "alerts", "fk_sector", F.col("_sec").isNull()),
-        one(al.select("_sen"), "alerts", "fk_sensor", F.col("_sen").isNull()),
-        one(t.alerts, "alerts", "domain_status", ~F.col("status").isin(*ALERT_STATUSES)),
-        one(t.alerts, "alerts", "domain_severity", ~F.col("severity").isin(*ALERT_SEVERITIES)),
+        sec_dup,
+        _checks_one_pass(sen, "sensors", "sensor_id", ["fk_sector"]),
+        _checks_one_pass(al, "alerts", "alert_id", ["fk_sector", "fk_sensor", "domain_status", "domain_severity"]),
     ]
 
 
