@@ -33,6 +33,8 @@ class IngestJob:
     store_root: str
     kind: str
     eight_bit: bool = False
+    initial_days: int | None = None   # S02: first pass keeps only this date window
+    as_of: object = None              # clock of the initial window (default: now)
 
     @property
     def table(self) -> str:
@@ -62,6 +64,11 @@ class IngestJob:
         try:
             received = raw.count()
             parsed = ops.parse_feed(raw, self.kind)
+            if self.initial_days is not None and batch_id == 0:
+                # The first pass is a date window; a retried first
+                # pass is batch 0 again, so it is again a date window
+                parsed = landing.initial_window(parsed, self.initial_days, as_of=self.as_of).unionByName(
+                    parsed.where(F.col("ts").isNull()))
             good, bad = ops.split_valid(parsed, self.kind, eight_bit=self.eight_bit)
             bad_cols = [c for c in bad.columns if c != ops.ARRIVAL]
             sink.write_batch(bad.select(*bad_cols), self.store_root, f"quarantine_{self.kind}", batch_id)

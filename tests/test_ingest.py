@@ -118,3 +118,26 @@ def test_high_water_mark(spark):
     assert spark.range(1).select(landing.high_water_mark(df).alias("m")).first().m == 9
     empty = df.where(F.lit(False))
     assert spark.range(1).select(landing.high_water_mark(empty).alias("m")).first().m is None
+
+
+def _env(i, data, sensor, co2):
+    return {"id": i, "data": data, "id_sensor": sensor, "delta": 60, "luminosidade": 300.0, "umidade": 50.0,
+            "temperatura": 22.0, "voc": 100.0, "co2": co2, "pressao_ar": 1013.0, "ruido": 40.0,
+            "aerosol_parado": 0, "aerosol_risco": 0, "ponto_orvalho": 10.0}
+
+
+def test_env_feed_with_initial_window(spark, store, tmp_path):
+    land = str(tmp_path / "landing_env")
+    _land(land, "a.json", [_env(10, "2026-01-15 08:00:00", 1, 700.0), _env(11, "2026-01-10 08:00:00", 1, 650.0),
+                           _env(12, "2026-01-15 09:00:00", 1, None)], 1_000_000)
+    job = IngestJob(spark, store, "env", initial_days=1, as_of="2026-01-15 10:00:00")
+    q = job.start(land, checkpoint=str(tmp_path / "ck_env"), available_now=True, max_files_per_trigger=1)
+    q.awaitTermination()
+    # id 11 is outside the first pass's date window; id 12 lacks co2 (quarantine)
+    assert stored_ids(spark, store, "env") == [10]
+    assert sorted(r.id for r in spark.read.parquet(f"{store}/quarantine_env").collect()) == [12]
+    _land(land, "b.json", [_env(11, "2026-01-10 08:00:00", 1, 650.0)], 2_000_000)
+    q = job.start(land, checkpoint=str(tmp_path / "ck_env"), available_now=True, max_files_per_trigger=1)
+    q.awaitTermination()
+    # later passes take whatever lands, old event times included
+    assert stored_ids(spark, store, "env") == [10, 11]
