@@ -15,7 +15,7 @@ from roomsense.functions import hour_bucket, status_fixed, status_text, tile_tex
 from roomsense.operators.environment import env_score, peak_by_sector
 from roomsense.plans.joins import maybe_broadcast
 from roomsense.plans.latest import latest
-from roomsense.plans.windows import anchor, days, hours, latest_time, since
+from roomsense.plans.windows import days, hours, since
 from roomsense.tables import Tables
 
 
@@ -35,7 +35,7 @@ def sector_directory(t: Tables) -> DataFrame:
 def odour_events(t: Tables, *, as_of=None) -> DataFrame:
     """VOC alerts (severity other than NORMAL) fired in the day before
     the environment anchor (the alert table uses the readings' clock, C1)."""
-    a = anchor(t.env, as_of)
+    a = t.anchor(as_of)
     hit = ((F.col("parameter") == "VOC") & (F.col("severity") != "NORMAL") & (F.col("fired_at") >= a - days(1)))
     return t.alerts.where(hit).agg(F.count(F.lit(1)).alias("odour_events"))
 
@@ -65,7 +65,7 @@ def co2_history(t: Tables, *, as_of=None, points: int = 6, window_hours: int = 6
     """Hourly mean CO2 of the last 6 hours before the anchor, newest
     6 buckets (a 6-hour window can touch 7), oldest first, rounded to units.
     Returns a scalar Column (array<double>)."""
-    a = anchor(t.env, as_of)
+    a = t.anchor(as_of)
     hourly = (since(t.env, a - hours(window_hours)).groupBy(hour_bucket("ts").alias("b"))
               .agg(F.min("ts").alias("first_ts"), F.avg("co2").alias("co2")))
     newest = F.slice(F.sort_array(F.collect_list(F.struct("first_ts", "co2")), asc=False), 1, points)
@@ -82,15 +82,18 @@ def sector_heatmap(t: Tables, *, as_of=None) -> DataFrame:
     alerts_24h  alerts of the sector fired in the day before the anchor
     co2_history 6-point hourly CO2 history (array, oldest first)
     """
-    a = anchor(t.env, as_of)
+    a = t.anchor(as_of)
     sensor_sector = t.sensor_sector().select("sensor_id", "sector_id")
-    people = latest(t.occ.select("sensor_id", "ts", "id", "people").join(sensor_sector, "sensor_id"),
+    people = latest(t.occ_newest().select("sensor_id", "ts", "id", "people").join(sensor_sector, "sensor_id"),
                     ["sector_id"], ["people"])
-    alerts = (t.alerts.where(F.col("fired_at") >= a - days(1)).groupBy("sector_id")
-              .agg(F.count(F.lit(1)).alias("alerts_24h")))
+    # keys limited to existing sectors (broadcast semi-join on the checked
+    # dimension), so the aggregate is provably at most one row per sector
+    alerts = (t.alerts.where(F.col("fired_at") >= a - days(1)).select("sector_id")
+              .join(t.dim("sectors").select("sector_id"), "sector_id", "left_semi")
+              .groupBy("sector_id").agg(F.count(F.lit(1)).alias("alerts_24h")))
     # both are one row per sector at most: bounded by the checked dimensions
     small = t.is_small("sensors") and t.is_small("sectors")
-    reading = latest(since(t.env, latest_time(t.env)), [], ["co2", "voc"]).select(F.col("r").alias("r")).scalar()
+    reading = latest(since(t.env_newest(), t.latest_env_time()), [], ["co2", "voc"]).select(F.col("r").alias("r")).scalar()
     history = co2_history(t, as_of=as_of)
     sec = t.sectors.where(F.col("active") == 1).select("sector_id", "sector_name", "sector_type", "max_capacity")
     tiles = (sec.join(maybe_broadcast(people, small), "sector_id", "left")

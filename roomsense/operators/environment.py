@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roomsense.functions import (ddmm_hhmm, env_score as score_expr, hhmm, hour_bucket, pct_change,
                                  status_fixed, trend)
 from roomsense.plans.latest import last_n, latest
-from roomsense.plans.windows import anchor, as_of_col, days, hours, latest_time, minutes, ntz, period_hours, since
+from roomsense.plans.windows import as_of_col, days, hours, minutes, ntz, period_hours, since
 from roomsense.tables import Tables
 
 ENV_VARS = ("co2", "voc", "temperature", "humidity")
@@ -22,7 +22,7 @@ def env_summary(t: Tables, *, as_of=None) -> DataFrame:
     """Q02: mean CO2/VOC/temp/humidity of the day before the anchor, % change
     against the day before that (both BETWEEN ends closed, C3), time of the
     latest reading.  One scan, conditional averages."""
-    a = anchor(t.env, as_of)
+    a = t.anchor(as_of)
     cut = a - days(1)
     rows = since(t.env, a - days(2)).select("ts", *ENV_VARS)
     cur = F.col("ts") >= cut
@@ -47,7 +47,7 @@ def env_hourly(t: Tables, period: str = "24h", *, as_of=None) -> DataFrame:
     """Q05: hourly means over 24h / 7d / 30d before the anchor.  An N-hour
     window touches up to N+1 buckets (C3); empty hours give no row (C4); the
     label is the earliest reading of the bucket (C5)."""
-    a = anchor(t.env, as_of)
+    a = t.anchor(as_of)
     rows = since(t.env, a - hours(period_hours(period))).select("ts", *ENV_VARS)
     g = rows.groupBy(hour_bucket("ts").alias("bucket")).agg(
         F.min("ts").alias("first_ts"), *[F.avg(v).alias(v) for v in ENV_VARS])
@@ -87,7 +87,7 @@ def env_score(t: Tables) -> DataFrame:
     status.  An empty table scores 100 / NORMAL (C15)."""
     # the newest reading has ts = max(ts): read only rows at that time (on
     # day-partitioned facts, one day partition)
-    newest = since(t.env, latest_time(t.env))
+    newest = since(t.env_newest(), t.latest_env_time())
     r = latest(newest, [], ["co2", "voc", "temperature", "humidity", "noise", "ts"])
     co2 = F.coalesce(F.col("r.co2"), F.lit(0.0))
     voc = F.coalesce(F.col("r.voc"), F.lit(0.0))
@@ -102,7 +102,7 @@ def env_score(t: Tables) -> DataFrame:
 def peak_by_sector(t: Tables, *, as_of=None) -> DataFrame:
     """Sector (by name, same names merge) with the highest CO2 and the
     highest VOC in the day before the anchor; ties -> lower name (C6)."""
-    a = anchor(t.env, as_of)
+    a = t.anchor(as_of)
     rows = since(t.env, a - days(1)).select("sensor_id", "co2", "voc")
     per = (rows.join(t.sensor_sector().select("sensor_id", "sector_name"), "sensor_id")
            .groupBy("sector_name").agg(F.max("co2").alias("mc"), F.max("voc").alias("mv")))
@@ -143,7 +143,7 @@ def sensor_window(t: Tables, sensor_id: int | None = None, around=None, half_wid
 def latest_status(t: Tables) -> DataFrame:
     """Q14: latest reading per sensor with its sector and fixed-limit status.
     Aggregate first (one row per sensor), then join the dimensions."""
-    r = latest(t.env, ["sensor_id"], ["ts", "co2", "voc", "temperature", "humidity", "noise"])
+    r = latest(t.env_newest(), ["sensor_id"], ["ts", "co2", "voc", "temperature", "humidity", "noise"])
     j = r.join(t.sensor_sector(), "sensor_id")
     return j.select("sector_id", "sector_name", "sector_type", "sensor_id",
                     F.col("r.ts").alias("last_ts"), F.col("r.co2").alias("co2"), F.col("r.voc").alias("voc"),

@@ -47,9 +47,10 @@ def _requested_sectors(t: Tables, sector_id: int | None) -> DataFrame:
                     F.coalesce("_known", F.lit(False)).alias("_known"))
 
 
-def _counter_readings(t: Tables, sector_id: int | None) -> DataFrame:
+def _counter_readings(t: Tables, sector_id: int | None, depth: int = 1) -> DataFrame:
+    """Readings of the counters: the recent snapshot when it is deep enough."""
     pick = counter_sensor(t, sector_id)
-    return t.occ.select("id", "ts", "sensor_id", "people", "delta_s").join(pick, "sensor_id", "inner")
+    return t.occ_newest(depth).select("id", "ts", "sensor_id", "people", "delta_s").join(pick, "sensor_id", "inner")
 
 
 def occupancy_now(t: Tables, sector_id: int | None = None) -> DataFrame:
@@ -70,7 +71,7 @@ def occupancy_now(t: Tables, sector_id: int | None = None) -> DataFrame:
 def occupancy_history(t: Tables, sector_id: int | None = None, n: int = 20) -> DataFrame:
     """Q04: the last ``n`` readings of the sector's counter, oldest first;
     ``recency`` 1 is the newest."""
-    ranked = last_n(_counter_readings(t, sector_id), ["sensor_id"], n)
+    ranked = last_n(_counter_readings(t, sector_id, n), ["sensor_id"], n)
     return ranked.select("sector_id", "sensor_id", "recency", "people", "delta_s",
                          hhmm("ts").alias("time_label"), "ts").orderBy("sector_id", "ts", "recency")
 
@@ -85,7 +86,7 @@ def occupancy_events(t: Tables, sector_id: int | None = None, readings: int = 12
     the whole report is one shuffle of at most 12 rows per sensor and map task.
     """
     caps = _requested_sectors(t, sector_id).select("sector_id", "max_capacity")
-    reads = _counter_readings(t, sector_id).join(caps, "sector_id", "left")
+    reads = _counter_readings(t, sector_id, readings).join(caps, "sector_id", "left")
     cut = last_n(reads, ["sensor_id"], readings, rank="rn")
     w = Window.partitionBy("sensor_id").orderBy(F.col("ts").desc(), F.col("id").desc())
     change = F.col("people") - F.lead("people").over(w)

@@ -73,7 +73,7 @@ def _type_limits(t: Tables) -> DataFrame:
 def status_by_threshold(t: Tables) -> DataFrame:
     """Q22 on Q14's rows: latest reading per sensor, status from its sector
     type's CO2 and VOC limits (strict '>', NULL tier absent)."""
-    r = latest(t.env, ["sensor_id"], ["ts", "co2", "voc"])
+    r = latest(t.env_newest(), ["sensor_id"], ["ts", "co2", "voc"])
     j = r.join(t.sensor_sector().select("sensor_id", "sector_id", "sector_type"), "sensor_id")
     lim = _type_limits(t).where(F.col("parameter").isin("CO2", "VOC"))
     wide = lim.groupBy("sector_type").agg(

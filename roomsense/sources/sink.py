@@ -71,3 +71,48 @@ def seed_store(root: str, sectors: DataFrame, sensors: DataFrame) -> None:
     """Initial dimension rows of a store (batch -1)."""
     write_batch(sectors, root, "sectors", -1)
     write_batch(sensors, root, "sensors", -1)
+
+
+# -- recent snapshots: the newest readings per sensor, one folder per batch ------------
+
+def snapshot_path(root: str, table: str) -> str:
+    return f"{root.rstrip('/')}/recent_{table}"
+
+
+def write_snapshot(df: DataFrame, root: str, table: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{snapshot_path(root, table)}/batch_id={batch_id}")
+
+
+def read_snapshot(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame | None:
+    """The newest snapshot (optionally: newest older than batch ``before``);
+    None when none was written.  max(batch_id) reads partition values only,
+    and the equality on it prunes every other snapshot folder."""
+    path = snapshot_path(root, table)
+    if not _exists(spark, path):
+        return None
+    schema = _with_partitions(FACT_SCHEMAS[table], fact=False)
+    df = spark.read.schema(schema).option("basePath", path).parquet(path)
+    if before is not None:
+        df = df.where(F.col("batch_id") < before)
+    newest = df.select(F.max("batch_id")).scalar()
+    return df.where(F.col("batch_id") == newest).drop("batch_id")
+
+
+def prune_snapshots(spark: SparkSession, root: str, table: str, keep_from: int) -> None:
+    """Remove snapshot folders older than batch ``keep_from`` (readers that
+    planned against a slightly older snapshot keep working: the newest few stay)."""
+    path = snapshot_path(root, table)
+    if not _exists(spark, path):
+        return
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if name.startswith("batch_id="):
+            try:
+                bid = int(name.split("=", 1)[1])
+            except ValueError:
+                continue
+            if bid < keep_from:
+                fs.delete(status.getPath(), True)

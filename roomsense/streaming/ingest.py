@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomsense.operators import ingest as ops
+from roomsense.plans.latest import last_n
 from roomsense.sources import landing, sink
+from roomsense.tables import RECENT_DEPTH
 
 TABLE_OF = {"env": "env_readings", "occ": "occupancy_readings"}
 
@@ -86,6 +88,7 @@ class IngestJob:
             accepted = ops.dedupe(good.select(*keep, ops.ARRIVAL), stored).persist()
             inserted = accepted.count()
             sink.write_batch(accepted, self.store_root, self.table, batch_id)
+            self.update_recent(accepted, batch_id)
             accepted.unpersist()
             counters = {"batch_id": batch_id, "received": received, "inserted": inserted}
             spark.createDataFrame([counters]).write.mode("overwrite").json(
@@ -94,6 +97,17 @@ class IngestJob:
         finally:
             raw.unpersist()
 
+    def update_recent(self, accepted: DataFrame, batch_id: int, keep: int = 3) -> None:
+        """Newest RECENT_DEPTH readings per sensor: previous snapshot (at most
+        depth x sensors rows) merged with this batch's accepted rows.  A replay
+        of batch N merges with snapshot N-1 again, so it rewrites the same
+        snapshot."""
+        prev = sink.read_snapshot(self.spark, self.store_root, self.table, before=batch_id)
+        merged = accepted if prev is None else prev.unionByName(accepted.select(*prev.columns))
+        snap = last_n(merged, ["sensor_id"], RECENT_DEPTH, rank="_rank").drop("_rank")
+        sink.write_snapshot(snap, self.store_root, self.table, batch_id)
+        sink.prune_snapshots(self.spark, self.store_root, self.table, keep_from=batch_id - keep + 1)
+
     def start(self, landing_dir: str, checkpoint: str | None = None, available_now: bool = False,
               max_files_per_trigger: int | None = None, period: str = "60 seconds"):
         if checkpoint is None:

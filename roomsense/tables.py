@@ -1,10 +1,11 @@
-"""The six tables a report reads, plus the size checks of the dimensions."""
+"""The six tables a report reads, plus the size checks of the dimensions and
+the optional per-sensor "recent readings" snapshots."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomsense.plans.joins import DIM_ROW_BOUND, fits_broadcast, maybe_broadcast
@@ -19,15 +20,27 @@ STORAGE_NAMES = {
     "alerts": "alerts",
 }
 
+# Readings per sensor kept by the recent snapshots: the deepest per-sensor
+# report is Q04 (last 20); Q12 needs 12, the latest-reading reports 1.
+RECENT_DEPTH = 20
+
 
 @dataclass
 class Tables:
+    """``recent_env`` / ``recent_occ``, when given, hold at least the newest
+    ``RECENT_DEPTH`` readings of every sensor (the ingest job maintains them,
+    one small snapshot per micro-batch).  Reports that only look at a
+    sensor's newest readings then read the snapshot — O(sensors) rows — instead
+    of the whole history; their results are identical either way."""
+
     sectors: DataFrame
     sensors: DataFrame
     env: DataFrame
     occ: DataFrame
     thresholds: DataFrame
     alerts: DataFrame
+    recent_env: DataFrame | None = None
+    recent_occ: DataFrame | None = None
     dim_row_bound: int = DIM_ROW_BOUND
     _small: dict = field(default_factory=dict, repr=False)
 
@@ -48,16 +61,53 @@ class Tables:
         # bounded by the sensors row count, checked above
         return maybe_broadcast(joined, self.is_small("sensors") and self.is_small("sectors"))
 
-    def replace(self, **frames: DataFrame) -> "Tables":
-        values = {n: getattr(self, n) for n in TABLE_NAMES}
+    # -- newest readings per sensor -------------------------------------------------
+
+    def env_newest(self, depth: int = 1) -> DataFrame:
+        """Environment rows containing every sensor's newest ``depth`` readings."""
+        if self.recent_env is not None and depth <= RECENT_DEPTH:
+            return self.recent_env
+        return self.env
+
+    def occ_newest(self, depth: int = 1) -> DataFrame:
+        """Occupancy rows containing every sensor's newest ``depth`` readings."""
+        if self.recent_occ is not None and depth <= RECENT_DEPTH:
+            return self.recent_occ
+        return self.occ
+
+    def latest_env_time(self) -> Column:
+        """max(ts) of the environment readings (scalar subquery): from the
+        snapshot when there is one, else from the newest day partition."""
+        from roomsense.plans.windows import latest_time
+        return latest_time(self.env_newest())
+
+    def anchor(self, as_of=None) -> Column:
+        """latest environment reading time, else ``as_of``."""
+        from roomsense.plans.windows import as_of_col
+        return F.coalesce(self.latest_env_time(), as_of_col(as_of))
+
+    def replace(self, **frames) -> "Tables":
+        names = TABLE_NAMES + ("recent_env", "recent_occ")
+        values = {n: getattr(self, n) for n in names}
         values.update(frames)
         return Tables(**values, dim_row_bound=self.dim_row_bound)
 
     @classmethod
     def from_storage(cls, spark: SparkSession, root: str) -> "Tables":
-        """Read the layout written by ``roomsense.sources.sink`` (one parquet
-        folder per table; facts may carry ``day`` / ``batch_id`` partitions)."""
-        frames = {n: spark.read.parquet(f"{root}/{STORAGE_NAMES[n]}") for n in TABLE_NAMES}
+        """Read the layout written by ``roomsense.sources.sink`` and the ingest
+        job: facts with ``batch_id`` / ``day`` partitions, dimensions, and the
+        newest recent snapshots when present."""
+        from roomsense.sources import sink
+        frames = {
+            "sectors": sink.read_table(spark, root, "sectors").drop("batch_id"),
+            "sensors": sink.read_table(spark, root, "sensors").drop("batch_id"),
+            "env": sink.read_table(spark, root, "env_readings"),
+            "occ": sink.read_table(spark, root, "occupancy_readings"),
+            "thresholds": spark.read.parquet(f"{root}/thresholds"),
+            "alerts": spark.read.parquet(f"{root}/alerts"),
+            "recent_env": sink.read_snapshot(spark, root, "env_readings"),
+            "recent_occ": sink.read_snapshot(spark, root, "occupancy_readings"),
+        }
         return cls(**frames)
 
 
