@@ -101,7 +101,11 @@ def read_snapshot(spark: SparkSession, root: str, table: str, before: int | None
 def prune_snapshots(spark: SparkSession, root: str, table: str, keep_from: int) -> None:
     """Remove snapshot folders older than batch ``keep_from`` (readers that
     planned against a slightly older snapshot keep working: the newest few stay)."""
-    path = snapshot_path(root, table)
+    prune_folders(spark, snapshot_path(root, table), keep_from)
+
+
+def prune_folders(spark: SparkSession, path: str, keep_from: int) -> None:
+    """Delete ``path/batch_id=K`` folders with K < keep_from."""
     if not _exists(spark, path):
         return
     jvm = spark._jvm

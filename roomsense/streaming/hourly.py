@@ -35,10 +35,34 @@ def hourly_state(readings: DataFrame, watermark: str = "31 days") -> DataFrame:
                     *[f"sum_{v}" for v in ENV_VARS])
 
 
+def _merge_state(prev: DataFrame | None, updates: DataFrame, horizon_hours: int) -> DataFrame:
+    """Current buckets = previous state overridden by this trigger's updated
+    buckets (an update carries the bucket's full running aggregate), kept
+    within ``horizon_hours`` of the newest bucket."""
+    cols = updates.columns
+    if prev is None:
+        merged = updates
+    else:
+        fresh = updates.select("bucket").withColumn("_new", F.lit(True))
+        old = prev.select(*cols).join(F.broadcast(fresh), "bucket", "left_anti")  # <= horizon rows
+        merged = old.unionByName(updates)
+    newest = merged.select(F.max("bucket")).scalar()
+    return merged.where(F.col("bucket") >= newest - hours(horizon_hours))
+
+
 def start_hourly(readings_stream: DataFrame, out_dir: str, checkpoint: str, available_now: bool = False,
-                 period: str = "30 seconds"):
+                 period: str = "30 seconds", horizon_hours: int = 31 * 24, keep: int = 3):
+    """Each trigger writes the whole current state (at most ~744 hour rows)
+    as ``out_dir/batch_id=N`` and prunes older folders, so the folder count
+    stays constant however long the stream runs; a replayed trigger merges
+    with state N-1 again and rewrites the same folder."""
+    spark = readings_stream.sparkSession
+
     def write(df: DataFrame, batch_id: int) -> None:
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        prev = _read_state(spark, out_dir, before=batch_id)
+        state = _merge_state(prev, df, horizon_hours)
+        state.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        _prune(spark, out_dir, keep_from=batch_id - keep + 1)
 
     w = (hourly_state(readings_stream).writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
@@ -46,12 +70,26 @@ def start_hourly(readings_stream: DataFrame, out_dir: str, checkpoint: str, avai
     return w.start()
 
 
-def read_hourly(spark: SparkSession, out_dir: str, env: DataFrame, period: str = "24h", *, as_of=None) -> DataFrame:
-    """Q05 from the streamed state: newest version per bucket, the same
-    anchor window and rounding as the batch report."""
+def _read_state(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame | None:
+    from roomsense.sources.sink import _exists
+    if not _exists(spark, out_dir):
+        return None
     log = spark.read.parquet(out_dir)
-    cur = log.groupBy("bucket").agg(F.max_by(F.struct(*[c for c in log.columns if c != "batch_id"]),
-                                             "batch_id").alias("s")).select("s.*")
+    if before is not None:
+        log = log.where(F.col("batch_id") < before)
+    newest = log.select(F.max("batch_id")).scalar()
+    return log.where(F.col("batch_id") == newest).drop("batch_id")
+
+
+def _prune(spark: SparkSession, out_dir: str, keep_from: int) -> None:
+    from roomsense.sources.sink import prune_folders
+    prune_folders(spark, out_dir, keep_from)
+
+
+def read_hourly(spark: SparkSession, out_dir: str, env: DataFrame, period: str = "24h", *, as_of=None) -> DataFrame:
+    """Q05 from the streamed state: the newest state folder, the same anchor
+    window and rounding as the batch report."""
+    cur = _read_state(spark, out_dir)
     a = anchor(env, as_of)
     cur = cur.where(F.col("bucket") >= F.date_trunc("hour", a - hours(period_hours(period))).cast("timestamp_ntz"))
     return cur.select(
