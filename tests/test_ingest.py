@@ -158,3 +158,16 @@ def test_ingest_maintains_recent_snapshot(spark, store, tmp_path):
     import os as _os
     kept = sorted(_os.listdir(sink.snapshot_path(store, "occupancy_readings")))
     assert [k for k in kept if k.startswith("batch_id=")] == ["batch_id=0", "batch_id=1"]
+
+
+def test_empty_batch_is_a_noop(spark, store, tmp_path):
+    land = str(tmp_path / "landing")
+    _land(land, "a.json", FILE_A, 1_000_000)
+    job = IngestJob(spark, store, "occ")
+    ck = str(tmp_path / "ck")
+    job.start(land, checkpoint=ck, available_now=True, max_files_per_trigger=1).awaitTermination()
+    _land(land, "empty.json", [], 2_000_000)   # I05: a failed fetch lands nothing
+    job.start(land, checkpoint=ck, available_now=True, max_files_per_trigger=1).awaitTermination()
+    assert stored_ids(spark, store, "occ") == [1, 4, 8]
+    snap = sink.read_snapshot(spark, store, "occupancy_readings")
+    assert sorted(r.id for r in snap.collect()) == [1, 4, 8]
