@@ -62,6 +62,14 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
+def read_plain(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
+    """A table stored as one plain parquet folder; empty (typed) if absent."""
+    path = table_path(root, table)
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A report as JSON lines."""
     df.write.mode("overwrite").json(path)

@@ -97,14 +97,15 @@ class Tables:
         """Read the layout written by ``roomsense.sources.sink`` and the ingest
         job: facts with ``batch_id`` / ``day`` partitions, dimensions, and the
         newest recent snapshots when present."""
+        from roomsense import schemas
         from roomsense.sources import sink
         frames = {
             "sectors": sink.read_table(spark, root, "sectors").drop("batch_id"),
             "sensors": sink.read_table(spark, root, "sensors").drop("batch_id"),
             "env": sink.read_table(spark, root, "env_readings"),
             "occ": sink.read_table(spark, root, "occupancy_readings"),
-            "thresholds": spark.read.parquet(f"{root}/thresholds"),
-            "alerts": spark.read.parquet(f"{root}/alerts"),
+            "thresholds": sink.read_plain(spark, root, "thresholds", schemas.THRESHOLDS),
+            "alerts": sink.read_plain(spark, root, "alerts", schemas.ALERTS),
             "recent_env": sink.read_snapshot(spark, root, "env_readings"),
             "recent_occ": sink.read_snapshot(spark, root, "occupancy_readings"),
         }
