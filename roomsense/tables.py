@@ -111,6 +111,3 @@ class Tables:
         }
         return cls(**frames)
 
-
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.where(F.lit(False))

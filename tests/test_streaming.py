@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 
 from roomsense import schemas
 from roomsense.operators import environment as en
