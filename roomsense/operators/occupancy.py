@@ -16,6 +16,7 @@ from roomsense.functions import (NO_MOVEMENT_TEXT, event_text, hhmm, hhmmss, min
                                  occupancy_label, occupancy_pct)
 from roomsense.plans.joins import maybe_broadcast
 from roomsense.plans.latest import last_n, latest
+from roomsense.plans.windows import between, ntz, since
 from roomsense.tables import Tables
 
 DEFAULT_CAPACITY = 25  # capacity used when the sector does not exist (C14)
@@ -112,16 +113,29 @@ def occupancy_events(t: Tables, sector_id: int | None = None, readings: int = 12
     )
 
 
-def co2_people_by_minute(t: Tables, sector_id: int | None = None) -> DataFrame:
+def co2_people_by_minute(t: Tables, sector_id: int | None = None, start=None, end=None) -> DataFrame:
     """Q15: mean CO2 and mean people per (sector, minute), inner-joined on
     both keys.  Each side is aggregated map-side first; the join then meets
-    two inputs already hash-partitioned on (sector_id, minute)."""
+    two inputs already hash-partitioned on (sector_id, minute).  ``start`` /
+    ``end`` (optional, both ends closed, F05) bound the readings and prune
+    day partitions; without them the whole history is used, as in the
+    reference's report."""
     ss = t.sensor_sector().select("sensor_id", "sector_id")
     if sector_id is not None:
         ss = ss.where(F.col("sector_id") == F.lit(sector_id))
-    env = (t.env.select("sensor_id", "ts", "co2").join(ss, "sensor_id")
+
+    def bounded(df: DataFrame) -> DataFrame:
+        if start is not None and end is not None:
+            return between(df, ntz(start), ntz(end))
+        if start is not None:
+            return since(df, ntz(start))
+        if end is not None:
+            return between(df, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), ntz(end))
+        return df
+
+    env = (bounded(t.env).select("sensor_id", "ts", "co2").join(ss, "sensor_id")
            .groupBy("sector_id", minute_bucket("ts").alias("minute")).agg(F.avg("co2").alias("co2_avg")))
-    occ = (t.occ.select("sensor_id", "ts", "people").join(ss, "sensor_id")
+    occ = (bounded(t.occ).select("sensor_id", "ts", "people").join(ss, "sensor_id")
            .groupBy("sector_id", minute_bucket("ts").alias("minute")).agg(F.avg("people").alias("people_avg")))
     return env.join(occ, ["sector_id", "minute"]).select(
         "sector_id", "minute", F.round("co2_avg", 2).alias("co2_avg"), F.round("people_avg", 2).alias("people_avg"))

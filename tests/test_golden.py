@@ -251,3 +251,10 @@ def test_empty_q12(blank):
 def test_empty_q13(blank):
     got = rows(co.compliance(blank, "24h", as_of=AS_OF), "compliance_pct", "max_value", "global_pct")
     assert got == [(0.0, 0.0, 0.0)] * 5
+
+
+def test_q15_window(gold):
+    got = rows(oc.co2_people_by_minute(gold, sector_id=1, start="2026-01-15 06:00:00", end="2026-01-15 07:01:00"),
+               "co2_avg", "people_avg")
+    assert got == [(800.0, 3.0)]
+    assert oc.co2_people_by_minute(gold, start="2026-01-15 08:00:00").count() == 0
