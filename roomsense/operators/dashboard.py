@@ -61,16 +61,35 @@ def dashboard_summary(t: Tables, *, as_of=None) -> DataFrame:
     return t.sectors.sparkSession.range(1).select(*cols)
 
 
+def _recent_window(t: Tables, as_of, window_hours: int) -> DataFrame:
+    """Per hour of the last ``window_hours`` before the anchor: earliest time,
+    mean CO2 and the hour's newest reading.  The newest reading overall has
+    ts = anchor, so it is the newest of these hours' newest readings."""
+    a = t.anchor(as_of)
+    order = F.struct("ts", "id")
+    return (since(t.env, a - hours(window_hours)).groupBy(hour_bucket("ts").alias("b"))
+            .agg(F.min("ts").alias("first_ts"), F.avg("co2").alias("co2"),
+                 F.max_by(F.struct("co2", "voc"), order).alias("last"), F.max(order).alias("last_key")))
+
+
+def _history(points: int):
+    newest = F.slice(F.sort_array(F.collect_list(F.struct("first_ts", "co2")), asc=False), 1, points)
+    return F.transform(F.reverse(newest), lambda x: F.round(F.coalesce(x["co2"], F.lit(0.0)), 0))
+
+
 def co2_history(t: Tables, *, as_of=None, points: int = 6, window_hours: int = 6):
     """Hourly mean CO2 of the last 6 hours before the anchor, newest
     6 buckets (a 6-hour window can touch 7), oldest first, rounded to units.
     Returns a scalar Column (array<double>)."""
-    a = t.anchor(as_of)
-    hourly = (since(t.env, a - hours(window_hours)).groupBy(hour_bucket("ts").alias("b"))
-              .agg(F.min("ts").alias("first_ts"), F.avg("co2").alias("co2")))
-    newest = F.slice(F.sort_array(F.collect_list(F.struct("first_ts", "co2")), asc=False), 1, points)
-    arr = F.transform(F.reverse(newest), lambda x: F.round(F.coalesce(x["co2"], F.lit(0.0)), 0))
-    return hourly.agg(arr.alias("h")).scalar()
+    return _recent_window(t, as_of, window_hours).agg(_history(points).alias("h")).scalar()
+
+
+def _reading_and_history(t: Tables, as_of, points: int = 6, window_hours: int = 6):
+    """One scan of the 6-hour window gives both the CO2 history and the newest
+    reading (co2, voc): a scalar subquery returning struct(h, r)."""
+    w = _recent_window(t, as_of, window_hours)
+    one = w.agg(_history(points).alias("h"), F.max_by("last", "last_key").alias("r"))
+    return one.select(F.struct("h", "r").alias("s")).scalar()
 
 
 def sector_heatmap(t: Tables, *, as_of=None) -> DataFrame:
@@ -93,15 +112,14 @@ def sector_heatmap(t: Tables, *, as_of=None) -> DataFrame:
               .groupBy("sector_id").agg(F.count(F.lit(1)).alias("alerts_24h")))
     # both are one row per sector at most: bounded by the checked dimensions
     small = t.is_small("sensors") and t.is_small("sectors")
-    reading = latest(since(t.env_newest(), t.latest_env_time()), [], ["co2", "voc"]).select(F.col("r").alias("r")).scalar()
-    history = co2_history(t, as_of=as_of)
+    recent = _reading_and_history(t, as_of)
     sec = t.sectors.where(F.col("active") == 1).select("sector_id", "sector_name", "sector_type", "max_capacity")
     tiles = (sec.join(maybe_broadcast(people, small), "sector_id", "left")
              .join(maybe_broadcast(alerts, small), "sector_id", "left"))
     # each scalar subquery is projected once; the columns below only read
     # its attribute (a subquery is not "cheap", so the projections stay apart)
-    staged = tiles.select("*", reading.alias("_rd"), history.alias("_hist"))
-    co2, voc = F.col("_rd.co2"), F.col("_rd.voc")
+    staged = tiles.select("*", recent.alias("_recent"))
+    co2, voc = F.col("_recent.r.co2"), F.col("_recent.r.voc")
     n_alerts = F.coalesce("alerts_24h", F.lit(0)).cast("bigint")
     out = staged.select(
         "sector_id", "sector_name", "sector_type", "max_capacity",
@@ -109,7 +127,7 @@ def sector_heatmap(t: Tables, *, as_of=None) -> DataFrame:
         F.round(F.coalesce(co2, F.lit(0.0)), 0).alias("co2"),
         F.round(F.coalesce(voc, F.lit(0.0)), 0).alias("voc"),
         status_fixed(co2, voc).alias("status"), n_alerts.alias("alerts_24h"),
-        F.coalesce(F.col("_hist"), F.array().cast("array<double>")).alias("co2_history"),
+        F.coalesce(F.col("_recent.h"), F.array().cast("array<double>")).alias("co2_history"),
         tile_text(n_alerts).alias("tile_text"))
     return out.withColumn("status_label", status_text("status")).select(
         "sector_id", "sector_name", "sector_type", "max_capacity", "people", "co2", "voc", "status",

@@ -22,9 +22,10 @@ LOCAL_CONF = {
 }
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "roomsense") -> SparkSession:
+def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "roomsense",
+                  extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in LOCAL_CONF.items():
+    for key, value in {**LOCAL_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
