@@ -9,7 +9,7 @@ __all__ = [
     "CRITICAL", "ATTENTION", "NORMAL", "status_fixed", "status_by_limits", "env_score", "pct_change",
     "occupancy_pct", "occupancy_band", "event_text", "occupancy_label", "sla_state", "sla_minutes",
     "trend", "alert_trend", "severity_label", "status_label", "short_description", "status_text",
-    "tile_text", "SLA_MINUTES", "NO_MOVEMENT_TEXT", "ENTRY_TEXT", "EXIT_TEXT",
+    "tile_text", "status_display", "SLA_MINUTES", "NO_MOVEMENT_TEXT", "ENTRY_TEXT", "EXIT_TEXT",
 ]
 
 # Status words, the fixed CO2/VOC limits of the dashboard
@@ -142,6 +142,16 @@ def status_text(status) -> Column:
     return expr
 
 
+# Fixed value: the dashboard shows a NORMAL overall status as this word.
+STABLE_TEXT = "ESTÁVEL"
+
+
+def status_display(status) -> Column:
+    """Overall status as shown on the dashboard (NORMAL -> 'ESTÁVEL')."""
+    s = _c(status)
+    return F.when(s == NORMAL, F.lit(STABLE_TEXT)).otherwise(s)
+
+
 def tile_text(alerts_24h) -> Column:
     """V07: 'N ALERTA[S] (24h)' or 'Sistema Estável'."""
     n = _c(alerts_24h)

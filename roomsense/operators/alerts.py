@@ -26,7 +26,7 @@ def alert_list(t: Tables, severity: str | None = None, status: str | None = None
         a = a.where(F.col("severity") == F.lit(severity))
     if status:
         a = a.where(F.col("status") == F.lit(status))
-    if sector_id:
+    if sector_id is not None and sector_id != "":
         a = a.where(F.col("sector_id") == F.lit(sector_id))
     now = as_of_col(as_of)
     j = a.join(t.dim("sectors").select("sector_id", "sector_name"), "sector_id")

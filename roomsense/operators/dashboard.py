@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomsense.functions import hour_bucket, status_fixed, status_text, tile_text
+from roomsense.functions import hour_bucket, status_display, status_fixed, status_text, tile_text
 from roomsense.operators.environment import env_score, peak_by_sector
 from roomsense.plans.joins import maybe_broadcast
 from roomsense.plans.latest import latest
@@ -58,7 +58,8 @@ def dashboard_summary(t: Tables, *, as_of=None) -> DataFrame:
     for name, df in parts.items():
         s = df.select(F.struct(*df.columns).alias("s")).scalar()
         cols += [s.getField(c).alias(c) for c in df.columns]
-    return t.sectors.sparkSession.range(1).select(*cols)
+    row = t.sectors.sparkSession.range(1).select(*cols)
+    return row.withColumn("status_display", status_display("status"))
 
 
 def _recent_window(t: Tables, as_of, window_hours: int) -> DataFrame:

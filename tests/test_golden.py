@@ -90,6 +90,7 @@ def test_q06cd_counts(gold):
 def test_q06_summary_row(gold):
     r = da.dashboard_summary(gold, as_of=AS_OF).first()
     assert (r.score, r.status, r.odour_events, r.active_sensors, r.co2_peak_value) == (0, "ATENCAO", 1, 6, 1100.0)
+    assert r.status_display == "ATENCAO"
 
 
 def test_q07_heatmap(gold, gold2):
@@ -124,6 +125,8 @@ def test_q08_order(gold):
 def test_q08_filters(gold):
     r = al.alert_list(gold, severity="CRITICO", status="", sector_id=2, as_of=AS_OF).collect()
     assert sorted(x.alert_id for x in r) == [3, 6]
+    assert al.alert_list(gold, sector_id=0, as_of=AS_OF).count() == 0
+    assert al.alert_list(gold, sector_id="", as_of=AS_OF).count() == 6
 
 
 def test_q09_kpis(gold, gold2):
@@ -237,6 +240,7 @@ def test_empty_q02(blank):
 def test_empty_q06a(blank):
     r = en.env_score(blank).first()
     assert (r.score, r.status, r.reading_time) == (100, "NORMAL", "--")
+    assert da.dashboard_summary(blank, as_of=AS_OF).first().status_display == "ESTÁVEL"
 
 
 def test_empty_q09(blank):
