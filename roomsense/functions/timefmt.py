@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["hhmm", "hhmmss", "ddmm", "ddmm_hhmm", "ddmm_hhmmss", "hour_bucket", "minute_bucket",
+__all__ = ["hhmm", "hhmmss", "ddmm", "ddmm_hhmm", "ddmm_hhmmss", "hour_bucket", "minute_bucket", "second_floor",
            "minutes_between"]
 
 
@@ -33,13 +33,26 @@ def ddmm_hhmmss(ts) -> Column:
     return F.date_format(_c(ts), "dd/MM HH:mm:ss")
 
 
+def _ntz_floor(ts, unit: str) -> Column:
+    """Truncate a TIMESTAMP_NTZ from its own fields: no session time zone is
+    involved (date_trunc would go through TIMESTAMP and the session zone, C2)."""
+    t = _c(ts)
+    zero = F.lit(0)
+    minute = F.minute(t) if unit in ("minute", "second") else zero
+    second = F.second(t) if unit == "second" else zero
+    return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), minute, second)
+
+
 def hour_bucket(ts) -> Column:
-    # date_trunc yields TIMESTAMP; cast back so buckets stay TIMESTAMP_NTZ
-    return F.date_trunc("hour", _c(ts)).cast("timestamp_ntz")
+    return _ntz_floor(ts, "hour")
 
 
 def minute_bucket(ts) -> Column:
-    return F.date_trunc("minute", _c(ts)).cast("timestamp_ntz")
+    return _ntz_floor(ts, "minute")
+
+
+def second_floor(ts) -> Column:
+    return _ntz_floor(ts, "second")
 
 
 def minutes_between(start, end) -> Column:

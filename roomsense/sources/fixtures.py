@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from roomsense.functions import second_floor
 from roomsense.sources import seed
 from roomsense.tables import Tables
 
@@ -64,7 +65,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
 
     k = F.col("user_id") % n
     v = F.round(F.col("value") * 100).cast("bigint")
-    ts = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("ts")
+    ts = second_floor("ts").alias("ts")
     eid = F.col("event_id")
     env = ev.select(
         eid.alias("id"), ts, (2 * k + 1).alias("sensor_id"), F.lit(60).alias("delta_s"),

@@ -3,8 +3,8 @@
 Readings stream in; hourly means are kept in state and emitted in ``update``
 mode; each trigger's updated buckets are appended to a changelog folder and
 the report reads the newest version of each bucket.  Event time must be a
-TIMESTAMP for the watermark (C2), so the NTZ time is cast for the window and
-the bucket is cast back.
+TIMESTAMP for the watermark (C2); it is derived from the NTZ time without the
+session zone, and the bucket is taken from the NTZ fields.
 
 The state is one row per hour bucket (not per sensor), so the watermark can
 cover the widest report window (30 days + the anchor hour): about 744 state
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.functions import ddmm_hhmm
+from roomsense.functions import ddmm_hhmm, hour_bucket
 from roomsense.plans.windows import anchor, hours, period_hours
 
 ENV_VARS = ("co2", "voc", "temperature", "humidity")
@@ -25,14 +25,16 @@ ENV_VARS = ("co2", "voc", "temperature", "humidity")
 
 def hourly_state(readings: DataFrame, watermark: str = "31 days") -> DataFrame:
     """Streaming (or batch) hourly sums and counts per bucket."""
-    ev = readings.withColumn("_ets", F.col("ts").cast("timestamp"))
+    # event time = the wall clock read as UTC (unix_timestamp of an NTZ value
+    # ignores the session zone), so the epoch-aligned hour windows coincide
+    # with the wall-clock hour buckets in every session time zone
+    ev = readings.withColumn("_ets", F.timestamp_seconds(F.unix_timestamp("ts")))
     if readings.isStreaming:
         ev = ev.withWatermark("_ets", watermark)
-    g = ev.groupBy(F.window("_ets", "1 hour").alias("w")).agg(
+    g = ev.groupBy(F.window("_ets", "1 hour").alias("w"), hour_bucket("ts").alias("bucket")).agg(
         F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"),
         *[F.sum(v).alias(f"sum_{v}") for v in ENV_VARS])
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "first_ts", "n",
-                    *[f"sum_{v}" for v in ENV_VARS])
+    return g.select("bucket", "first_ts", "n", *[f"sum_{v}" for v in ENV_VARS])
 
 
 def _merge_state(prev: DataFrame | None, updates: DataFrame, horizon_hours: int) -> DataFrame:
@@ -91,7 +93,7 @@ def read_hourly(spark: SparkSession, out_dir: str, env: DataFrame, period: str =
     window and rounding as the batch report."""
     cur = _read_state(spark, out_dir)
     a = anchor(env, as_of)
-    cur = cur.where(F.col("bucket") >= F.date_trunc("hour", a - hours(period_hours(period))).cast("timestamp_ntz"))
+    cur = cur.where(F.col("bucket") >= hour_bucket(a - hours(period_hours(period))))
     return cur.select(
         "bucket", ddmm_hhmm("first_ts").alias("label"),
         *[F.round(F.col(f"sum_{v}") / F.col("n"), 1).alias(name)
