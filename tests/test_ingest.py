@@ -171,3 +171,15 @@ def test_empty_batch_is_a_noop(spark, store, tmp_path):
     assert stored_ids(spark, store, "occ") == [1, 4, 8]
     snap = sink.read_snapshot(spark, store, "occupancy_readings")
     assert sorted(r.id for r in snap.collect()) == [1, 4, 8]
+
+
+def test_missing_sector_is_registered(spark):
+    telemetry = spark.createDataFrame([(2,), (3,), (42,)], "sensor_id long")
+    sensors = seed.sensors(spark).where("sensor_id <> 2")          # device 2 unknown
+    sectors = seed.sectors(spark).where("sector_id <> 3")          # and its mapped sector 3 missing
+    new = ops.new_sensors(telemetry, sensors)
+    got = sorted((r.sensor_id, r.sensor_code, r.sensor_type, r.sector_id) for r in new.collect())
+    assert got == [(2, "SENSOR_2", "HPD2", 3), (42, "SENSOR_42", "DESCONHECIDO", 1)]
+    sec = [(r.sector_id, r.sector_name, r.sector_type, r.max_capacity, r.active)
+           for r in ops.new_sectors(new, sectors).collect()]
+    assert sec == [(3, "Setor 3", "Geral", 25, 1)]
