@@ -99,13 +99,15 @@ class Tables:
         newest recent snapshots when present."""
         from roomsense import schemas
         from roomsense.sources import sink
+        from roomsense.sources.codes import ALERT_CODES, THRESHOLD_CODES, upper_codes
         frames = {
             "sectors": sink.read_table(spark, root, "sectors").drop("batch_id"),
             "sensors": sink.read_table(spark, root, "sensors").drop("batch_id"),
             "env": sink.read_table(spark, root, "env_readings"),
             "occ": sink.read_table(spark, root, "occupancy_readings"),
-            "thresholds": sink.read_plain(spark, root, "thresholds", schemas.THRESHOLDS),
-            "alerts": sink.read_plain(spark, root, "alerts", schemas.ALERTS),
+            "thresholds": upper_codes(sink.read_plain(spark, root, "thresholds", schemas.THRESHOLDS),
+                                      THRESHOLD_CODES),
+            "alerts": upper_codes(sink.read_plain(spark, root, "alerts", schemas.ALERTS), ALERT_CODES),
             "recent_env": sink.read_snapshot(spark, root, "env_readings"),
             "recent_occ": sink.read_snapshot(spark, root, "occupancy_readings"),
         }

@@ -55,3 +55,16 @@ def test_write_report(spark, stored, tmp_path):
     out = str(tmp_path / "report")
     sink.write_report(en.env_summary(t, as_of=AS_OF), out)
     assert spark.read.json(out).first().co2_avg == 900.0
+
+
+def test_codes_upper_cased_at_load(spark, gold, tmp_path):
+    root = str(tmp_path / "codes")
+    sink.seed_store(root, gold.sectors, gold.sensors)
+    from pyspark.sql import functions as F
+    gold.alerts.withColumn("status", F.lower("status")).withColumn("severity", F.concat(F.lit(" "), "severity")) \
+        .write.parquet(f"{root}/alerts")
+    gold.thresholds.withColumn("parameter", F.lower("parameter")).write.parquet(f"{root}/thresholds")
+    t = Tables.from_storage(spark, root)
+    assert {r.status for r in t.alerts.collect()} == {"RESOLVIDO", "EM_ATENDIMENTO", "ABERTO"}
+    assert [r.sector_name for r in al.open_critical_sectors(t).collect()] == ["Sala de Espera - Triagem"]
+    assert {r.parameter for r in t.thresholds.collect()} >= {"CO2", "VOC"}
