@@ -262,3 +262,26 @@ def test_q15_window(gold):
                "co2_avg", "people_avg")
     assert got == [(800.0, 3.0)]
     assert oc.co2_people_by_minute(gold, start="2026-01-15 08:00:00").count() == 0
+
+
+def test_c18_inactive_counter_still_counts(spark, gold):
+    from pyspark.sql import functions as F2
+    t = gold.replace(sensors=gold.sensors.withColumn("active", F2.when(F2.col("sensor_id") == 3, 0).otherwise(1)))
+    assert oc.occupancy_now(t, sector_id=1).first().people == 11
+    assert {r.sector_id: r.people for r in da.sector_heatmap(t, as_of=AS_OF).collect()}[1] == 11
+    assert dict(rows(da.sector_directory(t), "sector_id", "sensor_count"))[1] == 1
+    assert da.active_sensors(t).first().active_sensors == 5
+
+
+def test_c20_noon_window_touches_eight_dates(spark, gold):
+    import datetime as dt2
+    from roomsense import schemas as sc
+    noon = dt2.datetime(2026, 1, 15, 12, 0)
+    # 08/01 13:00 .. 14/01 13:00 (the window opens 08/01 12:00) and 15/01 09:00
+    fired = [noon - dt2.timedelta(days=7) + dt2.timedelta(hours=1) + dt2.timedelta(days=d) for d in range(7)]
+    fired.append(dt2.datetime(2026, 1, 15, 9, 0))
+    alerts = spark.createDataFrame(
+        [(i, 1, 1, "CO2", 1.0, 1.0, "ppm", "ATENCAO", "RESOLVIDO" if i % 2 else "ABERTO", f, None, None, None)
+         for i, f in enumerate(fired) if f <= noon], sc.ALERTS)
+    days = rows(al.alert_daily(gold.replace(alerts=alerts), as_of=noon), "day_label", "fired", "resolved")
+    assert [d for d, _, _ in days] == ["08/01", "09/01", "10/01", "11/01", "12/01", "13/01", "14/01", "15/01"]
