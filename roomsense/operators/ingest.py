@@ -68,11 +68,16 @@ def split_valid(df: DataFrame, kind: str, eight_bit: bool = False) -> tuple[Data
 
 
 def first_per_key(batch: DataFrame, arrival: str = ARRIVAL) -> DataFrame:
-    """C7 steps 1-2 inside one batch."""
-    cols = batch.columns
-    row = F.struct(*[F.col(c) for c in cols])
+    """C7 steps 1-2 inside one batch.
+
+    Step 1 moves whole rows once (hash-partitioned by id).  Step 2 needs only
+    keys: the lowest id per (sensor_id, ts) is a hash aggregate over
+    fixed-width columns, and the semi-join back on id meets step 1's output
+    in its existing partitioning, so only the small key side is shuffled."""
+    row = F.struct(*[F.col(c) for c in batch.columns])
     by_id = batch.groupBy("id").agg(F.min_by(row, F.col(arrival)).alias("r")).select("r.*")
-    return by_id.groupBy("sensor_id", "ts").agg(F.min_by(row, F.col("id")).alias("r")).select("r.*")
+    keep = by_id.groupBy("sensor_id", "ts").agg(F.min("id").alias("id")).select("id")
+    return by_id.join(keep, "id", "left_semi")
 
 
 def drop_stored(batch: DataFrame, target: DataFrame, batch_small: bool | None = None,
