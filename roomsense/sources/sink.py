@@ -4,6 +4,12 @@ Facts are written per micro-batch into ``<root>/<table>/batch_id=<n>/day=<d>``
 with overwrite of that batch folder only: replaying a batch rewrites the same
 files (idempotent, C8), and a reader sees whole batches.  Readers discover
 ``batch_id`` and ``day`` as partition columns, so time windows prune days.
+
+Dimension rows (sectors, sensors) are written by the seed and by every feed's
+ingest job, so their folders also name the writer:
+``<root>/<table>/source=<feed>/batch_id=<n>``; two feeds never overwrite each
+other's batch.  ``current_dimension`` keeps one row per key, the earliest
+registration (the seed first), as an insert-if-absent table would.
 """
 
 from __future__ import annotations
@@ -20,8 +26,15 @@ FACT_SCHEMAS = {"env_readings": schemas.ENV_READINGS, "occupancy_readings": sche
 DIM_SCHEMAS = {"sectors": schemas.SECTORS, "sensors": schemas.SENSORS}
 
 
-def _with_partitions(schema: T.StructType, fact: bool) -> T.StructType:
-    fields = list(schema.fields) + [T.StructField("batch_id", T.LongType(), True)]
+DIM_KEYS = {"sectors": "sector_id", "sensors": "sensor_id"}
+SEED_SOURCE = "seed"
+
+
+def _with_partitions(schema: T.StructType, fact: bool, source: bool = False) -> T.StructType:
+    fields = list(schema.fields)
+    if source:
+        fields.append(T.StructField("source", T.StringType(), True))
+    fields.append(T.StructField("batch_id", T.LongType(), True))
     if fact:
         fields.append(T.StructField("day", T.DateType(), True))
     return T.StructType(fields)
@@ -31,9 +44,12 @@ def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
-def write_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, root: str, table: str, batch_id: int, source: str = SEED_SOURCE) -> None:
     """Append one batch; overwrite of the batch folder keeps replays idempotent."""
-    out = f"{table_path(root, table)}/batch_id={batch_id}"
+    if table in DIM_SCHEMAS:
+        out = f"{table_path(root, table)}/source={source}/batch_id={batch_id}"
+    else:
+        out = f"{table_path(root, table)}/batch_id={batch_id}"
     if table in FACT_SCHEMAS:
         # sorted by (sensor, time) inside each day: row-group min/max on
         # sensor_id and ts let per-sensor and time-range reads skip groups
@@ -55,13 +71,22 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A stored table with its partition columns; empty (typed) if absent."""
     fact = table in FACT_SCHEMAS
     base = FACT_SCHEMAS.get(table) or DIM_SCHEMAS.get(table)
-    schema = _with_partitions(base, fact)
+    schema = _with_partitions(base, fact, source=table in DIM_SCHEMAS)
     path = table_path(root, table)
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
+def current_dimension(df: DataFrame, table: str) -> DataFrame:
+    """One row per key: the earliest registration (seed, then lowest batch,
+    then source name).  Dimensions are small and size-checked by Tables."""
+    key = DIM_KEYS[table]
+    cols = [f.name for f in DIM_SCHEMAS[table].fields]
+    rank = F.struct(F.when(F.col("source") == SEED_SOURCE, 0).otherwise(1), F.col("batch_id"), F.col("source"))
+    return df.groupBy(key).agg(F.min_by(F.struct(*cols), rank).alias("r")).select("r.*")
+
+
 def read_plain(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
     """A table stored as one plain parquet folder; empty (typed) if absent."""
     path = table_path(root, table)
@@ -76,7 +101,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def seed_store(root: str, sectors: DataFrame, sensors: DataFrame) -> None:
-    """Initial dimension rows of a store (batch -1)."""
+    """Initial dimension rows of a store (source seed, batch -1)."""
     write_batch(sectors, root, "sectors", -1)
     write_batch(sensors, root, "sensors", -1)
 

@@ -75,12 +75,15 @@ class IngestJob:
             bad_cols = [c for c in bad.columns if c != ops.ARRIVAL]
             sink.write_batch(bad.select(*bad_cols), self.store_root, f"quarantine_{self.kind}", batch_id)
 
-            sensors = sink.read_table(spark, self.store_root, "sensors").where(F.col("batch_id") != batch_id)
-            sectors = sink.read_table(spark, self.store_root, "sectors").where(F.col("batch_id") != batch_id)
-            new_sensors = ops.new_sensors(good, sensors.drop("batch_id")).persist()
-            new_sectors = ops.new_sectors(new_sensors, sectors.drop("batch_id"))
-            sink.write_batch(new_sensors, self.store_root, "sensors", batch_id)
-            sink.write_batch(new_sectors, self.store_root, "sectors", batch_id)
+            # dimension rows other than this feed's own batch (a replay must
+            # not see its own first attempt)
+            mine = (F.col("source") == self.kind) & (F.col("batch_id") == batch_id)
+            sensors = sink.read_table(spark, self.store_root, "sensors").where(~mine)
+            sectors = sink.read_table(spark, self.store_root, "sectors").where(~mine)
+            new_sensors = ops.new_sensors(good, sensors).persist()
+            new_sectors = ops.new_sectors(new_sensors, sectors)
+            sink.write_batch(new_sensors, self.store_root, "sensors", batch_id, source=self.kind)
+            sink.write_batch(new_sectors, self.store_root, "sectors", batch_id, source=self.kind)
             new_sensors.unpersist()
 
             stored = sink.read_table(spark, self.store_root, self.table).where(F.col("batch_id") != batch_id)

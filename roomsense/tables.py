@@ -101,8 +101,8 @@ class Tables:
         from roomsense.sources import sink
         from roomsense.sources.codes import ALERT_CODES, THRESHOLD_CODES, upper_codes
         frames = {
-            "sectors": sink.read_table(spark, root, "sectors").drop("batch_id"),
-            "sensors": sink.read_table(spark, root, "sensors").drop("batch_id"),
+            "sectors": sink.current_dimension(sink.read_table(spark, root, "sectors"), "sectors"),
+            "sensors": sink.current_dimension(sink.read_table(spark, root, "sensors"), "sensors"),
             "env": sink.read_table(spark, root, "env_readings"),
             "occ": sink.read_table(spark, root, "occupancy_readings"),
             "thresholds": upper_codes(sink.read_plain(spark, root, "thresholds", schemas.THRESHOLDS),

@@ -21,8 +21,8 @@ def stored(spark, gold, tmp_path_factory):
     sink.write_batch(gold.sensors, root, "sensors", 0)
     gold.thresholds.write.parquet(f"{root}/thresholds")
     gold.alerts.write.parquet(f"{root}/alerts")
-    t = Tables(sectors=sink.read_table(spark, root, "sectors").drop("batch_id"),
-               sensors=sink.read_table(spark, root, "sensors").drop("batch_id"),
+    t = Tables(sectors=sink.current_dimension(sink.read_table(spark, root, "sectors"), "sectors"),
+               sensors=sink.current_dimension(sink.read_table(spark, root, "sensors"), "sensors"),
                env=sink.read_table(spark, root, "env_readings"),
                occ=sink.read_table(spark, root, "occupancy_readings"),
                thresholds=spark.read.parquet(f"{root}/thresholds"), alerts=spark.read.parquet(f"{root}/alerts"))
@@ -68,3 +68,26 @@ def test_codes_upper_cased_at_load(spark, gold, tmp_path):
     assert {r.status for r in t.alerts.collect()} == {"RESOLVIDO", "EM_ATENDIMENTO", "ABERTO"}
     assert [r.sector_name for r in al.open_critical_sectors(t).collect()] == ["Sala de Espera - Triagem"]
     assert {r.parameter for r in t.thresholds.collect()} >= {"CO2", "VOC"}
+
+
+def test_feeds_register_dimensions_side_by_side(spark, gold, tmp_path):
+    import datetime as dt
+    from roomsense import schemas
+    root = str(tmp_path / "dims")
+    sink.seed_store(root, gold.sectors, gold.sensors)
+    when = dt.datetime(2026, 1, 15)
+    env_new = spark.createDataFrame([(77, "SENSOR_77", "DESCONHECIDO", 1, when, 1)], schemas.SENSORS)
+    occ_new = spark.createDataFrame([(77, "SENSOR_77", "DESCONHECIDO", 1, when, 1),
+                                     (88, "SENSOR_88", "DESCONHECIDO", 1, when, 1)], schemas.SENSORS)
+    # both feeds' batch 0, written concurrently: neither overwrites the other
+    sink.write_batch(env_new, root, "sensors", 0, source="env")
+    sink.write_batch(occ_new, root, "sensors", 0, source="occ")
+    raw = sink.read_table(spark, root, "sensors")
+    assert raw.count() == 6 + 3
+    cur = sink.current_dimension(raw, "sensors")
+    assert sorted(r.sensor_id for r in cur.collect()) == [1, 2, 3, 6, 7, 8, 77, 88]
+    # a seed row always wins over a later registration of the same id
+    sink.write_batch(spark.createDataFrame([(3, "X", "DESCONHECIDO", 1, when, 1)], schemas.SENSORS),
+                     root, "sensors", 5, source="occ")
+    cur = sink.current_dimension(sink.read_table(spark, root, "sensors"), "sensors")
+    assert cur.where("sensor_id = 3").first().sensor_code == "HPD2-UTI-A"
