@@ -16,7 +16,7 @@ TABLES = ["supplier", "events", "orders"]
 
 def _norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9)
+        return None if math.isnan(v) else repr(v)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     return v
