@@ -112,7 +112,9 @@ class IngestJob:
         sink.prune_snapshots(self.spark, self.store_root, self.table, keep_from=batch_id - keep + 1)
 
     def start(self, landing_dir: str, checkpoint: str | None = None, available_now: bool = False,
-              max_files_per_trigger: int | None = None, period: str = "60 seconds"):
+              max_files_per_trigger: int | None = 10_000, period: str = "60 seconds"):
+        # max_files_per_trigger bounds each micro-batch (a backlog of landed
+        # files is taken in slices, never as one giant batch)
         if checkpoint is None:
             base = self.spark.conf.get("spark.checkpoint.dir", None)
             if not base:
