@@ -58,7 +58,7 @@ class IngestJob:
             F.col("_file_t").alias("t"), F.col("_file_n").alias("f"),
             F.monotonically_increasing_id().alias("n"))).drop("_file_t", "_file_n")
 
-    def process(self, raw: DataFrame, batch_id: int) -> dict:
+    def process(self, raw: DataFrame, batch_id: int, window_days: int | None = None) -> dict:
         spark = self.spark
         if ops.ARRIVAL not in raw.columns:
             raw = self.with_arrival(raw)
@@ -66,10 +66,12 @@ class IngestJob:
         try:
             received = raw.count()
             parsed = ops.parse_feed(raw, self.kind)
-            if self.initial_days is not None and batch_id == 0:
+            if window_days is None and self.initial_days is not None and batch_id == 0:
                 # The first pass is a date window; a retried first
                 # pass is batch 0 again, so it is again a date window
-                parsed = landing.initial_window(parsed, self.initial_days, as_of=self.as_of).unionByName(
+                window_days = self.initial_days
+            if window_days is not None:
+                parsed = landing.initial_window(parsed, window_days, as_of=self.as_of).unionByName(
                     parsed.where(F.col("ts").isNull()))
             good, bad = ops.split_valid(parsed, self.kind, eight_bit=self.eight_bit)
             bad_cols = [c for c in bad.columns if c != ops.ARRIVAL]
@@ -111,6 +113,20 @@ class IngestJob:
         sink.write_snapshot(snap, self.store_root, self.table, batch_id)
         sink.prune_snapshots(self.spark, self.store_root, self.table, keep_from=batch_id - keep + 1)
 
+    def poll_once(self, path: str, batch_id: int, first_pass: bool = False, dias: int = 1) -> dict:
+        """One pass of the reference's polling loop in batch form (I01, S02-S04):
+        the first pass keeps a date window; later passes keep ids above the
+        stored high-water mark and are skipped while the table is empty.
+        ``batch_id`` must grow with every pass (it names the output folders).
+        The streaming job needs no mark: its checkpoint records the files taken."""
+        records = self.with_arrival(self.with_file(landing.read_feed(self.spark, path, self.kind)))
+        if first_pass:
+            return self.process(records, batch_id, window_days=dias)
+        stored = sink.read_table(self.spark, self.store_root, self.table)
+        if stored.limit(1).count() == 0:
+            return {"batch_id": batch_id, "received": 0, "inserted": 0, "skipped": True}
+        return self.process(landing.incremental(records, landing.high_water_mark(stored)), batch_id)
+
     def start(self, landing_dir: str, checkpoint: str | None = None, available_now: bool = False,
               max_files_per_trigger: int | None = 10_000, period: str = "60 seconds"):
         # max_files_per_trigger bounds each micro-batch (a backlog of landed

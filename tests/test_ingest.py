@@ -183,3 +183,25 @@ def test_missing_sector_is_registered(spark):
     sec = [(r.sector_id, r.sector_name, r.sector_type, r.max_capacity, r.active)
            for r in ops.new_sectors(new, sectors).collect()]
     assert sec == [(3, "Setor 3", "Geral", 25, 1)]
+
+
+def test_polling_form_with_mark(spark, store, tmp_path):
+    land = str(tmp_path / "l")
+    pa = _land(land, "a.json", [_rec(1, "2026-01-15 00:00:05", 3, 4), _rec(2, "2026-01-10 00:00:05", 3, 4),
+                                _rec(8, "2026-01-15 00:05:05", 3, 5)], 1_000_000)
+    job = IngestJob(spark, store, "occ", as_of="2026-01-15 10:00:00")
+    # first pass: date window 15/01..16/01 (id 2 is older)
+    assert job.poll_once(pa, 0, first_pass=True)["inserted"] == 2
+    assert stored_ids(spark, store, "occ") == [1, 8]
+    pb = _land(land, "b.json", FILE_B, 2_000_000)
+    # later pass: mark 8, so file b's ids 2, 4, 6 are not read again
+    assert job.poll_once(pb, 1)["inserted"] == 0
+    pc = _land(land, "c.json", [_rec(9, "2026-01-15 00:09:05", 3, 1)], 3_000_000)
+    assert job.poll_once(pc, 2)["inserted"] == 1
+    assert stored_ids(spark, store, "occ") == [1, 8, 9]
+
+
+def test_polling_skips_refresh_on_empty_table(spark, store, tmp_path):
+    pb = _land(str(tmp_path / "l"), "b.json", FILE_B, 2_000_000)
+    out = IngestJob(spark, store, "env").poll_once(pb, 0)
+    assert out.get("skipped") is True
