@@ -1,6 +1,7 @@
-"""The polling ingest loop as a Structured Streaming query.
+"""The ingest loop — as a Structured Streaming query over landed
+feed files (``IngestJob.start``) or as one polling pass (``poll_once``).
 
-Landed feed files -> ``foreachBatch``:
+Each batch, streamed or polled, goes through ``process``:
 
 1. parse keys and times; invalid rows (missing value, bad time, optional
    8-bit range) go to quarantine (I03, I04);
@@ -9,9 +10,9 @@ Landed feed files -> ``foreachBatch``:
    drop what is already stored under either key (I02, C7);
 4. write the batch folder with overwrite (C8) and the counters (I08).
 
-The checkpoint replaces the reference's id mark; a row with an old event
-time but a new file is accepted (I09).  Processing time trigger 60 s in
-service, ``availableNow`` in tests.
+In the stream the checkpoint replaces the reference's id mark; a row with an
+old event time but a new file is accepted (I09).  Processing-time trigger
+60 s in service, ``availableNow`` in tests.
 """
 
 from __future__ import annotations
@@ -59,6 +60,9 @@ class IngestJob:
             F.monotonically_increasing_id().alias("n"))).drop("_file_t", "_file_n")
 
     def process(self, raw: DataFrame, batch_id: int, window_days: int | None = None) -> dict:
+        """One micro-batch of raw feed records -> quarantine, new dimension
+        rows, accepted facts, recent snapshot and counters, all in folders of
+        ``batch_id`` (overwritten on replay)."""
         spark = self.spark
         if ops.ARRIVAL not in raw.columns:
             raw = self.with_arrival(raw)
