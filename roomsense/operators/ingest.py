@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomsense import schemas
-from roomsense.plans.joins import DIM_ROW_BOUND, fits_broadcast
+from roomsense.plans.joins import DIM_ROW_BOUND
 
 # The known device -> (sector, sensor type) mapping of the
 # feed, the fallback for unknown devices, and the defaults of auto-created
@@ -94,12 +94,14 @@ def drop_stored(batch: DataFrame, target: DataFrame, batch_small: bool | None =
     never shuffled; otherwise both sides shuffle on the key.
     """
     keys = batch if keys is None else keys
+    # one pass over the keys: literal bounds for pruning, and the row count
+    # that decides (and proves) the broadcast
     b = keys.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("ts").alias("t0"),
-                 F.max("ts").alias("t1")).first()
+                 F.max("ts").alias("t1"), F.count(F.lit(1)).alias("n")).first()
     if b is None or b["lo"] is None:
         return batch
     if batch_small is None:
-        batch_small = fits_broadcast(keys, DIM_ROW_BOUND)
+        batch_small = b["n"] <= DIM_ROW_BOUND
     by_id = target.where(F.col("id").between(b["lo"], b["hi"])).select("id")
     by_key = target.where(F.col("ts").between(b["t0"], b["t1"]))
     if "day" in target.columns:
