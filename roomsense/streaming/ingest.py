@@ -95,9 +95,11 @@ class IngestJob:
             stored = sink.read_table(spark, self.store_root, self.table).where(F.col("batch_id") != batch_id)
             keep = [c for c in good.columns if c not in (ops.ARRIVAL,) and not c.startswith("_")]
             accepted = ops.dedupe(good.select(*keep, ops.ARRIVAL), stored).persist()
-            inserted = accepted.count()
+            stats = accepted.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("max_id")).first()
+            inserted = stats["n"]
             sink.write_batch(accepted, self.store_root, self.table, batch_id)
             self.update_recent(accepted, batch_id)
+            self.update_mark(stats["max_id"], batch_id)
             accepted.unpersist()
             counters = {"batch_id": batch_id, "received": received, "inserted": inserted}
             spark.createDataFrame([counters]).write.mode("overwrite").json(
@@ -117,19 +119,50 @@ class IngestJob:
         sink.write_snapshot(snap, self.store_root, self.table, batch_id)
         sink.prune_snapshots(self.spark, self.store_root, self.table, keep_from=batch_id - keep + 1)
 
+    def _mark_path(self) -> str:
+        return f"{self.store_root.rstrip('/')}/_mark_{self.kind}"
+
+    def update_mark(self, batch_max_id, batch_id: int, keep: int = 3) -> None:
+        """S04 kept incrementally: mark_N = max(mark_{N-1}, this batch's max
+        accepted id), one tiny file per batch (older ones pruned).  A replay of
+        batch N starts again from mark_{N-1}."""
+        prev = self.read_mark(before=batch_id)
+        mark = max([m for m in (prev, batch_max_id) if m is not None], default=None)
+        self.spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").parquet(
+            f"{self._mark_path()}/batch_id={batch_id}")
+        sink.prune_folders(self.spark, self._mark_path(), keep_from=batch_id - keep + 1)
+
+    def read_mark(self, before: int | None = None):
+        """The newest stored mark (None when nothing was stored)."""
+        path = self._mark_path()
+        if not sink._exists(self.spark, path):
+            return None
+        marks = self.spark.read.parquet(path)
+        if before is not None:
+            marks = marks.where(F.col("batch_id") < before)
+        row = marks.orderBy(F.col("batch_id").desc()).select("mark").first()
+        return None if row is None else row["mark"]
+
     def poll_once(self, path: str, batch_id: int, first_pass: bool = False, dias: int = 1) -> dict:
         """One pass of the reference's polling loop in batch form (I01, S02-S04):
         the first pass keeps a date window; later passes keep ids above the
         stored high-water mark and are skipped while the table is empty.
-        ``batch_id`` must grow with every pass (it names the output folders).
+        ``batch_id`` must grow with every pass (it names the output folders);
+        re-running a pass with the same ``batch_id`` gives the same store.
         The streaming job needs no mark: its checkpoint records the files taken."""
         records = self.with_arrival(self.with_file(landing.read_feed(self.spark, path, self.kind)))
         if first_pass:
             return self.process(records, batch_id, window_days=dias)
-        stored = sink.read_table(self.spark, self.store_root, self.table)
-        if stored.limit(1).count() == 0:
+        # the mark as it was before this pass: a replayed pass reads its own
+        # rows again and rewrites the same folders
+        mark = self.read_mark(before=batch_id)
+        if mark is None:
+            # a store filled by other means: fall back to max(id) of the facts
+            stored = sink.read_table(self.spark, self.store_root, self.table).where(F.col("batch_id") != batch_id)
+            mark = stored.agg(F.max("id")).first()[0]
+        if mark is None:
             return {"batch_id": batch_id, "received": 0, "inserted": 0, "skipped": True}
-        return self.process(landing.incremental(records, landing.high_water_mark(stored)), batch_id)
+        return self.process(landing.incremental(records, mark), batch_id)
 
     def start(self, landing_dir: str, checkpoint: str | None = None, available_now: bool = False,
               max_files_per_trigger: int | None = 10_000, period: str = "60 seconds"):

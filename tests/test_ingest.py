@@ -193,12 +193,18 @@ def test_polling_form_with_mark(spark, store, tmp_path):
     # first pass: date window 15/01..16/01 (id 2 is older)
     assert job.poll_once(pa, 0, first_pass=True)["inserted"] == 2
     assert stored_ids(spark, store, "occ") == [1, 8]
+    assert job.read_mark() == 8
     pb = _land(land, "b.json", FILE_B, 2_000_000)
     # later pass: mark 8, so file b's ids 2, 4, 6 are not read again
     assert job.poll_once(pb, 1)["inserted"] == 0
+    assert job.read_mark() == 8
     pc = _land(land, "c.json", [_rec(9, "2026-01-15 00:09:05", 3, 1)], 3_000_000)
     assert job.poll_once(pc, 2)["inserted"] == 1
     assert stored_ids(spark, store, "occ") == [1, 8, 9]
+    assert job.read_mark() == 9
+    # replaying pass 2 starts again from mark 8 and rewrites the same mark
+    job.poll_once(pc, 2)
+    assert job.read_mark() == 9 and stored_ids(spark, store, "occ") == [1, 8, 9]
 
 
 def test_polling_skips_refresh_on_empty_table(spark, store, tmp_path):
