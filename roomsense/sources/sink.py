@@ -116,19 +116,39 @@ def write_snapshot(df: DataFrame, root: str, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{snapshot_path(root, table)}/batch_id={batch_id}")
 
 
+def newest_complete(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """Highest K of the ``path/batch_id=K`` folders whose write has committed
+    (Spark's ``_SUCCESS`` marker), optionally below ``before``.  A reader
+    never picks a folder that a running batch is still writing."""
+    if not _exists(spark, path):
+        return None
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    best = None
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if not name.startswith("batch_id="):
+            continue
+        try:
+            bid = int(name.split("=", 1)[1])
+        except ValueError:
+            continue
+        if before is not None and bid >= before:
+            continue
+        if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")) and (best is None or bid > best):
+            best = bid
+    return best
+
+
 def read_snapshot(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame | None:
-    """The newest snapshot (optionally: newest older than batch ``before``);
-    None when none was written.  max(batch_id) reads partition values only,
-    and the equality on it prunes every other snapshot folder."""
+    """The newest committed snapshot (optionally: the newest older than batch
+    ``before``); None when none was written.  Only that one small folder is read."""
     path = snapshot_path(root, table)
-    if not _exists(spark, path):
+    newest = newest_complete(spark, path, before)
+    if newest is None:
         return None
-    schema = _with_partitions(FACT_SCHEMAS[table], fact=False)
-    df = spark.read.schema(schema).option("basePath", path).parquet(path)
-    if before is not None:
-        df = df.where(F.col("batch_id") < before)
-    newest = df.select(F.max("batch_id")).scalar()
-    return df.where(F.col("batch_id") == newest).drop("batch_id")
+    return spark.read.schema(FACT_SCHEMAS[table]).parquet(f"{path}/batch_id={newest}")
 
 
 def prune_snapshots(spark: SparkSession, root: str, table: str, keep_from: int) -> None:

@@ -73,14 +73,12 @@ def start_hourly(readings_stream: DataFrame, out_dir: str, checkpoint: str, avai
 
 
 def _read_state(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame | None:
-    from roomsense.sources.sink import _exists
-    if not _exists(spark, out_dir):
+    """The newest committed state folder (never one still being written)."""
+    from roomsense.sources.sink import newest_complete
+    newest = newest_complete(spark, out_dir, before)
+    if newest is None:
         return None
-    log = spark.read.parquet(out_dir)
-    if before is not None:
-        log = log.where(F.col("batch_id") < before)
-    newest = log.select(F.max("batch_id")).scalar()
-    return log.where(F.col("batch_id") == newest).drop("batch_id")
+    return spark.read.parquet(f"{out_dir}/batch_id={newest}")
 
 
 def _prune(spark: SparkSession, out_dir: str, keep_from: int) -> None:

@@ -134,14 +134,10 @@ class IngestJob:
 
     def read_mark(self, before: int | None = None):
         """The newest stored mark (None when nothing was stored)."""
-        path = self._mark_path()
-        if not sink._exists(self.spark, path):
+        newest = sink.newest_complete(self.spark, self._mark_path(), before)
+        if newest is None:
             return None
-        marks = self.spark.read.parquet(path)
-        if before is not None:
-            marks = marks.where(F.col("batch_id") < before)
-        row = marks.orderBy(F.col("batch_id").desc()).select("mark").first()
-        return None if row is None else row["mark"]
+        return self.spark.read.parquet(f"{self._mark_path()}/batch_id={newest}").first()["mark"]
 
     def poll_once(self, path: str, batch_id: int, first_pass: bool = False, dias: int = 1) -> dict:
         """One pass of the reference's polling loop in batch form (I01, S02-S04):

@@ -1,6 +1,8 @@
 """Reports over the stored, day-partitioned layout equal the in-memory
 results, and time windows prune day partitions."""
 
+import os
+
 import pytest
 
 from roomsense.operators import alerts as al
@@ -91,3 +93,13 @@ def test_feeds_register_dimensions_side_by_side(spark, gold, tmp_path):
                      root, "sensors", 5, source="occ")
     cur = sink.current_dimension(sink.read_table(spark, root, "sensors"), "sensors")
     assert cur.where("sensor_id = 3").first().sensor_code == "HPD2-UTI-A"
+
+
+def test_readers_skip_uncommitted_folders(spark, gold, tmp_path):
+    root = str(tmp_path / "snap")
+    sink.write_snapshot(gold.env, root, "env_readings", 3)
+    # a newer batch still being written: folder exists, only _temporary inside
+    os.makedirs(os.path.join(sink.snapshot_path(root, "env_readings"), "batch_id=4", "_temporary", "0"))
+    assert sink.newest_complete(spark, sink.snapshot_path(root, "env_readings")) == 3
+    assert sink.read_snapshot(spark, root, "env_readings").count() == 6
+    assert sink.read_snapshot(spark, root, "env_readings", before=3) is None
