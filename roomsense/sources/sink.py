@@ -87,6 +87,17 @@ def current_dimension(df: DataFrame, table: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*cols), rank).alias("r")).select("r.*")
 
 
+def stream_table(spark: SparkSession, root: str, table: str, max_files_per_trigger: int | None = 1000) -> DataFrame:
+    """A stored fact table as a file-source stream (new batch folders as they
+    commit), with its partition columns; feeds the streaming tiles (I11)."""
+    schema = _with_partitions(FACT_SCHEMAS[table], fact=True)
+    path = table_path(root, table)
+    r = spark.readStream.schema(schema).option("basePath", path)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.parquet(path)
+
+
 def read_plain(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
     """A table stored as one plain parquet folder; empty (typed) if absent."""
     path = table_path(root, table)

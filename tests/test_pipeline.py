@@ -78,3 +78,15 @@ def test_store_has_snapshots(stored):
 ])
 def test_reports_from_store(stored, gold, report):
     _same(report(stored), report(gold))
+
+
+def test_hourly_tiles_stream_over_the_store(spark, gold, stored, tmp_path):
+    from roomsense.streaming import hourly
+    root = stored.env.inputFiles()[0].split("/env_readings/")[0].replace("file://", "")
+    out = str(tmp_path / "tiles")
+    q = hourly.start_hourly(sink.stream_table(spark, root, "env_readings"), out, str(tmp_path / "ck_tiles"),
+                            available_now=True)
+    q.awaitTermination()
+    got = [tuple(r) for r in hourly.read_hourly(spark, out, stored.env, "30d", as_of=AS_OF).collect()]
+    want = [tuple(r) for r in en.env_hourly(gold, "30d", as_of=AS_OF).collect()]
+    assert got == want
