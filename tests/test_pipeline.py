@@ -39,7 +39,7 @@ def _land(folder, rows, chunks):
 
 
 @pytest.fixture(scope="module")
-def stored(spark, gold, tmp_path_factory):
+def pipeline_root(spark, gold, tmp_path_factory):
     base = tmp_path_factory.mktemp("pipeline")
     root = str(base / "store")
     sink.seed_store(root, gold.sectors, gold.sensors)
@@ -53,7 +53,12 @@ def stored(spark, gold, tmp_path_factory):
         q = IngestJob(spark, root, kind).start(str(base / f"land_{kind}"), checkpoint=str(base / f"ck_{kind}"),
                                                available_now=True, max_files_per_trigger=1)
         q.awaitTermination()
-    return Tables.from_storage(spark, root)
+    return root
+
+
+@pytest.fixture(scope="module")
+def stored(spark, pipeline_root):
+    return Tables.from_storage(spark, pipeline_root)
 
 
 def _same(a, b):
@@ -80,11 +85,10 @@ def test_reports_from_store(stored, gold, report):
     _same(report(stored), report(gold))
 
 
-def test_hourly_tiles_stream_over_the_store(spark, gold, stored, tmp_path):
+def test_hourly_tiles_stream_over_the_store(spark, gold, stored, pipeline_root, tmp_path):
     from roomsense.streaming import hourly
-    root = stored.env.inputFiles()[0].split("/env_readings/")[0].replace("file://", "")
     out = str(tmp_path / "tiles")
-    q = hourly.start_hourly(sink.stream_table(spark, root, "env_readings"), out, str(tmp_path / "ck_tiles"),
+    q = hourly.start_hourly(sink.stream_table(spark, pipeline_root, "env_readings"), out, str(tmp_path / "ck_tiles"),
                             available_now=True)
     q.awaitTermination()
     got = [tuple(r) for r in hourly.read_hourly(spark, out, stored.env, "30d", as_of=AS_OF).collect()]
