@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.llm import token_counts, warc_zip
+from roomsense.llm import bpe_codec, token_counts, warc_zip
 from roomsense.llm.common import read
 
 TOKEN_LIMIT = 512
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_codec.decode(bpe_codec.encode(read(spark, sf_dir, "documents")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_codec.ids_sha256("ids").alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(read(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -24,7 +30,7 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_counts": op4_token_counts, "op10_warc_zip": op10_warc_zip}
+    return {"op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op10_warc_zip": op10_warc_zip}
 
 
 def oracle_sql() -> dict[str, str]:
