@@ -14,9 +14,12 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,12 +142,23 @@ def encode_text(coder: bpe.ByteBpe, text: str, piece_chars: int) -> list[int]:
 IDS = pa.list_(pa.int32())
 
 
-def _encode_whole(path: str):
+def _id_lists(coder: bpe.ByteBpe, texts: pa.Array) -> pa.Array:
+    """The ids of some texts; each text's ids leave Python objects before the next is read."""
+    parts, ends = [np.empty(0, np.int32)], [0]
+    for text in texts:
+        ids = coder.encode(text.as_py())
+        parts.append(np.array(ids, np.int32))
+        ends.append(ends[-1] + len(ids))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+
+
+def _encode_whole(path: str, step: int = 512):
     def run(batches):
         coder = bpe.load(path)
         for batch in batches:
-            ids = [coder.encode(t) if t else [] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, IDS)], ["id", "ids"])
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield pa.RecordBatch.from_arrays([part.column("id"), _id_lists(coder, part.column("text"))], ["id", "ids"])
     return run
 
 
@@ -163,13 +177,14 @@ def _pieces(piece_chars: int, id_type: pa.DataType):
     return run
 
 
-def _encode_pieces(path: str):
+def _encode_pieces(path: str, step: int = 32):
     def run(batches):
         coder = bpe.load(path)
+        keep = ["id", "row", "piece", "before", "after"]
         for batch in batches:
-            ids = [coder.encode(t) for t in batch.column("text").to_pylist()]
-            keep = ["id", "row", "piece", "before", "after"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, IDS)], [*keep, "ids"])
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _id_lists(coder, part.column("text"))], [*keep, "ids"])
     return run
 
 
@@ -199,25 +214,24 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Adds the decoded text; null ids decode to the empty text."""
+def decoded(ids, path: str | None = None):
+    """The decoded text of a column of ids; null ids decode to the empty text."""
     path = path or bpe.default_path()
 
     @F.pandas_udf(StringType())
-    def texts(ids):
-        import pandas as pd
-
+    def texts(ids: pd.Series) -> pd.Series:
         coder = bpe.load(path)
         return pd.Series([coder.decode([] if x is None else x.tolist()) for x in ids], dtype=object)
 
-    return encoded.withColumn(out_col, texts(ids_col))
+    return texts(ids)
 
 
-@F.pandas_udf(StringType())
-def ids_sha256(ids):
-    """Lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    import hashlib
+def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Adds the decoded text."""
+    return encoded.withColumn(out_col, decoded(F.col(ids_col), path))
 
-    import numpy as np
 
+@F.pandas_udf(StringType())
+def ids_sha256(ids: pd.Series) -> pd.Series:
+    """Lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
     return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())

@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.llm import bpe_codec, token_counts, warc_zip
+from roomsense.llm import bpe_codec, mixing, token_counts, warc_zip
 from roomsense.llm.common import read
 
 TOKEN_LIMIT = 512
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_codec.decode(bpe_codec.encode(read(spark, sf_dir, "documents")))
+    coded = bpe_codec.encode(read(spark, sf_dir, "documents"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_codec.ids_sha256("ids").alias("ids_sha256"),
-                        F.sha2("decoded", 256).alias("decoded_sha256"))
+                        F.sha2(bpe_codec.decoded(F.col("ids")), 256).alias("decoded_sha256"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +35,7 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op10_warc_zip": op10_warc_zip}
+    return {"op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op10_warc_zip": op10_warc_zip}
 
 
 def oracle_sql() -> dict[str, str]:
