@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.llm import bpe_codec, mixing, token_counts, warc_zip
+from roomsense.llm import bpe_codec, mixing, quality_rules, token_counts, warc_zip
 from roomsense.llm.common import read
 
 TOKEN_LIMIT = 512
@@ -29,14 +29,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(read(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc_zip.write_packages(read(spark, sf_dir, "pages"))
     return warc_zip.read_packages(spark, packages, payloads=False).drop("url")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op10_warc_zip": op10_warc_zip}
+    return {"op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op8_quality_rules": op8_quality_rules, "op10_warc_zip": op10_warc_zip}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_rules": quality_rules.ORACLE_SQL}
