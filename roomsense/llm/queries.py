@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.llm import bpe_codec, mixing, quality_rules, token_counts, warc_zip
+from roomsense.llm import bpe_codec, mixing, quality_rules, token_counts, topk_kdtree, warc_zip
 from roomsense.llm.common import read
 
 TOKEN_LIMIT = 512
@@ -19,9 +19,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_codec.encode(read(spark, sf_dir, "documents"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_codec.ids_sha256("ids").alias("ids_sha256"),
-                        F.sha2(bpe_codec.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    coded = bpe_codec.encode(read(spark, sf_dir, "documents")).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe_codec.decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_kdtree.top_k(read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -38,9 +41,19 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.read_packages(spark, packages, payloads=False).drop("url")
 
 
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op8_quality_rules": op8_quality_rules, "op10_warc_zip": op10_warc_zip}
+    return {"op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op6_topk": op6_topk, "op8_quality_rules": op8_quality_rules,
+            "op10_warc_zip": op10_warc_zip}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op6_topk": TOPK_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
