@@ -19,11 +19,10 @@ import re
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from roomsense.llm import bpe
 from roomsense.llm.common import pick
@@ -142,6 +141,11 @@ def encode_text(coder: bpe.ByteBpe, text: str, piece_chars: int) -> list[int]:
 IDS = pa.list_(pa.int32())
 
 
+def sha256(ids: np.ndarray) -> str:
+    """Lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+
+
 def _id_lists(coder: bpe.ByteBpe, texts: pa.Array) -> pa.Array:
     """The ids of some texts; each text's ids leave Python objects before the next is read."""
     parts, ends = [np.empty(0, np.int32)], [0]
@@ -152,13 +156,19 @@ def _id_lists(coder: bpe.ByteBpe, texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
 
 
+def _digests(ids: pa.Array) -> pa.Array:
+    flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+    return pa.array([sha256(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+
+
 def _encode_whole(path: str, step: int = 512):
     def run(batches):
         coder = bpe.load(path)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                yield pa.RecordBatch.from_arrays([part.column("id"), _id_lists(coder, part.column("text"))], ["id", "ids"])
+                ids = _id_lists(coder, part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("id"), ids, _digests(ids)], ["id", "ids", "ids_sha256"])
     return run
 
 
@@ -192,12 +202,13 @@ def _join_pieces(path: str, id_type: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["piece"])
         ids = join_all(bpe.load(path), [r["ids"] for r in rows], [(r["before"], r["after"]) for r in rows[:-1]])
-        return pa.table({"id": pa.array([rows[0]["id"]], id_type), "ids": pa.array([ids], IDS)})
+        return pa.table({"id": pa.array([rows[0]["id"]], id_type), "ids": pa.array([ids], IDS),
+                         "ids_sha256": pa.array([sha256(np.array(ids, np.int32))])})
     return run
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = 1 << 16) -> DataFrame:
-    """``id_col`` and ids (array of int) of every row.  Only texts longer than ``piece_chars`` are shuffled."""
+    """``id_col``, ids (array of int) and ids_sha256 of every row.  Only texts longer than ``piece_chars`` are shuffled."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     path = path or bpe.default_path()
@@ -205,33 +216,27 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     kind = rows.schema["id"].dataType
     name, arrow = kind.simpleString(), to_arrow_type(kind)
     long = F.length("text") > piece_chars
-    short = rows.where(~long).mapInArrow(_encode_whole(path), f"id {name}, ids array<int>")
+    short = rows.where(~long).mapInArrow(_encode_whole(path), f"id {name}, ids array<int>, ids_sha256 string")
     pieces = rows.where(long).withColumn("row", F.monotonically_increasing_id())
     pieces = pieces.mapInArrow(_pieces(piece_chars, arrow), f"id {name}, row long, piece int, before long, after long, text string")
     pieces = pieces.repartition(F.xxhash64("row", "piece"))
     pieces = pieces.mapInArrow(_encode_pieces(path), f"id {name}, row long, piece int, before long, after long, ids array<int>")
-    joined = pieces.groupBy("row").applyInArrow(_join_pieces(path, arrow), f"id {name}, ids array<int>")
+    joined = pieces.groupBy("row").applyInArrow(_join_pieces(path, arrow), f"id {name}, ids array<int>, ids_sha256 string")
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
 
-def decoded(ids, path: str | None = None):
-    """The decoded text of a column of ids; null ids decode to the empty text."""
+def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded", step: int = 512) -> DataFrame:
+    """Replaces the ids by their text; null ids decode to the empty text.  The other columns stay."""
     path = path or bpe.default_path()
+    names = [n for n in encoded.columns if n != ids_col]
 
-    @F.pandas_udf(StringType())
-    def texts(ids: pd.Series) -> pd.Series:
+    def run(batches):
         coder = bpe.load(path)
-        return pd.Series([coder.decode([] if x is None else x.tolist()) for x in ids], dtype=object)
-
-    return texts(ids)
-
-
-def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Adds the decoded text."""
-    return encoded.withColumn(out_col, decoded(F.col(ids_col), path))
-
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                texts = [coder.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(ids_col)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, out_col])
 
-@F.pandas_udf(StringType())
-def ids_sha256(ids: pd.Series) -> pd.Series:
-    """Lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())
+    schema = StructType([f for f in encoded.schema.fields if f.name != ids_col] + [StructField(out_col, StringType())])
+    return encoded.select(*names, ids_col).mapInArrow(run, schema)
