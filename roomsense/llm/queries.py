@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.llm import bpe_codec, mixing, quality_rules, token_counts, topk_kdtree, warc_zip
+from roomsense.llm import bpe_codec, mixing, near_dup, quality_rules, token_counts, topk_kdtree, warc_zip
 from roomsense.llm.common import read
 
 TOKEN_LIMIT = 512
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
@@ -51,7 +55,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op6_topk": op6_topk, "op8_quality_rules": op8_quality_rules,
+    return {"op1_near_dup": op1_near_dup, "op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op6_topk": op6_topk, "op8_quality_rules": op8_quality_rules,
             "op10_warc_zip": op10_warc_zip}
 
 
