@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.llm import bpe_codec, mixing, near_dup, quality_rules, token_counts, topk_kdtree, warc_zip
-from roomsense.llm.common import read
+from roomsense.llm import bpe_codec, mixing, near_dup, quality_rules, token_counts, topk_kdtree, toxicity, warc_zip
+from roomsense.llm.common import pick, read
 
 TOKEN_LIMIT = 512
+TOXIC_FROM = 0.7
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def remainder(doc_id, of: int):
+    """crc32 of the id as text, modulo ``of``; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string")) % of
+
+
+def toxicity_index(spark: SparkSession, sf_dir: str) -> toxicity.Index:
+    labels = pick(read(spark, sf_dir, "labels"), id="doc_id", y="toxic").where(remainder("id", 3) != 1)
+    return toxicity.fit(pick(read(spark, sf_dir, "documents"), id="doc_id", text="text"), labels)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(read(spark, sf_dir, "documents"), toxicity_index(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "evidence")
+
+
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc_zip.write_packages(read(spark, sf_dir, "pages"))
     return warc_zip.read_packages(spark, packages, payloads=False).drop("url")
@@ -56,7 +73,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_near_dup": op1_near_dup, "op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op6_topk": op6_topk, "op8_quality_rules": op8_quality_rules,
-            "op10_warc_zip": op10_warc_zip}
+            "op9_toxicity": op9_toxicity, "op10_warc_zip": op10_warc_zip}
 
 
 def oracle_sql() -> dict[str, str]:
