@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.llm import bpe_codec, mixing, near_dup, quality_rules, token_counts, topk_kdtree, toxicity, warc_zip
+from roomsense.llm import bpe_codec, mixing, near_dup, quality_cnn, quality_rules, token_counts, topk_kdtree, toxicity, warc_zip
 from roomsense.llm.common import pick, read
 
 TOKEN_LIMIT = 512
 TOXIC_FROM = 0.7
+GOOD_FROM = 0.3
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels = pick(read(spark, sf_dir, "labels"), id="doc_id", y="quality").where(remainder("id", 5) != 0)
+    scored = quality_cnn.score(docs, quality_cnn.fit(pick(docs, id="doc_id", text="text"), labels))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_kdtree.top_k(read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
@@ -72,7 +81,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dup": op1_near_dup, "op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op6_topk": op6_topk, "op8_quality_rules": op8_quality_rules,
+    return {"op1_near_dup": op1_near_dup, "op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op5_quality_cnn": op5_quality_cnn, "op6_topk": op6_topk, "op8_quality_rules": op8_quality_rules,
             "op9_toxicity": op9_toxicity, "op10_warc_zip": op10_warc_zip}
 
 
