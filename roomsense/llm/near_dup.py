@@ -333,7 +333,8 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, words: int, m: in
     buckets = _buckets(classes, m)
     reps = buckets.select(F.col("rep").alias("id")).distinct()
     sketches = written(classes.join(reps, F.col("rep") == F.col("id"), "left_semi").select("rep", "n_shingles", "sketch"), "sketches")
-    members = written(texts.join(reps, "id", "left_semi").dropDuplicates(["id"]), "member-texts")
+    # the one shuffle of all texts, asked for by name so that every input size is planned alike
+    members = written(texts.join(reps.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "member-texts")
 
     lead = buckets.groupBy("key").agg(F.max(F.struct("score", "rep"))["rep"].alias("y"))
     stars = written(buckets.join(lead, "key").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct(), "stars")
