@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.llm import bpe_codec, mixing, near_dup, quality_cnn, quality_rules, token_counts, topk_kdtree, toxicity, warc_zip
+from roomsense.llm import bpe_codec, licenses, mixing, near_dup, quality_cnn, quality_rules, token_counts, topk_kdtree, toxicity, warc_zip
 from roomsense.llm.common import pick, read
 
 TOKEN_LIMIT = 512
@@ -46,6 +46,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_kdtree.top_k(read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -81,7 +85,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dup": op1_near_dup, "op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op5_quality_cnn": op5_quality_cnn, "op6_topk": op6_topk, "op8_quality_rules": op8_quality_rules,
+    return {"op1_near_dup": op1_near_dup, "op2_mixing": op2_mixing, "op3_bpe_codec": op3_bpe_codec, "op4_token_counts": op4_token_counts, "op5_quality_cnn": op5_quality_cnn, "op6_topk": op6_topk, "op7_license_scan": op7_license_scan, "op8_quality_rules": op8_quality_rules,
             "op9_toxicity": op9_toxicity, "op10_warc_zip": op10_warc_zip}
 
 
