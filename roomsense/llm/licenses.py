@@ -138,13 +138,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             rows = rows.withColumn(f"p{w}", at)
             rows = rows.withColumn(f"h{w}", _at_places(f"p{w}", w))
         rows = rows.withColumn(f"k{w}", _known(f"h{w}", sorted({h for k in mine for h in k["hashes"]})))
-    found = None
-    for w in widths:
-        found = F.size(f"k{w}") > 0 if found is None else found | (F.size(f"k{w}") > 0)
-    if found is None:
+    if not known:
         return rows.where("false").select(F.col("id").alias(id_col), F.lit("").alias("template"), F.lit(0.0).alias("containment"),
                                           F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("window_words"))
-    rows = rows.where(found)
 
     windows = []
     kinds = sorted({(k["width"], k["t"]) for k in known})
@@ -154,7 +150,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         values = sorted({h for k in mine for h in k["hashes"]})
         starts = _starts(f"k{w}", values, step, size)
         windows.append(F.transform(starts, _window(n, w, size, bands)))
-    rows = rows.select("id", F.explode(F.concat(*windows)).alias("x")).select("id", "x.*")
+    # explode() would add a filter that repeats all of the above, hashes included; explode_outer() does not
+    rows = rows.select("id", F.explode_outer(F.concat(*windows)).alias("x")).where("x is not null").select("id", "x.*")
     rows = rows.select("id", "kind", "start", "window_words", "hashes", F.posexplode("bands").alias("band", "value"))
 
     table = F.array(*(F.struct(F.lit(k["name"]).alias("template"), F.lit(kinds.index((k["width"], k["t"]))).alias("kind"), F.lit(k["bands"]).alias("n"),
