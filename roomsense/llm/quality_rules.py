@@ -30,9 +30,13 @@ def _without(text, chars: str) -> Column:
 
 
 def with_words(rows: DataFrame) -> DataFrame:
-    """Adds words and n_words to (id, text)."""
+    """Adds words and n_words to rows with a text.
+
+    The words come out of a generator: a filter above cannot then be pushed below it, where the split would be repeated
+    for every element that a rule looks at.
+    """
     bare = F.btrim("text", F.lit(SPACE_CHARS))
-    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", F.split(bare, f"[{SPACES}]+"))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).select("*", F.explode_outer(F.array(F.split(bare, f"[{SPACES}]+"))).alias("words"))
     return rows.withColumn("n_words", F.when(F.col("words")[0] == "", 0).otherwise(F.size("words")).cast("long"))
 
 
