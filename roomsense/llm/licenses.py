@@ -77,6 +77,8 @@ def _bands(hashes: Column, n: int) -> Column:
 
 def template_rows(spark: SparkSession, templates: dict[str, str], least: float, miss: float) -> list[dict]:
     """name, width (words a shingle), t (distinct shingles), step, window, bands and hashes of every template."""
+    if not templates:
+        return []
     table = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).alias("text")) for k, v in templates.items()))
     rows = spark.range(1).select(F.inline(table)).withColumn("words", F.filter(_words(F.col("text")), lambda w: w != ""))
     hashed = F.array_distinct(F.coalesce(*(F.when(F.size("words") >= w, _shingles(F.col("words"), w)) for w in range(WORDS, 0, -1))))

@@ -125,9 +125,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     z = F.col("lambda") * F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("full"), float(most_copies)).otherwise(float(most_copies) / (1 + F.exp(-z)))
+    # sums in another order differ in the last bits; rounded, reruns agree
     rated = (cells.alias("k").join(wanted.alias("w"), F.col("k.source").eqNullSafe(F.col("w.source")))
              .join(state.alias("s"), F.col("k.source").eqNullSafe(F.col("s.source")), "left")
-             .select("k.source", "size", "n", "source_size", "target", F.coalesce(rate, F.lit(0.0)).alias("rate")))
+             .select("k.source", "size", "n", "source_size", "target", F.round(F.coalesce(rate, F.lit(0.0)), 6).alias("rate")))
     rated = written(rated.groupBy("source").applyInPandas(_diffuse(most_copies), rated.schema.simpleString()[7:-1] + ", cell_copies long")
                     .withColumn("parts", F.ceil(F.col("n") / F.lit(cell_rows))), "rates")
 

@@ -386,5 +386,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         where = where.join(found, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     where = where.where("members > 1 or component_id <> rep").select("k1", "k2", "n_shingles", "component_id")
     out = sets.drop("bands", "sketch").join(where, ["k1", "k2", "n_shingles"], "left")
-    own = F.coalesce("component_id", "id")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))

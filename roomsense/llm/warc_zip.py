@@ -119,7 +119,7 @@ def central_directory(file) -> list[dict]:
     tail_at = max(0, file.size - (22 + 0xFFFF + 20))
     tail = file.read(tail_at, file.size - tail_at)
     end = tail.rfind(EOCD)
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(EOCD, 0, end)   # the signature can stand in the comment
     if end < 0:
         raise ValueError("no end-of-central-directory record")
