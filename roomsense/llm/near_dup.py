@@ -328,8 +328,8 @@ def _across(percent: int):
     return run
 
 
-def _links(classes: DataFrame, texts: DataFrame, percent: int, words: int, m: int, rows: int) -> DataFrame | None:
-    """Components (node, component) of the class representatives; None without links."""
+def _links(classes: DataFrame, texts: DataFrame, percent: int, words: int, m: int, rows: int) -> DataFrame:
+    """Components (node, component) of the linked class representatives."""
     buckets = _buckets(classes, m)
     reps = buckets.select(F.col("rep").alias("id")).distinct()
     sketches = written(classes.join(reps, F.col("rep") == F.col("id"), "left_semi").select("rep", "n_shingles", "sketch"), "sketches")
@@ -339,13 +339,12 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, words: int, m: in
     lead = buckets.groupBy("key").agg(F.max(F.struct("score", "rep"))["rep"].alias("y"))
     stars = written(buckets.join(lead, "key").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct(), "stars")
     links = written(verified(promising(stars, sketches, percent, 2 * m * rows), members, percent, words), "star-links")
-    found = None if links.isEmpty() else written(components(links), "components")
-
-    rest = buckets.select("key", "rep")
-    if found is None:
-        rest = rest.withColumn("component", F.col("rep"))
-    else:
-        rest = rest.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    # two hops along the stars are enough to tell most members as joined; equal marks are always in one component
+    hop = links.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("component"))
+    over = hop.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    hops = written(hop.join(over, "component", "left").select("node", F.least("component", "further").alias("component")), "hops")
+    rest = buckets.select("key", "rep").join(hops, F.col("rep") == F.col("node"), "left")
+    rest = rest.select("key", "rep", F.coalesce("component", "rep").alias("component"))
     rest = written(rest, "bucket-components")
     live = (rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n"))
             .where("c1 <> c2 and n > 2"))   # of two members one was the leader
@@ -357,11 +356,12 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, words: int, m: in
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     live = live.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "n_shingles", "level", "hashes")
     live = live.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    joins = written(live.mapInArrow(_across(percent), f"x {kind}, y {kind}, sure boolean").distinct(), "block-links")
-    if joins.isEmpty():
-        return found
-    more = joins.where("sure").select("x", "y").unionByName(verified(joins.where("not sure").select("x", "y"), members, percent, words))
-    return written(components(links.unionByName(more)), "components")
+    joins = written(live.mapInArrow(_across(percent), f"x {kind}, y {kind}, sure boolean"), "block-links")
+    links = links.unionByName(joins.where("sure").select("x", "y"))
+    unsure = joins.where("not sure").select("x", "y")
+    if not unsure.isEmpty():
+        links = links.unionByName(verified(unsure.distinct(), members, percent, words))
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = 5, rows: int = 4,
@@ -380,10 +380,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                                                          F.first("sketch").alias("sketch")), "classes")
     found = _links(classes.select("rep", "n_shingles", "bands", "sketch"), source.where("id is not null"), percent, words, m, rows)
     where = classes.select("k1", "k2", "n_shingles", "rep", "members")
-    if found is None:
-        where = where.withColumn("component_id", F.col("rep"))
-    else:
-        where = where.join(found, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
+    where = where.join(found, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     where = where.where("members > 1 or component_id <> rep").select("k1", "k2", "n_shingles", "component_id")
     out = sets.drop("bands", "sketch").join(where, ["k1", "k2", "n_shingles"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
