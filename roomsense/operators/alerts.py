@@ -19,13 +19,14 @@ from roomsense.tables import Tables
 def alert_list(t: Tables, severity: str | None = None, status: str | None = None, sector_id: int | None = None,
                limit: int = 50, *, as_of=None) -> DataFrame:
     """Q08: alerts with optional filters (absent/empty adds nothing, F06),
+    read without regard to case like the stored codes (C10),
     inner-joined to their sector, newest ``limit`` by (fired_at, alert_id)
     descending (C6).  A global top-k: each task keeps its own top 50."""
     a = t.alerts
     if severity:
-        a = a.where(F.col("severity") == F.lit(severity))
+        a = a.where(F.col("severity") == F.lit(severity.strip().upper()))
     if status:
-        a = a.where(F.col("status") == F.lit(status))
+        a = a.where(F.col("status") == F.lit(status.strip().upper()))
     if sector_id is not None and sector_id != "":
         a = a.where(F.col("sector_id") == F.lit(sector_id))
     now = as_of_col(as_of)

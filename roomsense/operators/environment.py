@@ -48,7 +48,11 @@ def env_hourly(t: Tables, period: str = "24h", *, as_of=None) -> DataFrame:
     window touches up to N+1 buckets (C3); empty hours give no row (C4); the
     label is the earliest reading of the bucket (C5)."""
     a = t.anchor(as_of)
-    rows = since(t.env, a - hours(period_hours(period))).select("ts", *ENV_VARS)
+    return _hourly(since(t.env, a - hours(period_hours(period))))
+
+
+def _hourly(readings: DataFrame) -> DataFrame:
+    rows = readings.select("ts", *ENV_VARS)
     g = rows.groupBy(hour_bucket("ts").alias("bucket")).agg(
         F.min("ts").alias("first_ts"), *[F.avg(v).alias(v) for v in ENV_VARS])
     return g.select(
@@ -61,8 +65,11 @@ def env_hourly(t: Tables, period: str = "24h", *, as_of=None) -> DataFrame:
 
 
 def env_current(t: Tables, period: str = "24h", *, as_of=None) -> DataFrame:
-    """The last hourly bucket of Q05 shown as the current value."""
-    return env_hourly(t, period, as_of=as_of).orderBy(F.col("bucket").desc()).limit(1)
+    """The last hourly bucket of Q05 shown as the current value.  The
+    anchor is the newest reading, so only its own hour is read (cut where the
+    period is shorter)."""
+    a = t.anchor(as_of)
+    return _hourly(since(t.env, F.greatest(hour_bucket(a), a - hours(period_hours(period))))).orderBy(F.col("bucket").desc()).limit(1)
 
 
 def co2_humidity_points(t: Tables, period: str = "24h", *, as_of=None) -> DataFrame:

@@ -86,9 +86,11 @@ def occupancy_events(t: Tables, sector_id: int | None = None, readings: int = 12
     gets one "no movement" row.  All windows share the sensor partitioning, so
     the whole report is one shuffle of at most 12 rows per sensor and map task.
     """
-    caps = _requested_sectors(t, sector_id).select("sector_id", "max_capacity")
-    reads = _counter_readings(t, sector_id, readings).join(caps, "sector_id", "left")
-    cut = last_n(reads, ["sensor_id"], readings, rank="rn")
+    caps = _requested_sectors(t, sector_id).select("sector_id", "max_capacity", F.lit(True).alias("_listed"))
+    cut = last_n(_counter_readings(t, sector_id, readings), ["sensor_id"], readings, rank="rn")
+    # a sector that does not exist counts with the default capacity, whether asked for alone or with all others
+    cut = cut.join(caps, "sector_id", "left").withColumn(
+        "max_capacity", F.when(F.col("_listed").isNull(), F.lit(DEFAULT_CAPACITY)).otherwise(F.col("max_capacity")))
     w = Window.partitionBy("sensor_id").orderBy(F.col("ts").desc(), F.col("id").desc())
     change = F.col("people") - F.lead("people").over(w)
     flagged = cut.withColumn("change", change.cast("int"))

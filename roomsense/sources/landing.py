@@ -35,12 +35,16 @@ def stream_feed(spark: SparkSession, path: str, kind: str, max_files_per_trigger
     return r.json(path)
 
 
-def initial_window(parsed: DataFrame, dias: int = 1, *, as_of=None) -> DataFrame:
-    """First load by dates — from date(now + 1 day - dias) to
-    date(now + 1 day), both dates included."""
+def in_initial_window(dias: int = 1, *, as_of=None) -> Column:
+    """Dates from date(now + 1 day - dias) to date(now + 1 day), both included."""
     end = as_of_col(as_of) + days(1)
     start = end - days(dias)
-    return parsed.where(F.to_date("ts").between(F.to_date(start), F.to_date(end)))
+    return F.to_date("ts").between(F.to_date(start), F.to_date(end))
+
+
+def initial_window(parsed: DataFrame, dias: int = 1, *, as_of=None) -> DataFrame:
+    """First load by dates."""
+    return parsed.where(in_initial_window(dias, as_of=as_of))
 
 
 def high_water_mark(stored: DataFrame) -> Column:

@@ -14,8 +14,6 @@ registration (the seed first), as an insert-if-absent table would.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +58,7 @@ def write_batch(df: DataFrame, root: str, table: str, batch_id: int, source: str
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.isdir(path)
+    """Asked of the path's own file system: a path without a scheme is on the cluster's default one."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -78,6 +75,25 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
+def largest_batch(spark: SparkSession, root: str, table: str) -> int | None:
+    """Highest batch number that has a folder of a table, complete or not."""
+    path = table_path(root, table)
+    if not _exists(spark, path):
+        return None
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return max((int(n.split("=", 1)[1]) for n in names if n.startswith("batch_id=")), default=None)
+
+
+def newest_file_time(spark: SparkSession, path: str) -> int | None:
+    """Latest modification time (ms) of the files in a folder."""
+    if not _exists(spark, path):
+        return None
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return max((x.getModificationTime() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if x.isFile()),
+               default=None)
+
+
 def current_dimension(df: DataFrame, table: str) -> DataFrame:
     """One row per key: the earliest registration (seed, then lowest batch,
     then source name).  Dimensions are small and size-checked by Tables."""

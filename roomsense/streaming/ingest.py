@@ -10,6 +10,12 @@ Each batch, streamed or polled, goes through ``process``:
    drop what is already stored under either key (I02, C7);
 4. write the batch folder with overwrite (C8) and the counters (I08).
 
+An empty batch writes nothing and is reported as skipped (I05); empty outputs
+write no folder.  With ``initial_days`` the first load is a date window over
+all files that had landed when the first run started, however the stream cuts
+them into batches.  A new checkpoint over a store that already holds batches
+numbers its own above them, so nothing stored is overwritten.
+
 In the stream the checkpoint replaces the reference's id mark; a row with an
 old event time but a new file is accepted (I09).  Processing-time trigger
 60 s in service, ``availableNow`` in tests.
@@ -17,6 +23,7 @@ old event time but a new file is accepted (I09).  Processing-time trigger
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +45,7 @@ class IngestJob:
     eight_bit: bool = False
     initial_days: int | None = None   # S02: first pass keeps only this date window
     as_of: object = None              # clock of the initial window (default: now)
+    initial_until: int | None = None  # S02: newest file (ms) of the initial load; set by ``start``
 
     @property
     def table(self) -> str:
@@ -69,17 +77,21 @@ class IngestJob:
         raw = raw.persist()
         try:
             received = raw.count()
+            if received == 0:
+                return {"batch_id": batch_id, "received": 0, "inserted": 0, "skipped": True}
             parsed = ops.parse_feed(raw, self.kind)
-            if window_days is None and self.initial_days is not None and batch_id == 0:
-                # The first pass is a date window; a retried first
-                # pass is batch 0 again, so it is again a date window
+            first_load = F.lit(window_days is not None)
+            if window_days is None and self.initial_days is not None:
+                # decided per record by the age of its file, not by the batch it happens to be in
                 window_days = self.initial_days
+                first_load = (F.lit(batch_id == 0) if self.initial_until is None else
+                              F.unix_millis(F.col(ops.ARRIVAL)["t"]) <= F.lit(self.initial_until))
             if window_days is not None:
-                parsed = landing.initial_window(parsed, window_days, as_of=self.as_of).unionByName(
-                    parsed.where(F.col("ts").isNull()))
+                inside = landing.in_initial_window(window_days, as_of=self.as_of)
+                parsed = parsed.where(~first_load | F.col("ts").isNull() | inside)
             good, bad = ops.split_valid(parsed, self.kind, eight_bit=self.eight_bit)
             bad_cols = [c for c in bad.columns if c != ops.ARRIVAL]
-            sink.write_batch(bad.select(*bad_cols), self.store_root, f"quarantine_{self.kind}", batch_id)
+            self._write(bad.select(*bad_cols), f"quarantine_{self.kind}", batch_id)
 
             # dimension rows other than this feed's own batch (a replay must
             # not see its own first attempt)
@@ -88,8 +100,8 @@ class IngestJob:
             sectors = sink.read_table(spark, self.store_root, "sectors").where(~mine)
             new_sensors = ops.new_sensors(good, sensors).persist()
             new_sectors = ops.new_sectors(new_sensors, sectors)
-            sink.write_batch(new_sensors, self.store_root, "sensors", batch_id, source=self.kind)
-            sink.write_batch(new_sectors, self.store_root, "sectors", batch_id, source=self.kind)
+            self._write(new_sensors, "sensors", batch_id, source=self.kind)
+            self._write(new_sectors, "sectors", batch_id, source=self.kind)
             new_sensors.unpersist()
 
             stored = sink.read_table(spark, self.store_root, self.table).where(F.col("batch_id") != batch_id)
@@ -97,9 +109,10 @@ class IngestJob:
             accepted = ops.dedupe(good.select(*keep, ops.ARRIVAL), stored).persist()
             stats = accepted.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("max_id")).first()
             inserted = stats["n"]
-            sink.write_batch(accepted, self.store_root, self.table, batch_id)
-            self.update_recent(accepted, batch_id)
-            self.update_mark(stats["max_id"], batch_id)
+            if inserted:
+                sink.write_batch(accepted, self.store_root, self.table, batch_id)
+                self.update_recent(accepted, batch_id)
+                self.update_mark(stats["max_id"], batch_id)
             accepted.unpersist()
             counters = {"batch_id": batch_id, "received": received, "inserted": inserted}
             spark.createDataFrame([counters]).write.mode("overwrite").json(
@@ -108,13 +121,22 @@ class IngestJob:
         finally:
             raw.unpersist()
 
+    def _write(self, df: DataFrame, table: str, batch_id: int, **where) -> None:
+        """Write a batch's rows; no folder for none.  A replayed batch has the same rows, so it writes or skips alike."""
+        if not df.isEmpty():
+            sink.write_batch(df, self.store_root, table, batch_id, **where)
+
     def update_recent(self, accepted: DataFrame, batch_id: int, keep: int = 3) -> None:
         """Newest RECENT_DEPTH readings per sensor: previous snapshot (at most
         depth x sensors rows) merged with this batch's accepted rows.  A replay
         of batch N merges with snapshot N-1 again, so it rewrites the same
         snapshot."""
         prev = sink.read_snapshot(self.spark, self.store_root, self.table, before=batch_id)
-        merged = accepted if prev is None else prev.unionByName(accepted.select(*prev.columns))
+        if prev is None:
+            # the store may have been filled by other means: a snapshot must cover every stored fact
+            stored = sink.read_table(self.spark, self.store_root, self.table).where(F.col("batch_id") != batch_id)
+            prev = last_n(stored, ["sensor_id"], RECENT_DEPTH, rank="_rank").select(*accepted.columns)
+        merged = prev.unionByName(accepted.select(*prev.columns))
         snap = last_n(merged, ["sensor_id"], RECENT_DEPTH, rank="_rank").drop("_rank")
         sink.write_snapshot(snap, self.store_root, self.table, batch_id)
         sink.prune_snapshots(self.spark, self.store_root, self.table, keep_from=batch_id - keep + 1)
@@ -160,6 +182,27 @@ class IngestJob:
             return {"batch_id": batch_id, "received": 0, "inserted": 0, "skipped": True}
         return self.process(landing.incremental(records, mark), batch_id)
 
+    def _note(self, name: str, value: int | None) -> int | None:
+        """A number kept beside the store under a name; written if given."""
+        path = f"{self.store_root.rstrip('/')}/_run_{self.kind}/{name}"
+        if value is not None:
+            self.spark.createDataFrame([(value,)], "value long").coalesce(1).write.mode("overwrite").parquet(path)
+            return value
+        return self.spark.read.parquet(path).first()["value"] if sink._exists(self.spark, path) else None
+
+    def _first_batch(self, checkpoint: str) -> int:
+        """Number of a checkpoint's batch 0: above all batches that the store held when the checkpoint was new."""
+        name = f"first-{hashlib.sha1(checkpoint.encode()).hexdigest()}"
+        if sink._exists(self.spark, f"{checkpoint.rstrip('/')}/offsets"):
+            return self._note(name, None) or 0
+        largest = sink.largest_batch(self.spark, self.store_root, self.table)
+        return self._note(name, 0 if largest is None else largest + 1)
+
+    def _initial_until(self, landing_dir: str) -> int:
+        """Age limit (ms) of the initial load's files: the newest that had landed when the first run started."""
+        known = self._note("initial-until", None)
+        return self._note("initial-until", sink.newest_file_time(self.spark, landing_dir) or 0) if known is None else known
+
     def start(self, landing_dir: str, checkpoint: str | None = None, available_now: bool = False,
               max_files_per_trigger: int | None = 10_000, period: str = "60 seconds"):
         # max_files_per_trigger bounds each micro-batch (a backlog of landed
@@ -169,8 +212,11 @@ class IngestJob:
             if not base:
                 raise ValueError("no checkpoint location: pass one or set spark.checkpoint.dir")
             checkpoint = f"{base.rstrip('/')}/ingest_{self.kind}"
+        first = self._first_batch(checkpoint)
+        if self.initial_days is not None:
+            self.initial_until = self._initial_until(landing_dir)
         stream = self.with_file(landing.stream_feed(self.spark, landing_dir, self.kind, max_files_per_trigger))
-        w = stream.writeStream.foreachBatch(lambda df, bid: self.process(df, bid)).option(
+        w = stream.writeStream.foreachBatch(lambda df, bid: self.process(df, first + bid)).option(
             "checkpointLocation", checkpoint)
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=period)
         return w.start()
