@@ -96,15 +96,19 @@ def alerts_from_thresholds(t: Tables, readings: DataFrame | None = None) -> Data
     alert-shaped row when a limit is crossed.  Stateless per row, so the same
     function serves batch and stream."""
     env = t.env if readings is None else readings
-    pairs = F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(c).alias("measured"))
-                      for p, c in READING_PARAMETERS])
-    long = env.select("id", "ts", "sensor_id", F.inline(pairs))
-    j = long.join(t.sensor_sector().select("sensor_id", "sector_id", "sector_type"), "sensor_id")
+    # one row of limits per sector type, joined before the parameters are unfolded; only crossings are unfolded
+    lim = _type_limits(t).groupBy("sector_type").agg(F.map_from_entries(F.collect_list(F.struct(
+        "parameter", F.struct("critical_limit", "attention_limit", "unit")))).alias("limits"))
     small = t.is_small("sectors") and t.is_small("thresholds")
-    j = j.join(maybe_broadcast(_type_limits(t), small), ["sector_type", "parameter"])
-    sev = (F.when(F.col("measured") > F.col("critical_limit"), F.lit(CRITICAL))
-           .when(F.col("measured") > F.col("attention_limit"), F.lit(ATTENTION)))
-    hit = j.withColumn("severity", sev).where(F.col("severity").isNotNull())
+    ss = t.sensor_sector().select("sensor_id", "sector_id", "sector_type")
+    j = env.join(ss, "sensor_id").join(maybe_broadcast(lim, small), "sector_type")
+    pairs = F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(c).alias("measured"), F.col("limits")[p].alias("lim"))
+                      for p, c in READING_PARAMETERS])
+    crossed = F.filter(pairs, lambda x: F.coalesce((x["measured"] > x["lim"]["critical_limit"])
+                                                   | (x["measured"] > x["lim"]["attention_limit"]), F.lit(False)))
+    long = j.select("id", "ts", "sensor_id", "sector_id", F.inline(crossed))
+    hit = long.select("id", "ts", "sensor_id", "sector_id", "parameter", "measured", "lim.*").withColumn(
+        "severity", F.when(F.col("measured") > F.col("critical_limit"), F.lit(CRITICAL)).otherwise(F.lit(ATTENTION)))
     return hit.select(
         F.col("id").alias("reading_id"), "sensor_id", "sector_id", "parameter", "measured",
         F.when(F.col("severity") == CRITICAL, F.col("critical_limit")).otherwise(F.col("attention_limit")).alias(

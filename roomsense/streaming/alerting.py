@@ -1,15 +1,22 @@
-"""I12 streaming form: alert-shaped rows raised from a reading stream.
+"""I12 streaming form: alerts raised from a reading stream.
 
-The per-row rule is ``operators.thresholds.alerts_from_thresholds``; the
-dimensions join as static sides of stream-static joins.
+The per-row rule is ``operators.thresholds.alerts_from_thresholds``.
+``start_store_alerts`` serves a store: every micro-batch reads the dimensions
+anew, so devices registered meanwhile raise too, and appends full rows of the
+``alerts`` table, which the alert reports read.  An alert's id is a hash of
+its reading and parameter, and a batch adds only ids that are not there, so a
+replayed batch adds nothing.  ``start_alerts`` is the plain stream-static join
+over dimensions as they are at its start.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomsense import schemas
 from roomsense.operators.thresholds import alerts_from_thresholds
+from roomsense.sources import sink
 from roomsense.tables import Tables
 
 
@@ -26,3 +33,35 @@ def start_alerts(t: Tables, readings_stream: DataFrame, out_dir: str, checkpoint
          .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=period)
     return w.start()
+
+
+def alert_rows(raised: DataFrame) -> DataFrame:
+    """Raised crossings as rows of the ``alerts`` table, open and not yet attended."""
+    none = F.lit(None).cast("timestamp_ntz")
+    text = F.concat_ws(" ", "parameter", F.col("measured").cast("string"), F.lit(">"), F.col("limit_ref").cast("string"))
+    full = raised.select(F.shiftrightunsigned(F.xxhash64("reading_id", "parameter"), 1).alias("alert_id"), "sensor_id", "sector_id", "parameter",
+                         "measured", "limit_ref", F.coalesce("unit", F.lit("")).alias("unit"), "severity", "status", "fired_at",
+                         none.alias("attended_at"), none.alias("normalised_at"), text.alias("description"))
+    return full.select(*[f.name for f in schemas.ALERTS.fields])
+
+
+def start_store_alerts(spark: SparkSession, store_root: str, readings_stream: DataFrame, checkpoint: str, available_now: bool = False,
+                       period: str = "60 seconds"):
+    """Raise alerts from a reading stream into ``<store_root>/alerts``."""
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        t = Tables.from_storage(spark, store_root)
+        new = alert_rows(alerts_from_thresholds(t, readings=batch)).dropDuplicates(["alert_id"]).persist()
+        try:
+            span = new.agg(F.min("fired_at"), F.max("fired_at")).first()
+            if span[0] is None:
+                return
+            # only alerts of the batch's own time span can be the same
+            there = sink.read_plain(spark, store_root, "alerts", schemas.ALERTS).where(F.col("fired_at").between(F.lit(span[0]), F.lit(span[1])))
+            new.join(there.select("alert_id"), "alert_id", "left_anti").select(*new.columns).write.mode("append").parquet(
+                sink.table_path(store_root, "alerts"))
+        finally:
+            new.unpersist()
+
+    w = readings_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=period)
+    return w.start()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomsense.functions import ddmm_hhmm, hour_bucket
-from roomsense.plans.windows import anchor, hours, period_hours
+from roomsense.plans.windows import anchor, hours, period_hours, since
 
 ENV_VARS = ("co2", "voc", "temperature", "humidity")
 
@@ -46,7 +46,7 @@ def _merge_state(prev: DataFrame | None, updates: DataFrame, horizon_hours: int)
         merged = updates
     else:
         fresh = updates.select("bucket").withColumn("_new", F.lit(True))
-        old = prev.select(*cols).join(F.broadcast(fresh), "bucket", "left_anti")  # <= horizon rows
+        old = prev.select(*cols).join(fresh, "bucket", "left_anti")
         merged = old.unionByName(updates)
     newest = merged.select(F.max("bucket")).scalar()
     return merged.where(F.col("bucket") >= newest - hours(horizon_hours))
@@ -61,9 +61,12 @@ def start_hourly(readings_stream: DataFrame, out_dir: str, checkpoint: str, avai
     spark = readings_stream.sparkSession
 
     def write(df: DataFrame, batch_id: int) -> None:
-        prev = _read_state(spark, out_dir, before=batch_id)
-        state = _merge_state(prev, df, horizon_hours)
-        state.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        df = df.persist()   # used several times below; the state store must advance once per trigger
+        try:
+            state = _merge_state(_read_state(spark, out_dir, before=batch_id), df, horizon_hours)
+            state.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        finally:
+            df.unpersist()
         _prune(spark, out_dir, keep_from=batch_id - keep + 1)
 
     w = (hourly_state(readings_stream).writeStream.outputMode("update").foreachBatch(write)
@@ -88,10 +91,14 @@ def _prune(spark: SparkSession, out_dir: str, keep_from: int) -> None:
 
 def read_hourly(spark: SparkSession, out_dir: str, env: DataFrame, period: str = "24h", *, as_of=None) -> DataFrame:
     """Q05 from the streamed state: the newest state folder, the same anchor
-    window and rounding as the batch report."""
-    cur = _read_state(spark, out_dir)
+    window and rounding as the batch report.  The window begins inside an hour
+    unless the anchor is on one, so that first hour is aggregated from its own
+    readings; all later hours come from the state."""
     a = anchor(env, as_of)
-    cur = cur.where(F.col("bucket") >= hour_bucket(a - hours(period_hours(period))))
+    start = a - hours(period_hours(period))
+    edge = hour_bucket(start)
+    first = since(env, start).where(F.col("ts") < edge + hours(1))
+    cur = _read_state(spark, out_dir).where(F.col("bucket") > edge).unionByName(hourly_state(first))
     return cur.select(
         "bucket", ddmm_hhmm("first_ts").alias("label"),
         *[F.round(F.col(f"sum_{v}") / F.col("n"), 1).alias(name)
