@@ -14,6 +14,8 @@ registration (the seed first), as an insert-if-absent table would.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,14 +180,18 @@ def read_snapshot(spark: SparkSession, root: str, table: str, before: int | None
     return spark.read.schema(FACT_SCHEMAS[table]).parquet(f"{path}/batch_id={newest}")
 
 
-def prune_snapshots(spark: SparkSession, root: str, table: str, keep_from: int) -> None:
+#: A folder that a report may have planned on stays this long at least: well above the longest report.
+KEEP_SECONDS = 3600
+
+
+def prune_snapshots(spark: SparkSession, root: str, table: str, keep_from: int, keep_seconds: int = KEEP_SECONDS) -> None:
     """Remove snapshot folders older than batch ``keep_from`` (readers that
     planned against a slightly older snapshot keep working: the newest few stay)."""
-    prune_folders(spark, snapshot_path(root, table), keep_from)
+    prune_folders(spark, snapshot_path(root, table), keep_from, keep_seconds)
 
 
-def prune_folders(spark: SparkSession, path: str, keep_from: int) -> None:
-    """Delete ``path/batch_id=K`` folders with K < keep_from."""
+def prune_folders(spark: SparkSession, path: str, keep_from: int, keep_seconds: int = KEEP_SECONDS) -> None:
+    """Delete ``path/batch_id=K`` folders with K < keep_from that are older than ``keep_seconds``."""
     if not _exists(spark, path):
         return
     jvm = spark._jvm
@@ -198,5 +204,5 @@ def prune_folders(spark: SparkSession, path: str, keep_from: int) -> None:
                 bid = int(name.split("=", 1)[1])
             except ValueError:
                 continue
-            if bid < keep_from:
+            if bid < keep_from and status.getModificationTime() <= (time.time() - keep_seconds) * 1000:
                 fs.delete(status.getPath(), True)

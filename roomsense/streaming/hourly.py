@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from roomsense.functions import ddmm_hhmm, hour_bucket
 from roomsense.plans.windows import anchor, hours, period_hours, since
+from roomsense.sources.sink import KEEP_SECONDS, newest_complete, prune_folders
 
 ENV_VARS = ("co2", "voc", "temperature", "humidity")
 
@@ -53,9 +54,9 @@ def _merge_state(prev: DataFrame | None, updates: DataFrame, horizon_hours: int)
 
 
 def start_hourly(readings_stream: DataFrame, out_dir: str, checkpoint: str, available_now: bool = False,
-                 period: str = "30 seconds", horizon_hours: int = 31 * 24, keep: int = 3):
+                 period: str = "30 seconds", horizon_hours: int = 31 * 24, keep: int = 3, keep_seconds: int = KEEP_SECONDS):
     """Each trigger writes the whole current state (at most ~744 hour rows)
-    as ``out_dir/batch_id=N`` and prunes older folders, so the folder count
+    as ``out_dir/batch_id=N`` and prunes older folders (those above ``keep_seconds`` of age), so the folder count
     stays constant however long the stream runs; a replayed trigger merges
     with state N-1 again and rewrites the same folder."""
     spark = readings_stream.sparkSession
@@ -67,7 +68,7 @@ def start_hourly(readings_stream: DataFrame, out_dir: str, checkpoint: str, avai
             state.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
         finally:
             df.unpersist()
-        _prune(spark, out_dir, keep_from=batch_id - keep + 1)
+        prune_folders(spark, out_dir, keep_from=batch_id - keep + 1, keep_seconds=keep_seconds)
 
     w = (hourly_state(readings_stream).writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
@@ -77,18 +78,12 @@ def start_hourly(readings_stream: DataFrame, out_dir: str, checkpoint: str, avai
 
 def _read_state(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame | None:
     """The newest committed state folder (never one still being written)."""
-    from roomsense.sources.sink import newest_complete
     newest = newest_complete(spark, out_dir, before)
     if newest is None:
         return None
     return spark.read.parquet(f"{out_dir}/batch_id={newest}")
 
 
-def _prune(spark: SparkSession, out_dir: str, keep_from: int) -> None:
-    from roomsense.sources.sink import prune_folders
-    prune_folders(spark, out_dir, keep_from)
-
-
 def read_hourly(spark: SparkSession, out_dir: str, env: DataFrame, period: str = "24h", *, as_of=None) -> DataFrame:
     """Q05 from the streamed state: the newest state folder, the same anchor
     window and rounding as the batch report.  The window begins inside an hour

@@ -45,6 +45,7 @@ class IngestJob:
     eight_bit: bool = False
     initial_days: int | None = None   # S02: first pass keeps only this date window
     as_of: object = None              # clock of the initial window (default: now)
+    keep_seconds: int = sink.KEEP_SECONDS   # age up to which older snapshots stay
     initial_until: int | None = None  # S02: newest file (ms) of the initial load; set by ``start``
 
     @property
@@ -139,7 +140,8 @@ class IngestJob:
         merged = prev.unionByName(accepted.select(*prev.columns))
         snap = last_n(merged, ["sensor_id"], RECENT_DEPTH, rank="_rank").drop("_rank")
         sink.write_snapshot(snap, self.store_root, self.table, batch_id)
-        sink.prune_snapshots(self.spark, self.store_root, self.table, keep_from=batch_id - keep + 1)
+        sink.prune_snapshots(self.spark, self.store_root, self.table, keep_from=batch_id - keep + 1,
+                             keep_seconds=self.keep_seconds)
 
     def _mark_path(self) -> str:
         return f"{self.store_root.rstrip('/')}/_mark_{self.kind}"
@@ -152,7 +154,7 @@ class IngestJob:
         mark = max([m for m in (prev, batch_max_id) if m is not None], default=None)
         self.spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").parquet(
             f"{self._mark_path()}/batch_id={batch_id}")
-        sink.prune_folders(self.spark, self._mark_path(), keep_from=batch_id - keep + 1)
+        sink.prune_folders(self.spark, self._mark_path(), keep_from=batch_id - keep + 1, keep_seconds=self.keep_seconds)
 
     def read_mark(self, before: int | None = None):
         """The newest stored mark (None when nothing was stored)."""

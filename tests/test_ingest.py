@@ -147,7 +147,7 @@ def test_ingest_maintains_recent_snapshot(spark, store, tmp_path):
     land = str(tmp_path / "landing")
     rows = [_rec(100 + i, f"2026-01-15 10:{i:02d}:00", 3, i % 7) for i in range(30)]
     _land(land, "a.json", rows[:25], 1_000_000)
-    job = IngestJob(spark, store, "occ")
+    job = IngestJob(spark, store, "occ", keep_seconds=0)
     ck = str(tmp_path / "ck")
     job.start(land, checkpoint=ck, available_now=True, max_files_per_trigger=1).awaitTermination()
     _land(land, "b.json", rows[25:], 2_000_000)

@@ -24,7 +24,7 @@ def test_hourly_stream_equals_batch(spark, gold, tmp_path):
     _land_env(gold, land)
     stream = spark.readStream.schema(schemas.ENV_READINGS).option("maxFilesPerTrigger", 1).parquet(land)
     out = str(tmp_path / "hourly")
-    q = hourly.start_hourly(stream, out, str(tmp_path / "ck"), available_now=True)
+    q = hourly.start_hourly(stream, out, str(tmp_path / "ck"), available_now=True, keep_seconds=0)
     q.awaitTermination()
     folders = [f for f in os.listdir(out) if f.startswith("batch_id=")]
     assert 1 <= len(folders) <= 3   # state folders are pruned, not accumulated
