@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -44,17 +45,24 @@ def terms_of(token: str) -> tuple[str, ...]:
 
 
 class TermCounter:
-    """Counts a text's terms; remembers the terms of a bounded number of tokens.  ``known`` restricts and numbers terms."""
+    """Counts a text's terms; remembers the terms of a bounded number of tokens.  ``known`` restricts and numbers terms.
+
+    With known terms most tokens are told apart by their first letters: a token that is one word has no known term
+    unless a term begins like it.
+    """
 
     def __init__(self, known: dict[str, int] | None = None, most: int = 500_000):
         self.known, self.most, self.memory = known, most, {}
+        self.heads = None if known is None else frozenset(t.lstrip("^")[:n] for t in known for n in (1, 2, 3))
 
     def __call__(self, text: str | None) -> Counter:
         out: Counter = Counter()
-        memory = self.memory
+        memory, heads = self.memory, self.heads
         for token, n in Counter((text or "").lower().split()).items():
             terms = memory.get(token)
             if terms is None:
+                if heads is not None and (word := token.strip(string.punctuation))[:3] not in heads and word.isalpha():
+                    continue
                 terms = terms_of(token)
                 if self.known is not None:
                     terms = tuple(self.known[t] for t in terms if t in self.known)
