@@ -48,12 +48,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, their digest and the digest of the decoded text of every document of the mix."""
+    """doc_id, n_tokens, ids, their digest and the text that they decode to, for every document of the mix."""
     coded = bpe_codec.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
-    return coded.select("doc_id", "n_tokens", "ids", "ids_sha256")
+    return bpe_codec.decode(coded, keep_ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded")
 
 
-STAGES = [("quality rules", quality), ("toxicity", clean), ("near-duplicates", distinct), ("mixing", mixed), ("bpe encoding", encoded)]
+STAGES = [("quality rules", quality), ("toxicity", clean), ("near-duplicates", distinct), ("mixing", mixed), ("bpe encoding and decoding", encoded)]
 
 #: Nearest examples, tilted rates and BPE are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -225,10 +225,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded", step: int = 512) -> DataFrame:
-    """Replaces the ids by their text; null ids decode to the empty text.  The other columns stay."""
+def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded", keep_ids: bool = False,
+           step: int = 512) -> DataFrame:
+    """Replaces the ids by their text (``keep_ids``: adds it); null ids decode to the empty text.  The other columns stay."""
     path = path or bpe.default_path()
-    names = [n for n in encoded.columns if n != ids_col]
+    names = [n for n in encoded.columns if n != ids_col or keep_ids]
 
     def run(batches):
         coder = bpe.load(path)
@@ -238,5 +239,5 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", ou
                 texts = [coder.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(ids_col)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, out_col])
 
-    schema = StructType([f for f in encoded.schema.fields if f.name != ids_col] + [StructField(out_col, StringType())])
-    return encoded.select(*names, ids_col).mapInArrow(run, schema)
+    schema = StructType([encoded.schema[n] for n in names] + [StructField(out_col, StringType())])
+    return encoded.select(*dict.fromkeys([*names, ids_col])).mapInArrow(run, schema)

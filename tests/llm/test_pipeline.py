@@ -59,6 +59,7 @@ def test_ids_are_the_library_s(stages):
     assert len(stages[5]) == len(stages[4])
     for r in stages[5]:
         assert r["ids"] == coder.lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+        assert r["decoded"] == texts[r["doc_id"]]
 
 
 def test_stages_keep_the_columns_and_take_empty_tables(spark):
