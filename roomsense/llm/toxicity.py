@@ -77,7 +77,7 @@ class Index:
     """Examples as unit TF-IDF vectors in a block-max inverted index, with labels, class weights and calibration."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[dict[int, int]], class_weight: tuple[float, float],
-                 k: int = 15, block: int = 64, smooth: float = 0.2):
+                 k: int = 15, block: int = 512, smooth: float = 0.2):
         self.known, self.idf, self.k, self.smooth = {t: i for i, t in enumerate(terms)}, idf, k, smooth
         empty = [class_weight[y] * (1 if y else 0) for y, v in zip(labels, vectors, strict=True) if not v]
         weight = [class_weight[y] for y, v in zip(labels, vectors, strict=True) if not v]
@@ -119,16 +119,23 @@ class Index:
             bound[blocks] += q * most
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] < best[-1][0] - 1e-12):
+            least = best[-1][0] if len(best) == self.k else 0.0
+            if bound[b] <= 0 or bound[b] < least - 1e-9:
                 break
-            scores = np.zeros(self.block)
+            first = b * self.block
+            scores = np.zeros(min(self.block, len(self.ids) - first))
             for t, q in used:
                 at, w, where = self.postings[t]
                 if b in where:
-                    first, last = where[b]
-                    scores[at[first:last] - b * self.block] += q * w[first:last]
-            found = [(round(float(scores[i]), 12), b * self.block + i) for i in np.nonzero(scores)[0].tolist() if self.ids[b * self.block + i] != skip]
-            best = sorted(best + found, key=lambda x: (-x[0], self.ids[x[1]]))[:self.k]
+                    i, j = where[b]
+                    scores[at[i:j] - first] += q * w[i:j]
+            scores = np.round(scores, 12)
+            found = np.nonzero((scores > 0) & (scores >= least))[0]
+            if skip is not None:
+                found = found[self.ids[first + found] != skip]
+            found = found[np.lexsort((self.ids[first + found], -scores[found]))[:self.k]]
+            best += [(float(scores[i]), first + i) for i in found.tolist()]
+            best = sorted(best, key=lambda x: (-x[0], self.ids[x[1]]))[:self.k]
         return best
 
     def vote(self, vector: dict[int, float], skip: int | None = None) -> tuple[float, list[tuple[float, int]]]:
