@@ -27,7 +27,8 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
         pairs = out.where("next > node").join(least, F.col("node") == F.col("of")).select(F.col("next").alias("x"), F.col("least").alias("y"))
         # a node's link to its smallest neighbour stays
         pairs = pairs.unionByName(least.where("of > least").select(F.col("of").alias("x"), F.col("least").alias("y")))
-    return pairs.where("x > y").distinct()
+    pairs = pairs.where("x > y")
+    return pairs.distinct() if small else pairs   # minima do not mind repeats
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -40,8 +41,9 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         links = written(_star(_star(links, small=False), small=True), "links")
         # settled when all links are stars: no node has two smaller neighbours or is both centre and ray
-        ends = links.groupBy("x").agg(F.count("*").alias("n"))
-        if ends.where("n > 1").isEmpty() and links.join(ends.select(F.col("x").alias("y")), "y", "left_semi").isEmpty():
+        ends = links.select(F.col("x").alias("node"), F.lit(1).alias("ray"), F.lit(0).alias("centre"))
+        ends = ends.unionByName(links.select(F.col("y").alias("node"), F.lit(0).alias("ray"), F.lit(1).alias("centre")))
+        if ends.groupBy("node").agg(F.sum("ray").alias("ray"), F.max("centre").alias("centre")).where("ray > 1 or (ray = 1 and centre = 1)").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle within {most_rounds} rounds")
