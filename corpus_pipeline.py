@@ -14,6 +14,7 @@ from roomsense.llm.common import read, written
 from roomsense.llm.queries import TOXIC_FROM, toxicity_index
 
 PERCENT = 80   # near duplicates: 100 * intersection >= PERCENT * union of 5-word shingles
+ROW = "__row"  # a key of the rows of a stage's input, written once with them, as ids can be null or repeated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,28 +23,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the limit; rows that share an id share the verdict of their worst text."""
-    scored = toxicity.score(docs, toxicity_index(spark, sf_dir))
-    # scores are keyed by id; null ids are judged by the text itself
-    bad = scored.where(F.col("score") >= TOXIC_FROM).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """Documents whose toxicity score is below the limit; every row is judged by its own text, whatever its id."""
+    return toxicity.keep(docs, toxicity_index(spark, sf_dir), TOXIC_FROM)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id.  A repeated row is one document."""
-    found = near_dup.near_duplicates(docs, percent=PERCENT)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = written(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each near-duplicate group: that of the smallest id.  Null ids are kept, each row for itself."""
+    known = F.col("doc_id").isNotNull()
+    if docs.where(known).groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = near_dup.near_duplicates(docs, percent=PERCENT)
+        gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
+        return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    # rows that share an id are documents of their own: all are numbered, in the order of their ids
+    numbered = docs.orderBy("doc_id", F.xxhash64("text")).withColumn(ROW, F.when(known, F.monotonically_increasing_id()))
+    numbered = written(numbered, "numbered")
+    found = near_dup.near_duplicates(numbered, id_col=ROW, percent=PERCENT)
+    gone = found.where(~F.col("kept")).select(F.col(ROW).alias("gone_row"))
+    return numbered.join(gone, F.col(ROW) == F.col("gone_row"), "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    copies = mixing.mix(numbered, row_col=ROW).where("copies > 0").select(F.col(ROW).alias("mixed_row"), "copies")
+    taken = numbered.join(copies, F.col(ROW) == F.col("mixed_row"))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 

@@ -111,13 +111,15 @@ def _diffuse(most_copies: int):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1),
-        total_share: float = 1.5, most_copies: int = 2, cell_rows: int = 256) -> DataFrame:
+        total_share: float = 1.5, most_copies: int = 2, cell_rows: int = 256, row_col: str | None = None) -> DataFrame:
     """Every row with size, source_size, target, rate and copies: ``id_col``, ``source_col`` and these.
 
-    Only slim rows (id, source, size) are written and shuffled, never texts.
+    Only slim rows (id, source, size) are written and shuffled, never texts.  ``row_col``, a key of the rows where ids are
+    null or repeated, is returned too and settles the order of equal ids.
     """
-    rows = pick(docs, id=id_col, source=source_col, text=text_col)
-    rows = written(rows.select("id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    key = {"row": row_col} if row_col else {}
+    rows = pick(docs, id=id_col, source=source_col, text=text_col, **key)
+    rows = written(rows.select("id", "source", *key, word_count(F.col("text")).alias("size")), "sizes")
     cells = written(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "size-cells")
     sizes = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     wanted = written(targets(sizes, weights, total_share, most_copies), "targets")
@@ -134,7 +136,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     order = F.xxhash64("id")
     placed = (rows.alias("d").join(rated.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.size") == F.col("k.size")))
-              .select("d.id", "d.source", "d.size", "source_size", "target", "rate", "n", "cell_copies", "parts", order.alias("order"))
+              .select("d.id", *(f"d.{c}" for c in key), "d.source", "d.size", "source_size", "target", "rate", "n", "cell_copies", "parts", order.alias("order"))
               .withColumn("part", F.pmod(F.xxhash64("order", F.lit(1)), F.col("parts"))))
     few, many = F.col("parts") == 1, F.col("parts") > 1
     part_n = placed.where(many).groupBy("source", "size", "part").agg(F.count("*").alias("m"))
@@ -144,7 +146,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                                                 & (F.col("d.size") == F.col("p.size")) & (F.col("d.part") == F.col("p.part")))
              .select("d.*", "skip"))
     ranked = placed.where(few).withColumn("skip", F.lit(0).cast("long")).unionByName(split)
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("order", "id")) + F.col("skip")
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("order", "id", *key)) + F.col("skip")
     dealt = ranked.withColumn("rank", rank.cast("long"))
     out = dealt.withColumn("copies", F.expr("rank * cell_copies div n - (rank - 1) * cell_copies div n"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies")
+    return out.select(F.col("id").alias(id_col), *(F.col(c).alias(name) for c, name in key.items()), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies")

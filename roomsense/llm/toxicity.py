@@ -238,3 +238,20 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     out = rows.mapInArrow(run, f"id {kind}, score double, evidence array<struct<example: long, cosine: double, toxic: int>>")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, index: Index, below: float, text_col: str = "text") -> DataFrame:
+    """The rows whose own text scores less than ``below``, with their columns; ids play no part."""
+    names = docs.columns
+    at = names.index(text_col)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        index = shared.value
+        count = TermCounter(index.known)
+        for batch in batches:
+            fine = [index.score(count(text.as_py()))[0] < below for text in batch.column(at)]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*names)

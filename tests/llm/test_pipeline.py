@@ -2,11 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roomsense.llm import bpe
+from roomsense.llm import bpe, toxicity
 from tests.llm.helpers import ODD, copies, documents
 from tests.llm.test_near_dup import brute
 from tests.llm.test_rules_and_licenses import verdict
@@ -69,3 +70,31 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
         assert found.collect() == []
         if n < len(corpus_pipeline.STAGES) - 1:
             assert found.columns == docs.columns
+
+
+def keyless(spark, texts, source="s"):
+    """Every text under a null id and under the id 7."""
+    rows = [(i, t, "en", source, len(t)) for t in texts for i in (None, 7)]
+    return spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema)
+
+
+def test_a_toxic_row_takes_no_other_row_of_its_id(spark, monkeypatch):
+    index = toxicity.Index(["vile"], np.ones(1), list(range(40)), [1] * 20 + [0] * 20, [{0: 1}] * 20 + [{}] * 20, (1.0, 1.0))
+    monkeypatch.setattr(corpus_pipeline, "toxicity_index", lambda spark, sf_dir: index)
+    fine = ["some words", "other words"]
+    kept = corpus_pipeline.clean(spark, keyless(spark, ["a vile text", *fine]), SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted((i, t) for t in fine for i in (0, 7))
+
+
+def test_unlike_texts_of_one_id_are_all_documents(spark):
+    texts = copies(groups=4, size=1)[::2]
+    kept = corpus_pipeline.distinct(spark, keyless(spark, [*texts, texts[0]]), SF).collect()
+    assert sorted(r["text"] for r in kept if r["doc_id"] == 7) == sorted(texts)
+    assert sorted(r["text"] for r in kept if r["doc_id"] is None) == sorted([*texts, texts[0]])
+
+
+def test_mix_meets_its_target_without_ids(spark):
+    texts = [f"{'w ' * (i % 5 + 3)}{i}" for i in range(60)]
+    taken = [r["text"] for r in corpus_pipeline.mixed(spark, keyless(spark, texts), SF).collect()]
+    assert max(taken.count(t) for t in texts) <= 4
+    assert sum(len(t.split()) for t in taken) == pytest.approx(1.5 * 2 * sum(len(t.split()) for t in texts), abs=8)
