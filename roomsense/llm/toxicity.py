@@ -1,17 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 *Fitting.*  Of the labelled rows at most ``most_toxic`` and ``most_clean`` (the first by a hash of the id) are examples.
-Terms are words and word beginnings of 4 to 6 letters; the vocabulary holds the at most ``most_terms`` terms that occur in
-toxic examples significantly more often than in clean ones (likelihood ratio of ``least_ratio`` or more).  Counting runs in
-Spark; what reaches the driver is bounded by these parameters: the vocabulary and the examples' vectors in it.
+Terms are all words of the examples, and word beginnings of 4 to 6 letters that toxic examples hold more often than clean
+ones.  A term weighs its IDF times ``least_weight`` to the power of what its likelihood ratio lacks of ``least_ratio``:
+terms that tell toxic from clean count in full, all others a little, so texts without any telling term are compared
+on all their words.  Counting runs in Spark; what reaches the driver is bounded by the examples: their terms and vectors.
 
-*Index.*  Examples are numbered so that like ones are neighbours and cut into blocks.  An inverted index holds, per term,
-postings by block and each block's largest weight.  A query adds up its blocks' maxima, visits blocks in order of this bound
-and stops when the bound cannot reach the kth best cosine: the k nearest are exact, ties to the smaller id.
+*Index.*  An inverted index holds the postings of each term; terms that many examples hold are rows of a matrix.  Every
+example that shares a term with a text gets its cosine: the k nearest are exact, ties to the smaller id.
 
-*Score.*  The neighbours vote with weight cosine^2 (and the weight of their class, as examples are drawn by class), smoothed
-towards the share of toxic rows among examples without any vocabulary term; votes are calibrated by a monotone fit over
-leave-one-out votes of the examples.  The neighbours are the evidence.
+*Score.*  The neighbours vote with weight cosine^2 / (1.02 - cosine^2), so a copy of an example outvotes what is merely like
+it (and the weight of their class, as examples are drawn by class), smoothed towards the share of toxic rows; votes are
+calibrated by a monotone fit over leave-one-out votes of the examples.  The neighbours are the evidence.
 
 A null or empty text has no terms and gets the smoothing share; labels that are null are not used; an example labelled
 twice counts as toxic if any label says so; repeated rows get equal scores; without examples every score is 0; an empty
@@ -20,13 +20,15 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 import string
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,80 +76,120 @@ class TermCounter:
 
 
 class Index:
-    """Examples as unit TF-IDF vectors in a block-max inverted index, with labels, class weights and calibration."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[dict[int, int]], class_weight: tuple[float, float],
-                 k: int = 15, block: int = 512, smooth: float = 0.2):
-        self.known, self.idf, self.k, self.smooth = {t: i for i, t in enumerate(terms)}, idf, k, smooth
-        empty = [class_weight[y] * (1 if y else 0) for y, v in zip(labels, vectors, strict=True) if not v]
-        weight = [class_weight[y] for y, v in zip(labels, vectors, strict=True) if not v]
-        total = sum(class_weight[y] for y in labels)
-        toxic = sum(class_weight[y] for y in labels if y)
-        self.share = (sum(empty) + (toxic / total if total else 0)) / (sum(weight) + 1) if labels else 0.0
-        rows = [(self.unit(v), i, y) for v, i, y in zip(vectors, ids, labels, strict=True) if v]
-        rows.sort(key=lambda r: (max(r[0], key=r[0].get), r[1]))   # alike by their heaviest term
-        self.ids, self.labels = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        self.weight = np.array(class_weight)[self.labels] if rows else np.empty(0)
-        self.block, self.n_blocks = block, -(-len(rows) // block)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for at, (vector, _, _) in enumerate(rows):
-            for t, w in vector.items():
-                postings.setdefault(t, []).append((at, w))
-        self.postings, self.maxima = {}, {}
-        for t, found in postings.items():
-            at, w = np.array([a for a, _ in found]), np.array([w for _, w in found])
-            blocks, first = np.unique(at // block, return_index=True)
-            self.postings[t] = (at, w, dict(zip(blocks.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True), strict=True)))
-            self.maxima[t] = (blocks, np.maximum.reduceat(w, first))
+    """Examples as unit vectors of weighted terms in an inverted index, with labels, class weights and calibration.
+
+    ``terms`` may be their numbering, ``idf`` has their weights, ``vectors`` the counts of each example as a dict, or all
+    as flat arrays of how many terms each has, terms and counts.
+    """
+
+    def __init__(self, terms: list[str] | dict[str, int], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list | tuple,
+                 class_weight: tuple[float, float], k: int = 15, block: int = 64, smooth: float = 0.2):
+        self.known = terms if isinstance(terms, dict) else {t: i for i, t in enumerate(terms)}
+        self.idf, self.k, self.smooth, self.block = np.asarray(idf, float), k, smooth, block
+        if isinstance(vectors, list):
+            vectors = (np.array([len(v) for v in vectors], np.int64), np.array([t for v in vectors for t in v], np.int32),
+                       np.array([n for v in vectors for n in v.values()], float))
+        size, term, n = vectors
+        full = size > 0
+        labels, class_weight = np.array(labels, np.int64), np.array(class_weight)
+        none = labels[~full]
+        total, toxic = class_weight[labels].sum(), (class_weight[labels] * labels).sum()
+        self.share = float(((class_weight[none] * none).sum() + (toxic / total if total else 0)) / (class_weight[none].sum() + 1)) if len(labels) else 0.0
+        self.ids, self.labels, size = np.array(ids, np.int64)[full], labels[full], size[full]
+        self.weight = class_weight[self.labels]
+        stop = np.cumsum(size)
+        w = (1 + np.log(n)) * self.idf[term]
+        if len(size):
+            w /= np.repeat(np.sqrt(np.add.reduceat(w * w, stop - size)), size)
+        self._invert(size, term, w)
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        votes = np.array([self.vote(r[0], skip=r[1])[0] for r in rows] + [self.share] * len(empty))
-        marks = np.array([r[2] for r in rows] + [y for y, v in zip(labels, vectors, strict=True) if not v], float)
+        votes = []
+        for first in range(0, len(size), block):
+            part = range(first, min(first + block, len(size)))
+            some = [(term[stop[i] - size[i]:stop[i]], w[stop[i] - size[i]:stop[i]]) for i in part]
+            votes += [self._vote(near)[0] for near in self._nearest(some, [int(self.ids[i]) for i in part])]
+        votes = np.array(votes + [self.share] * len(none))
         if len(votes):
-            self.knots = monotone(votes, marks, np.array([*self.weight, *weight]))
+            self.knots = monotone(votes, np.concatenate([self.labels, none]).astype(float), np.concatenate([self.weight, class_weight[none]]))
+
+    def _weighted(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their weights, as a unit vector."""
+        terms, n = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+        w = (1 + np.log(n)) * self.idf[terms]
+        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def _invert(self, size: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
+        """Postings by term; the terms that many examples hold are rows of a matrix instead (``row`` numbers them)."""
+        n, m = len(size), len(self.known)
+        df = np.bincount(term, minlength=m)
+        common = np.nonzero(df * 12 > n)[0] if n > 1000 else np.empty(0, np.int64)
+        self.row = np.full(m, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n))
+        at = np.repeat(np.arange(n, dtype=np.int32), size)
+        dense = self.row[term] >= 0
+        self.matrix[self.row[term[dense]], at[dense]] = w[dense]
+        order = np.nonzero(~dense)[0].astype(np.int32)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.at, self.w = at[order], w[order]
+        df[common] = 0
+        self.start = np.concatenate([[0], np.cumsum(df)])
 
     def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        weights = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / norm for t, w in weights.items()}
+        terms, w = self._weighted(counts)
+        return dict(zip(terms.tolist(), w.tolist(), strict=True))
+
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int | None]) -> list[list[tuple[float, int]]]:
+        """For each vector the k best (cosine, number of the example), best first, ties to the smaller id."""
+        n = len(self.ids)
+        if not n:
+            return [[] for _ in vectors]
+        scores = np.zeros((len(vectors), n))
+        if len(self.matrix):
+            q = np.zeros((len(vectors), len(self.matrix)))
+            for i, (terms, w) in enumerate(vectors):
+                row = self.row[terms]
+                q[i, row[row >= 0]] = w[row >= 0]
+            np.matmul(q, self.matrix, out=scores)
+        out = []
+        for s, (terms, w), without in zip(scores, vectors, skip, strict=True):
+            first, n_at = self.start[terms], self.start[terms + 1] - self.start[terms]
+            few = (n_at > 0) & (n_at <= 256)   # many short lists: all at once
+            if few.any():
+                length = n_at[few]
+                ends = np.cumsum(length)
+                where = np.repeat(first[few] - ends + length, length) + np.arange(ends[-1])
+                s += np.bincount(self.at[where], self.w[where] * np.repeat(w[few], length), minlength=n)
+            long = n_at > 256
+            for a, m, x in zip(first[long].tolist(), n_at[long].tolist(), w[long].tolist(), strict=True):
+                s[self.at[a:a + m]] += x * self.w[a:a + m]
+            if without is not None:
+                s[self.ids == without] = 0.0
+            least = np.partition(s, n - self.k)[n - self.k] - 1e-11 if n > self.k else 0.0
+            found = np.nonzero((s > 1e-12) & (s >= least))[0]
+            best = np.round(s[found], 12)
+            order = np.lexsort((self.ids[found], -best))[:self.k]
+            out.append(list(zip(best[order].tolist(), found[order].tolist(), strict=True)))
+        return out
 
     def nearest(self, vector: dict[int, float], skip: int | None = None) -> list[tuple[float, int]]:
         """The k best (cosine, number of the example), best first."""
-        bound = np.zeros(self.n_blocks)
-        used = [(t, q) for t, q in vector.items() if t in self.postings]
-        for t, q in used:
-            blocks, most = self.maxima[t]
-            bound[blocks] += q * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            least = best[-1][0] if len(best) == self.k else 0.0
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            first = b * self.block
-            scores = np.zeros(min(self.block, len(self.ids) - first))
-            for t, q in used:
-                at, w, where = self.postings[t]
-                if b in where:
-                    i, j = where[b]
-                    scores[at[i:j] - first] += q * w[i:j]
-            scores = np.round(scores, 12)
-            found = np.nonzero((scores > 0) & (scores >= least))[0]
-            if skip is not None:
-                found = found[self.ids[first + found] != skip]
-            found = found[np.lexsort((self.ids[first + found], -scores[found]))[:self.k]]
-            best += [(float(scores[i]), first + i) for i in found.tolist()]
-            best = sorted(best, key=lambda x: (-x[0], self.ids[x[1]]))[:self.k]
-        return best
-
-    def vote(self, vector: dict[int, float], skip: int | None = None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(vector, skip) if vector else []
-        pull = [s * s * self.weight[i] for s, i in near]
+        terms = np.array(sorted(vector), np.int64)
+        return self._nearest([(terms, np.array([vector[t] for t in terms.tolist()], float))], [skip])[0]
+
+    def _vote(self, near: list[tuple[float, int]]) -> tuple[float, list[tuple[float, int]]]:
+        # the nearer an example is to the very text, the more its vote counts
+        pull = [s * s / (1.02 - min(s, 1.0) ** 2) * self.weight[i] for s, i in near]
         yes = sum(p for p, (_, i) in zip(pull, near, strict=True) if self.labels[i])
         return (yes + self.smooth * self.share) / (sum(pull) + self.smooth), near
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        """Calibrated probability and the nearest examples."""
-        raw, near = self.vote(self.unit(counts) if counts else {})
-        return min(1.0, max(0.0, float(np.interp(raw, *self.knots)))), near
+    def scores(self, counts: Iterable) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Calibrated probability and the nearest examples, for the counts of each text."""
+        counts = iter(counts)
+        while vectors := [self._weighted(c) for c in islice(counts, self.block)]:
+            for near in self._nearest(vectors, [None] * len(vectors)):
+                raw, near = self._vote(near)
+                yield min(1.0, max(0.0, float(np.interp(raw, *self.knots)))), near
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +218,7 @@ def _examples(docs: DataFrame, labels: DataFrame, most: tuple[int, int]) -> tupl
     return written(docs.join(F.broadcast(chosen), "id").dropDuplicates(["id"]), "examples"), (n.get(0, 0), n.get(1, 0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean: int = 12000, most_terms: int = 2000, least_ratio: float = 25.0) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean: int = 12000, least_ratio: float = 25.0, least_weight: float = 0.01) -> Index:
     """``docs``: id, text; ``labels``: id, y (0 or 1)."""
     spark = docs.sparkSession
     examples, there = _examples(docs, labels, (most_clean, most_toxic))
@@ -197,25 +239,31 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean:
              .groupBy("term").agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b")))
     expected = (a + b) * (n1 / (n0 + n1))
     ratio = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(0.0))
-    found = found.where((a > 0) & (a > expected)).withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio)
     # a term that half as many clean as toxic rows hold says little
-    found = found.where(b * n1 * 4 < a * max(n0, 1)).orderBy(F.col("ratio").desc(), "term").limit(most_terms)
-    kept = found.collect()
-    terms = [r["term"] for r in kept]
-    idf = np.array([math.log((n0 + n1 + 1) / (r["a"] + r["b"] + 1)) + 1 for r in kept])
-    known = {t: i for i, t in enumerate(terms)}
+    telling = (a > expected) & (b * n1 * 4 < a * max(n0, 1))
+    found = found.withColumn("ratio", F.when(telling, F.least(ratio, F.lit(least_ratio))).otherwise(0.0))
+    kept = found.where((F.col("ratio") > 0) | ~F.col("term").startswith("^")).orderBy("term").toArrow()
+    holding = kept["a"].to_numpy() + kept["b"].to_numpy()
+    idf = (np.log((n0 + n1 + 1) / (holding + 1)) + 1) * least_weight ** (1 - kept["ratio"].to_numpy() / least_ratio)
+    known = dict(zip(kept["term"].to_pylist(), range(len(kept)), strict=True))
+    del kept
+    shared = spark.sparkContext.broadcast(known)   # bounded by the examples
 
     def vectors(batches):
-        count = TermCounter(known)
+        count = TermCounter(shared.value)
         for batch in batches:
             found = [count(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(c) for c in found], pa.list_(pa.int32())),
-                                              pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["id", "y", "t", "n"])
+                                              pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "y", "t", "n"])
 
     rows = (examples.select(F.col("id").cast("long").alias("id"), F.col("y").cast("int").alias("y"), "text")
-            .mapInArrow(vectors, "id long, y int, t array<int>, n array<long>").orderBy("id").collect())
+            .mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").orderBy("id").toArrow())
     weights = tuple(there[y] / sizes[y] if sizes.get(y) else 1.0 for y in (0, 1))
-    return Index(terms, idf, [r["id"] for r in rows], [r["y"] for r in rows], [dict(zip(r["t"], r["n"], strict=True)) for r in rows], weights)
+    ids, labels = rows["id"].to_pylist(), rows["y"].to_pylist()
+    flat = (pc.list_value_length(rows["t"]).to_numpy().astype(np.int64), pc.list_flatten(rows["t"]).to_numpy(), pc.list_flatten(rows["n"]).to_numpy())
+    del rows
+    shared.destroy()
+    return Index(known, idf, ids, labels, flat, weights)
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
@@ -230,8 +278,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
         count = TermCounter(index.known)
         for batch in batches:
             scores, seen = [], []
-            for text in batch.column("text"):
-                p, near = index.score(count(text.as_py()))
+            for p, near in index.scores(count(text.as_py()) for text in batch.column("text")):
                 scores.append(p)
                 seen.append([{"example": int(index.ids[i]), "cosine": s, "toxic": int(index.labels[i])} for s, i in near[:evidence]])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(seen, proof)], ["id", "score", "evidence"])
@@ -251,7 +298,7 @@ def keep(docs: DataFrame, index: Index, below: float, text_col: str = "text") ->
         index = shared.value
         count = TermCounter(index.known)
         for batch in batches:
-            fine = [index.score(count(text.as_py()))[0] < below for text in batch.column(at)]
+            fine = [p < below for p, _ in index.scores(count(text.as_py()) for text in batch.column(at))]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema).toDF(*names)

@@ -73,6 +73,17 @@ def test_block_max_search_is_exact():
         assert [round(s, 9) for s, _ in index.nearest(q)] == pytest.approx([s for s in want if s > 0])
 
 
+def test_a_copy_of_a_toxic_example_with_rare_words_is_found(spark):
+    texts, toxic = corpus()
+    rare = "Rarely seen are quorvash, bluntrix and zemmolde here."
+    docs = documents(spark, [*texts, rare, rare, texts[1]], clash=False)
+    labels = spark.createDataFrame([*enumerate(toxic), (len(texts), 1)], "id long, y int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(pick(docs, id="doc_id", text="text"), labels)).collect()}
+    copy, clean = got[len(texts) + 1], got[len(texts) + 2]
+    assert copy["evidence"][0]["example"] == len(texts) and copy["evidence"][0]["cosine"] == pytest.approx(1) and copy["score"] >= 0.7
+    assert clean["evidence"][0]["example"] == 1 and clean["evidence"][0]["cosine"] == pytest.approx(1) and clean["score"] < 0.3
+
+
 def test_no_labels_score_zero(spark):
     docs = documents(spark, ["some text", None])
     index = toxicity.fit(pick(docs, id="doc_id", text="text"), spark.createDataFrame([], "id long, y int"))
