@@ -259,6 +259,8 @@ def write_packages(pages: DataFrame, folder: str | None = None, id_col: str = "p
     rows = rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                        F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"),
                        F.monotonically_increasing_id().alias("row"))
+    # keys and records are both read from this table: another job over the input may number its rows otherwise
+    rows = written(rows, "numbered-pages", compression="zstd")
     packages = _decided(rows, min_revisit_bytes).mapInArrow(_write(folder, package_bytes), "path string, records long, bytes long")
     return written(packages, "warc-packages")
 

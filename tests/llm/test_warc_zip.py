@@ -86,3 +86,25 @@ def test_write_and_read_pages(spark):
     small = warc_zip.read_packages(spark, warc_zip.write_packages(df, min_revisit_bytes=10**6)).collect()
     assert {r["record_type"] for r in small} == {"response"}
     assert warc_zip.read_packages(spark, warc_zip.write_packages(df.limit(0))).collect() == []
+
+
+def test_rows_keep_their_numbers_when_later_scans_are_split_otherwise(spark, tmp_path, monkeypatch):
+    rows = [(i, "u", "same" if i % 7 == 0 else f"page {i} " * 50) for i in range(80)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(16).write.parquet(str(tmp_path / "pages"))
+    kept, write = spark.conf.get("spark.sql.files.maxPartitionBytes"), warc_zip.written
+
+    def shifting(df, name, **options):
+        out = write(df, name, **options)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return out
+
+    monkeypatch.setattr(warc_zip, "written", shifting)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        packages = warc_zip.write_packages(spark.read.parquet(str(tmp_path / "pages")))
+        got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc_zip.read_packages(spark, packages).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == {i: ("revisit", 77) if i % 7 == 0 and i != 77 else ("response", None) for i in range(80)}
