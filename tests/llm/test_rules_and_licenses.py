@@ -119,3 +119,12 @@ def test_native_plans_hold_no_python(spark):
     for df in (quality_rules.measure(docs), quality_rules.keep(docs), licenses.scan(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_bodies_of_licences_are_found(spark):
+    tail = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"
+    names = ["mit", "isc", "zlib", "bsd-2-clause", "bsd-3-clause", "agpl-notice", "epl-2.0-notice", "boost-1.0-notice", "cc0-notice", "cc-by-nc-4.0", "cc-by-nd-4.0"]
+    assert tail in licenses.TEMPLATES["mit"]
+    docs = documents(spark, [f"// {licenses.TEMPLATES[n]} and code" for n in names], clash=False)
+    got = {(r["doc_id"], r["template"]) for r in licenses.scan(docs).collect()}
+    assert got >= set(enumerate(names))
