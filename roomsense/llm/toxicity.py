@@ -99,9 +99,12 @@ class Index:
         self.weight = class_weight[self.labels]
         stop = np.cumsum(size)
         w = (1 + np.log(n)) * self.idf[term]
-        if len(size):
-            w /= np.repeat(np.sqrt(np.add.reduceat(w * w, stop - size)), size)
-        self._invert(size, term, w)
+        self.norm = np.sqrt(np.add.reduceat(w * w, stop - size)) if len(size) else np.empty(0)
+        w /= np.repeat(self.norm, size)
+        order = np.argsort(term, kind="stable")
+        self._invert(np.bincount(term, minlength=len(self.known)), np.repeat(np.arange(len(size), dtype=np.int32), size)[order],
+                     n[order].astype(np.int32))
+        del order
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         votes = []
         for first in range(0, len(size), block):
@@ -118,22 +121,32 @@ class Index:
         w = (1 + np.log(n)) * self.idf[terms]
         return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def _invert(self, size: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
-        """Postings by term; the terms that many examples hold are rows of a matrix instead (``row`` numbers them)."""
-        n, m = len(size), len(self.known)
-        df = np.bincount(term, minlength=m)
-        common = np.nonzero(df * 12 > n)[0] if n > 1000 else np.empty(0, np.int64)
-        self.row = np.full(m, -1, np.int32)
+    def _invert(self, df: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Postings in order of the terms; the terms that many examples hold are rows of a matrix instead (``row`` numbers them)."""
+        self.posted = (df.astype(np.int32), at, n)
+        m = len(self.norm)
+        common = np.nonzero(df * 12 > m)[0] if m > 1000 else np.empty(0, np.int64)
+        self.row = np.full(len(df), -1, np.int32)
         self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), n))
-        at = np.repeat(np.arange(n, dtype=np.int32), size)
-        dense = self.row[term] >= 0
-        self.matrix[self.row[term[dense]], at[dense]] = w[dense]
-        order = np.nonzero(~dense)[0].astype(np.int32)
-        order = order[np.argsort(term[order], kind="stable")]
-        self.at, self.w = at[order], w[order]
-        df[common] = 0
-        self.start = np.concatenate([[0], np.cumsum(df)])
+        w = (1 + np.log(n)) * np.repeat(self.idf, df) / self.norm[at]
+        row = np.repeat(self.row, df)
+        dense = row >= 0
+        self.matrix = np.zeros((len(common), m))
+        self.matrix[row[dense], at[dense]] = w[dense]
+        self.at, self.w = at[~dense], w[~dense]
+        self.start = np.concatenate([[0], np.cumsum(np.where(self.row >= 0, 0, df))])
+
+    def __getstate__(self) -> dict:
+        """What is shared holds counts only; weights and matrix are computed again where it is read."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("at", "w", "start", "row", "matrix")}
+        df, at, n = self.posted
+        return state | {"posted": (df, at.astype(np.min_scalar_type(len(self.norm))), n.astype(np.min_scalar_type(int(n.max(initial=0)))))}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        df, at, n = self.posted
+        self._invert(df.astype(np.int64), at.astype(np.int32), n.astype(np.int32))
+        del self.posted
 
     def unit(self, counts: dict[int, int]) -> dict[int, float]:
         terms, w = self._weighted(counts)
