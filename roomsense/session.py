@@ -41,7 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        if spark.sparkContext.getCheckpointDir() is None:   # each call would make a further empty folder
+            spark.sparkContext.setCheckpointDir(current)
         return current
     if fallback is None:
         return None
