@@ -14,6 +14,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -32,6 +33,7 @@ from roomsense.llm.common import pick
 NEAR = 16
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def char_class(c: str) -> str:
     """The split pattern's class of a character; empty for those at which a cut is never made."""
     if c.isspace():
@@ -50,31 +52,38 @@ def inside_run(text: str, p: int) -> bool:
     return len(kinds) == 1 and "" not in kinds
 
 
-def run_bytes(text: str, p: int) -> tuple[int, int]:
-    """Bytes of the unsplit run before and after ``p``, the run's leading space included."""
-    kind = char_class(text[p])
-    a, b = p, p
-    while a > 0 and char_class(text[a - 1]) == kind:
-        a -= 1
-    while b < len(text) and char_class(text[b]) == kind:
-        b += 1
-    if a > 0 and text[a - 1] == " ":
-        a -= 1
-    # a run after an apostrophe may begin inside a contraction ('s|'t|'re ...): keep the window clear of its letters
-    if kind == "L" and a > 0 and text[a - 1] == "'" and (m := re.match(r"s|t|re|ve|m|ll|d", text[a:a + 2])):
-        a += m.end()
-    # likewise a run of other signs that begins after a special token or apostrophe sign, which belong to the same class
-    if kind == "other":
-        while a < p and (text[a - 1:a] in ("'", "<", "|", ">")) and text[a - 1:a]:
-            return 0, 0   # not known from here: the whole piece is encoded instead
-        if b < len(text) and text[b] in "'<|>":
-            return 0, 0
-    return len(text[a:p].encode()), len(text[p:b].encode())
+class Run:
+    """The unsplit run round a place; its characters are looked at once, however often it is cut."""
+
+    def __init__(self, text: str, p: int):
+        kind = char_class(text[p])
+        a, b = p, p
+        while a > 0 and char_class(text[a - 1]) == kind:
+            a -= 1
+        while b < len(text) and char_class(text[b]) == kind:
+            b += 1
+        self.low, self.high, self.fine = a, b, True
+        if a > 0 and text[a - 1] == " ":
+            a -= 1
+        # a run after an apostrophe may begin inside a contraction ('s|'t|'re ...): keep the window clear of its letters
+        if kind == "L" and a > 0 and text[a - 1] == "'" and (m := re.match(r"s|t|re|ve|m|ll|d", text[a:a + 2])):
+            a += m.end()
+        # a run of other signs next to a special token's or an apostrophe sign, which belong to the same class: no cut
+        if kind == "other":
+            self.fine = not (a > 0 and text[a - 1] in "'<|>") and not (b < len(text) and text[b] in "'<|>")
+        self.text, self.at, self.before = text, a, 0
+        self.total = len(text[a:b].encode()) if self.fine else 0
+
+    def bytes(self, p: int) -> tuple[int, int]:
+        """Bytes of the run before and after ``p``, its leading space included; places are asked in ascending order."""
+        self.before += len(self.text[self.at:p].encode())
+        self.at = p
+        return self.before, self.total - self.before
 
 
 def cuts(text: str, piece_chars: int) -> list[tuple[int, int, int]]:
     """(position, run bytes before, run bytes after) of the cuts; both are 0 at a proven boundary."""
-    out, at, n = [], 0, len(text)
+    out, at, n, run = [], 0, len(text), None
     while n - at > piece_chars:
         p = bpe.last_proven(text, at + piece_chars // 2, at + piece_chars + 1)
         if p > 0:
@@ -85,10 +94,15 @@ def cuts(text: str, piece_chars: int) -> list[tuple[int, int, int]]:
                 if bpe.proven(text, p):
                     out.append((p, 0, 0))
                     break
-                if inside_run(text, p) and all(run := run_bytes(text, p)):
-                    out.append((p, *run))
-                    break
-                p += 1
+                if inside_run(text, p):
+                    if run is None or not run.low <= p < run.high:
+                        run = Run(text, p)
+                    if run.fine:
+                        out.append((p, *run.bytes(p)))
+                        break
+                    p = run.high
+                else:
+                    p += 1
             else:
                 break
         at = p
@@ -138,6 +152,19 @@ def encode_text(coder: bpe.ByteBpe, text: str, piece_chars: int) -> list[int]:
     return join_all(coder, [coder.encode(text[a:b]) for a, b in zip(ends, ends[1:], strict=False)], [(x, y) for _, x, y in at])
 
 
+def id_arrays(coder: bpe.ByteBpe, text: str, piece_chars: int):
+    """The ids of a text as arrays, one for each stretch between proven boundaries."""
+    pieces, runs, at = [], [], 0
+    for p, before, after in [*cuts(text, piece_chars), (len(text), 0, 0)]:
+        pieces.append(coder.encode(text[at:p]))
+        at = p
+        if before:
+            runs.append((before, after))
+        else:
+            yield np.array(join_all(coder, pieces, runs), np.uint32)
+            pieces, runs = [], []
+
+
 IDS = pa.list_(pa.int32())
 
 

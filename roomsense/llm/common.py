@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,17 +17,59 @@ SPACES = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Arrow's names of the file systems that Spark names otherwise.
+_ARROW_SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3a": "s3", "s3n": "s3", "s3": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where the setting is absent (tests), a fresh local one."""
-    return ensure_checkpoint_dir(spark) or ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="roomsense-shared-"))
+    """The folder named by ``spark.checkpoint.dir``.  Only a session in one process (tests) may leave it unset: it gets a
+    local folder; executors of a cluster would not see one another's."""
+    found = ensure_checkpoint_dir(spark)
+    if found is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: this operator needs a folder that driver and executors share")
+        found = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="roomsense-shared-"))
+    return found
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody uses; it is deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(home)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)   # only what exists can be registered
+    files.deleteOnExit(hadoop)
+    return f"{home}/data"
+
+
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark resolves it (a path without a scheme is on the default file system), as a URI that Arrow opens in tasks."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    whole = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    scheme, _, rest = whole.partition(":")
+    if scheme not in _ARROW_SCHEMES:
+        raise ValueError(f"files by range need one of the file systems {', '.join(_ARROW_SCHEMES)}; {path} is on {scheme}")
+    return f"{_ARROW_SCHEMES[scheme]}://{rest.removeprefix('//')}"
+
+
+def _filesystem(uri: str):
+    from pyarrow import fs
+
+    # a file's path is taken as it is: it may hold signs that a URI would have to escape
+    return (fs.LocalFileSystem(), uri.removeprefix("file://")) if uri.startswith("file://") else fs.FileSystem.from_uri(uri)
+
+
+def open_input(uri: str):
+    """A file for reading by range, in a task."""
+    system, path = _filesystem(uri)
+    return system.open_input_file(path)
+
+
+def open_output(uri: str):
+    """A file for writing from its start, in a task; its folder is made."""
+    system, path = _filesystem(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(path, compression=None)   # bytes as they are, whatever the name ends in
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:

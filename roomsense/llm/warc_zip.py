@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomsense.llm.common import new_path, pick, written
+from roomsense.llm.common import arrow_uri, new_path, open_input, open_output, pick, written
 
 ARCHIVE, INDEX, LISTING = "archive/data.warc.gz", "indexes/index.jsonl", "datapackage.json"
 WRITTEN_AT = "1970-01-01T00:00:00Z"   # the same for every run, so reruns give equal packages
@@ -100,13 +100,10 @@ class Package:
 # ------------------------------------------------------------------ ZIP, read by range
 
 class RangeFile:
-    """``read(at, n)`` on a file of any file system that Arrow opens by URI (file, hdfs, s3, gs)."""
+    """``read(at, n)`` on a file of any file system that Arrow opens by URI (``common.arrow_uri``)."""
 
     def __init__(self, uri: str):
-        from pyarrow import fs
-
-        self.fs, self.path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "", 1))
-        self.file = self.fs.open_input_file(self.path)
+        self.file = open_input(uri)
         self.size = self.file.size()
 
     def read(self, at: int, n: int) -> bytes:
@@ -225,13 +222,9 @@ def _write(folder: str, package_bytes: int):
     schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def close(package):
-        from pyarrow import fs
-
         raw = package.finish()
         uri = f"{folder}/{uuid.uuid4().hex}.zip"   # a name of this attempt's own
-        system, path = fs.FileSystem.from_uri(uri)
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path) as out:
+        with open_output(uri) as out:
             out.write(raw)
         return pa.RecordBatch.from_pylist([{"path": uri, "records": len(package.lines), "bytes": len(raw)}], schema=schema)
 
@@ -252,9 +245,9 @@ def _write(folder: str, package_bytes: int):
 
 def write_packages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", min_revisit_bytes: int = 0, package_bytes: int = 32 << 20) -> DataFrame:
-    """Write every row as a record; returns the packages: path, records, bytes."""
+    """Write every row as a record; returns the packages: path, records, bytes.  ``folder`` is a path that Spark resolves."""
     spark = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
+    folder = arrow_uri(spark, folder or new_path(spark, "warc"))
     rows = pick(pages, page_id=id_col, url=url_col, payload=payload_col)
     rows = rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                        F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"),

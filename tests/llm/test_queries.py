@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import zlib
 
 import duckdb
 import numpy as np
@@ -24,6 +25,9 @@ COLUMNS = {
     "op8": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op9": ["doc_id", "held_out", "score", "predicted"],
     "op10": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op12": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op13": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 
@@ -69,5 +73,11 @@ def test_columns_and_rows(spark, texts, name):
             if name.startswith("op3_"):
                 assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
                 assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    if name.startswith("op13_"):
+        lib, start = bpe.load(bpe.default_path()).lib, 0
+        for r in sorted(rows, key=lambda r: r["doc_id"]):
+            ids = [*lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
+            assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            start += len(ids)
     if not name.startswith(("op6_", "op7_", "op10_")):
         assert sorted(r["doc_id"] for r in rows) == sorted(texts)

@@ -46,6 +46,17 @@ def test_long_unsplit_run_is_a_tree(coder):
         assert bpe_codec.encode_text(coder, text, 256) == reference(coder, text)
 
 
+def test_cutting_an_unsplit_run_looks_at_each_character_once(monkeypatch):
+    looked = []
+    plain = bpe_codec.char_class
+    monkeypatch.setattr(bpe_codec, "char_class", lambda c: looked.append(c) or plain(c))
+    for text in ("ab" * 20_000, "字" * 40_000, "-" * 20_000 + "'" + "-" * 20_000):
+        for n in (1, 4):
+            looked.clear()
+            bpe_codec.cuts(text * n, 256)
+            assert len(looked) < 1.6 * len(text) * n + 200
+
+
 def test_overlapping_chunks_count_like_the_library(coder):
     rng = random.Random(4)
     for _ in range(60):
