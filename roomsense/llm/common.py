@@ -74,9 +74,12 @@ def open_output(uri: str):
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a DataFrame as Parquet into the shared folder and read it back: lineage is cut, rows survive executors."""
-    path = new_path(df.sparkSession, name)
+    path, names = new_path(df.sparkSession, name), df.columns
+    if len({n.lower() for n in names}) < len(names):   # Parquet files cannot hold clashing names
+        df = df.toDF(*(f"c{i}" for i in range(len(names))))
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back if df.columns == names else back.toDF(*names)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

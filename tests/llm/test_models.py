@@ -61,16 +61,67 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert toxicity.score(docs.limit(0), index).collect() == []
 
 
-def test_block_max_search_is_exact():
+def flat(vectors):
+    return [len(v) for v in vectors], [t for v in vectors for t in sorted(v)], [v[t] for v in vectors for t in sorted(v)]
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_block_max_search_is_exact_and_skips_blocks(block):
     rng = random.Random(7)
-    n, terms = 500, 40
-    vectors = [{t: rng.randint(1, 4) for t in rng.sample(range(terms), rng.randint(1, 6))} for _ in range(n)]
-    index = toxicity.Index([str(t) for t in range(terms)], np.linspace(1, 3, terms), list(range(n)), [i % 2 for i in range(n)], vectors, (1.0, 1.0), k=7, block=16)
-    for _ in range(40):
-        q = index.unit({t: rng.randint(1, 3) for t in rng.sample(range(terms), 4)})
-        scores = {i: round(sum(q.get(t, 0) * w for t, w in index.unit(v).items()), 9) for i, v in enumerate(vectors)}
-        want = sorted(scores.values(), reverse=True)[:7]
-        assert [round(s, 9) for s, _ in index.nearest(q)] == pytest.approx([s for s in want if s > 0])
+    n, terms, tongues = 600, 90, 3
+    # each example has common terms of its own tongue and some rare ones
+    vectors = [{t: rng.randint(1, 4) for t in [*rng.sample(range(10 * (i % tongues), 10 * (i % tongues) + 10), 4), *rng.sample(range(30, terms), rng.randint(0, 3))]}
+               for i in range(n)]
+    vectors[5] = vectors[2] = vectors[8]   # ties
+    index = toxicity.Index(np.arange(terms, dtype=np.uint64), frozenset(), np.concatenate([np.full(30, 0.5), np.linspace(1, 3, terms - 30)]),
+                           [f"e{i:04d}" for i in range(n)], [i % 2 for i in range(n)], flat(vectors), (1.0, 1.0), k=7, block=block)
+    assert len(index.matrix) >= 20 and len(index.w)   # both common and rare terms
+
+    def unit(v):
+        found = index.unit(np.array(sorted(v)), np.array([v[t] for t in sorted(v)]))
+        return dict(zip(found[0].tolist(), found[1].tolist(), strict=True))
+
+    queries = [vectors[i] for i in (2, 40, 41)] + [{t: rng.randint(1, 3) for t in [*rng.sample(range(10), 2), *rng.sample(range(30, terms), 2)]} for _ in range(40)]
+    units = [unit(v) for v in vectors]
+    skip = [2, None, 41] + [None] * 40
+    asked = [index.unit(np.array(sorted(q)), np.array([q[t] for t in sorted(q)])) for q in queries]
+    for q, without, near in zip(queries, skip, index.nearest(asked, skip), strict=True):
+        u = unit(q)
+        scores = [(round(sum(u.get(t, 0) * w for t, w in v.items()), 9), -i) for i, v in enumerate(units) if i != without]
+        want = [(s, -i) for s, i in sorted(scores, reverse=True)[:7] if s > 0]
+        assert [round(s, 9) for s, _ in near] == [s for s, _ in want]
+        assert [i for s, i in near if s > near[-1][0]] == [i for s, i in want if s > want[-1][0]]
+    assert index.scored < index.asked * (0.6 if block == 8 else 0.8)
+    assert index.nearest([asked[0]])[0][:3] == [(1.0, 2), (1.0, 5), (1.0, 8)]
+
+
+def test_terms_by_hash_and_number():
+    words = toxicity.Terms()("Idiot's idiot IDIOTIC x1y")
+    assert dict(zip(words[0].tolist(), words[1].tolist(), strict=True)) == {
+        int(toxicity.codes_of([t])[0]): n for t, n in {"idiot": 2, "s": 1, "idiotic": 1, "x": 1, "y": 1, "^idio": 3, "^idiot": 3, "^idioti": 1}.items()}
+    known = np.sort(toxicity.codes_of(["idiot", "^idio", "other"]))
+    numbers, counts = toxicity.Terms(known, frozenset(["idio"]))("idiot idiotic ^idio")
+    assert sorted(zip(known[numbers].tolist(), counts.tolist(), strict=True)) == sorted(zip(toxicity.codes_of(["idiot", "^idio"]).tolist(), (1, 3), strict=True))
+    assert [len(x) for x in toxicity.Terms(known, frozenset())(None)] == [0, 0]
+
+
+def test_text_ids_and_shared_labelled_ids(spark):
+    texts, toxic = corpus()
+    docs = spark.createDataFrame([(f"d{i:03d}", t) for i, t in enumerate(texts)] + [("d001", "other text"), (None, texts[0])], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i:03d}", y) for i, y in enumerate(toxic) if i % 3], "id string, y int")
+    got = toxicity.score(docs, toxicity.fit(docs.toDF("id", "text"), labels)).collect()
+    assert len(got) == len(texts) + 2 and got[0].asDict()["evidence"][0]["example"].startswith("d")
+    again = toxicity.score(docs.repartition(7), toxicity.fit(docs.repartition(3).toDF("id", "text"), labels)).collect()
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+
+
+def test_long_texts_are_no_examples_but_are_scored_whole(spark):
+    texts, toxic = corpus()
+    docs = documents(spark, [*texts, "word " * 5000 + texts[0]], clash=False)
+    labels = spark.createDataFrame([*enumerate(toxic), (len(texts), 1)], "id long, y int")
+    index = toxicity.fit(pick(docs, id="doc_id", text="text"), labels, most_chars=2000)
+    assert len(texts) not in index.ids and len(index.ids) == len(texts)
+    assert toxicity.score(docs.where(f"doc_id = {len(texts)}"), index).first()["evidence"]
 
 
 def test_a_copy_of_a_toxic_example_with_rare_words_is_found(spark):

@@ -79,7 +79,8 @@ def keyless(spark, texts, source="s"):
 
 
 def test_a_toxic_row_takes_no_other_row_of_its_id(spark, monkeypatch):
-    index = toxicity.Index(["vile"], np.ones(1), list(range(40)), [1] * 20 + [0] * 20, [{0: 1}] * 20 + [{}] * 20, (1.0, 1.0))
+    index = toxicity.Index(toxicity.codes_of(["vile"]), frozenset(), np.ones(1), list(range(40)), [1] * 20 + [0] * 20,
+                           ([1] * 20 + [0] * 20, [0] * 20, [1] * 20), (1.0, 1.0))
     monkeypatch.setattr(corpus_pipeline, "toxicity_index", lambda spark, sf_dir: index)
     fine = ["some words", "other words"]
     kept = corpus_pipeline.clean(spark, keyless(spark, ["a vile text", *fine]), SF).collect()
@@ -98,3 +99,19 @@ def test_mix_meets_its_target_without_ids(spark):
     taken = [r["text"] for r in corpus_pipeline.mixed(spark, keyless(spark, texts), SF).collect()]
     assert max(taken.count(t) for t in texts) <= 4
     assert sum(len(t.split()) for t in taken) == pytest.approx(1.5 * 2 * sum(len(t.split()) for t in texts), abs=8)
+
+
+def test_clashing_columns_are_carried_along(spark, monkeypatch):
+    index = toxicity.Index(np.empty(0, np.uint64), frozenset(), [], [], [], ([], [], []), (1.0, 1.0))
+    monkeypatch.setattr(corpus_pipeline, "toxicity_index", lambda spark, sf_dir: index)
+    texts = copies(groups=3, size=2) + ODD
+    docs = documents(spark, texts).withColumns({n: F.lit(f"own {n}") for n in ("copy", "copies", "__row", "gone", "c0", "kept", "n_words")})
+    rows, twins = docs, documents(spark, texts, clash=False)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        rows, twins = stage(spark, rows, SF), stage(spark, twins, SF)
+        at = rows.columns.index("doc_id")
+        assert sorted([r[at] for r in rows.collect()]) == sorted([r["doc_id"] for r in twins.collect()])
+        if n < len(corpus_pipeline.STAGES) - 1:
+            assert rows.columns == docs.columns
+            for r in rows.collect():
+                assert r["copy"] == "own copy" and r["copies"] == "own copies" and r["TEXT"] == "other" and r["Doc_ID"] == -1 and r["__row"] == "own __row"
