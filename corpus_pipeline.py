@@ -1,7 +1,13 @@
 """A training-data pipeline: each stage works on what the one before it kept, written as Parquet and read again.
 
 ``STAGES`` lists (name, function(spark, docs, sf_dir) -> DataFrame); ``run`` applies them to ``documents``.  All but the
-last return the columns of documents.
+last return the columns of documents, further ones included, in their order.
+
+Each stage judges rows, not ids: null and repeated ids are documents of their own.  Null texts count as empty; empty texts
+fall to the quality rules.  Texts of any length are judged whole.  Of near duplicates the smallest id stays (null ids stay
+all); ties of the mix go by the hash of the id, then by row.  Repeated rows are near duplicates where they have ids.
+Columns whose names clash with doc_id, text, source or a stage's own but for case are carried along untouched, by position;
+the first column of exactly that name is the one meant.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,27 +33,34 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, toxicity_index(spark, sf_dir), TOXIC_FROM)
 
 
+def _by_place(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The rows with columns c0, c1, ..., which clash with nothing, and what the named columns are called there."""
+    lower = [n.lower() for n in docs.columns]
+    places = [docs.columns.index(n) if n in docs.columns else lower.index(n) for n in names]
+    return docs.toDF(*(f"c{i}" for i in range(len(lower)))), [f"c{i}" for i in places]
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id.  Null ids are kept, each row for itself."""
-    known = F.col("doc_id").isNotNull()
-    if docs.where(known).groupBy("doc_id").count().where("count > 1").isEmpty():
-        found = near_dup.near_duplicates(docs, percent=PERCENT)
-        gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-        return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    # rows that share an id are documents of their own: all are numbered, in the order of their ids
-    numbered = docs.orderBy("doc_id", F.xxhash64("text")).withColumn(ROW, F.when(known, F.monotonically_increasing_id()))
-    numbered = written(numbered, "numbered")
-    found = near_dup.near_duplicates(numbered, id_col=ROW, percent=PERCENT)
-    gone = found.where(~F.col("kept")).select(F.col(ROW).alias("gone_row"))
-    return numbered.join(gone, F.col(ROW) == F.col("gone_row"), "left_anti").select(*docs.columns)
+    rows, (doc_id, text) = _by_place(docs, "doc_id", "text")
+    known, key = F.col(doc_id).isNotNull(), doc_id
+    if not rows.where(known).groupBy(doc_id).count().where("count > 1").isEmpty():
+        # rows that share an id are documents of their own: all are numbered, in the order of their ids
+        rows = rows.orderBy(doc_id, F.xxhash64(text)).withColumn(ROW, F.when(known, F.monotonically_increasing_id()))
+        rows, key = written(rows, "numbered"), ROW
+    found = near_dup.near_duplicates(rows, id_col=key, text_col=text, percent=PERCENT)
+    gone = found.where(~F.col("kept")).select(F.col(key).alias("gone"))
+    return rows.join(gone, F.col(key) == F.col("gone"), "left_anti").drop(ROW).toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    copies = mixing.mix(numbered, row_col=ROW).where("copies > 0").select(F.col(ROW).alias("mixed_row"), "copies")
-    taken = numbered.join(copies, F.col(ROW) == F.col("mixed_row"))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows, (doc_id, text, source) = _by_place(docs, "doc_id", "text", "source")
+    columns = rows.columns
+    rows = written(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    copies = mixing.mix(rows, id_col=doc_id, text_col=text, source_col=source, row_col=ROW).where("copies > 0")
+    taken = rows.join(copies.select(F.col(ROW).alias("mixed_row"), "copies"), F.col(ROW) == F.col("mixed_row"))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns).toDF(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +82,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if n < len(STAGES) - 1:
             docs = written(docs, "stage-" + name.replace(" ", "-"))
     return docs
-
-
