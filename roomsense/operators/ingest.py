@@ -9,11 +9,14 @@ one key are combined map-side; no task ever holds a whole duplicate group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomsense import schemas
 from roomsense.plans.joins import DIM_ROW_BOUND
+from roomsense.sources import sink
 
 # The known device -> (sector, sensor type) mapping of the
 # feed, the fallback for unknown devices, and the defaults of auto-created
@@ -32,15 +35,21 @@ NEW_SECTOR_CAPACITY = 25
 ARRIVAL = "_arrival"
 
 
+def wall_clock(text) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` text as TIMESTAMP_NTZ, read without any time zone: 02:30 of a night that skips that hour
+    stays 02:30.  NULL for any other text and for days or hours that no calendar has."""
+    text = F.col(text) if isinstance(text, str) else text
+    text = text.cast("string")
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), text.try_cast("timestamp_ntz"))
+
+
 def parse_feed(raw: DataFrame, kind: str) -> DataFrame:
-    """Rename feed keys to table columns; the time text becomes ``ts`` via
-    ``try_to_timestamp`` (bad text -> NULL -> quarantine)."""
+    """Rename feed keys to table columns; the time text becomes ``ts`` (``wall_clock``; bad text -> NULL -> quarantine)."""
     mapping = schemas.FEED_ENV_COLUMNS if kind == "env" else schemas.FEED_OCCUPANCY_COLUMNS
     cols = []
     for key, col in mapping.items():
         if key == "data":
-            cols.append(F.try_to_timestamp(F.col(key).cast("string"), F.lit("yyyy-MM-dd HH:mm:ss"))
-                        .cast("timestamp_ntz").alias(col))
+            cols.append(wall_clock(key).alias(col))
         else:
             cols.append(F.col(key).alias(col))
     extra = [c for c in raw.columns if c not in mapping]
@@ -80,43 +89,58 @@ def first_per_key(batch: DataFrame, arrival: str = ARRIVAL) -> DataFrame:
     return by_id.join(keep, "id", "left_semi")
 
 
-def drop_stored(batch: DataFrame, target: DataFrame, batch_small: bool | None = None,
-                keys: DataFrame | None = None) -> DataFrame:
+@dataclass
+class KeySpan:
+    """What a batch's keys can meet in the store: its rows, its days, the pages of its ids, and the stored batches with such pages.
+
+    None for days or batches means any: more than ``MOST_DAYS`` days or ``sink.MOST_PAGES`` pages are not listed."""
+    rows: int
+    days: list | None
+    pages: list | None
+    batches: list | None = None
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= DIM_ROW_BOUND
+
+
+MOST_DAYS = 1000
+
+
+def key_span(keys: DataFrame) -> KeySpan:
+    """One pass over a (materialised) batch's keys."""
+    k = keys.agg(F.count(F.lit(1)).alias("rows"), F.collect_set(F.to_date("ts")).alias("days"), F.collect_set(sink.id_page()).alias("pages")).first()
+    return KeySpan(k["rows"], sorted(k["days"]) if len(k["days"]) <= MOST_DAYS else None,
+                   sorted(k["pages"]) if len(k["pages"]) <= sink.MOST_PAGES else None)
+
+
+def drop_stored(batch: DataFrame, target: DataFrame, keys: DataFrame | None = None, span: KeySpan | None = None) -> DataFrame:
     """C7 step 3: drop rows already stored under either key.
 
-    ``keys`` (default: ``batch``) is any frame holding at least the batch's
-    ids and (sensor_id, ts) keys — the raw, already materialised input works,
-    so the de-duplicated batch is not recomputed for the key sets.  The
-    target is first narrowed to the keys' id range and time range (literal
-    bounds: parquet row-group skipping and ``day`` partition pruning).  When
-    the keys are proven small, the target streams past them broadcast
-    (semi-join), so only colliding target keys survive and the big side is
-    never shuffled; otherwise both sides shuffle on the key.
+    ``keys`` (default: ``batch``) is any frame holding at least the batch's ids and (sensor_id, ts) keys.  With a ``span``
+    of these keys the store is pruned before it is read: ids are looked up in the batches that hold their pages, and
+    (sensor_id, ts) in the days of the batch, as a set; so one late row adds its day and its batch to the scan, not all
+    between.  When the keys are proven few, the store streams past them broadcast (semi-join), so only colliding keys
+    survive and the big side is never shuffled; otherwise, and without a span, both sides shuffle on the key.
+    Building the plan runs no job.
     """
-    keys = batch if keys is None else keys
-    # one pass over the keys: literal bounds for pruning, and the row count
-    # that decides (and proves) the broadcast
-    b = keys.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("ts").alias("t0"),
-                 F.max("ts").alias("t1"), F.count(F.lit(1)).alias("n")).first()
-    if b is None or b["lo"] is None:
-        return batch
-    if batch_small is None:
-        batch_small = b["n"] <= DIM_ROW_BOUND
-    by_id = target.where(F.col("id").between(b["lo"], b["hi"])).select("id")
-    by_key = target.where(F.col("ts").between(b["t0"], b["t1"]))
-    if "day" in target.columns:
-        by_key = by_key.where(F.col("day").between(b["t0"].date(), b["t1"].date()))
-    by_key = by_key.select("sensor_id", "ts")
-    if batch_small:
+    by_id, by_key = target.select(*[c for c in ("id", "batch_id") if c in target.columns]), target
+    if span is not None and span.batches is not None and "batch_id" in target.columns:
+        by_id = by_id.where(F.col("batch_id").isin(span.batches))
+    if span is not None and span.days is not None and "day" in target.columns:
+        by_key = by_key.where(F.col("day").isin(span.days))
+    by_id, by_key = by_id.select("id"), by_key.select("sensor_id", "ts")
+    if span is not None and span.small:
+        keys = batch if keys is None else keys
         by_id = by_id.join(F.broadcast(keys.select("id").where(F.col("id").isNotNull())), "id", "left_semi")
         by_key = by_key.join(F.broadcast(keys.select("sensor_id", "ts")), ["sensor_id", "ts"], "left_semi")
     return batch.join(by_id, "id", "left_anti").join(by_key, ["sensor_id", "ts"], "left_anti")
 
 
-def dedupe(batch: DataFrame, target: DataFrame, arrival: str = ARRIVAL) -> DataFrame:
+def dedupe(batch: DataFrame, target: DataFrame, arrival: str = ARRIVAL, span: KeySpan | None = None) -> DataFrame:
     """I02 insert-ignore as a set operation."""
     firsts = first_per_key(batch, arrival)
-    return drop_stored(firsts, target, keys=batch).drop(arrival)
+    return drop_stored(firsts, target, keys=batch, span=span).drop(arrival)
 
 
 def sensor_mapping(sensor_id) -> tuple:
@@ -131,10 +155,11 @@ def sensor_mapping(sensor_id) -> tuple:
 
 
 def new_sensors(telemetry: DataFrame, sensors: DataFrame, installed_at=None) -> DataFrame:
-    """Devices seen in telemetry and absent from ``sensors``, as new
-    sensor rows ('SENSOR_{id}', mapped sector and type).  Distinct ids are
-    taken first, so the anti-join sees one row per device."""
-    ids = telemetry.select("sensor_id").distinct().join(sensors.select("sensor_id"), "sensor_id", "left_anti")
+    """Devices seen in telemetry (rows later quarantined included) and
+    absent from ``sensors``, as new sensor rows ('SENSOR_{id}', mapped sector
+    and type).  Distinct ids are taken first, so the anti-join sees one row per
+    device."""
+    ids = telemetry.select("sensor_id").where("sensor_id is not null").distinct().join(sensors.select("sensor_id"), "sensor_id", "left_anti")
     sector, typ = sensor_mapping(F.col("sensor_id"))
     when = F.localtimestamp() if installed_at is None else installed_at
     return ids.select("sensor_id", F.concat(F.lit("SENSOR_"), F.col("sensor_id").cast("string")).alias("sensor_code"),

@@ -14,13 +14,17 @@ registration (the seed first), as an insert-if-absent table would.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomsense import schemas
+from roomsense.session import ensure_checkpoint_dir
 
 FACT_SCHEMAS = {"env_readings": schemas.ENV_READINGS, "occupancy_readings": schemas.OCCUPANCY_READINGS}
 DIM_SCHEMAS = {"sectors": schemas.SECTORS, "sensors": schemas.SENSORS}
@@ -44,19 +48,112 @@ def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
-def write_batch(df: DataFrame, root: str, table: str, batch_id: int, source: str = SEED_SOURCE) -> None:
-    """Append one batch; overwrite of the batch folder keeps replays idempotent."""
+def write_batch(df: DataFrame, root: str, table: str, batch_id: int, source: str = SEED_SOURCE) -> dict | None:
+    """Append one batch; overwrite of the batch folder keeps replays idempotent.
+
+    For a fact the write itself is observed: rows, the largest id and time, the days, and the pages of the ids.  They are
+    kept beside the table (``read_latest``, ``key_batches``) and returned; no row is read again for them."""
     if table in DIM_SCHEMAS:
         out = f"{table_path(root, table)}/source={source}/batch_id={batch_id}"
     else:
         out = f"{table_path(root, table)}/batch_id={batch_id}"
-    if table in FACT_SCHEMAS:
-        # sorted by (sensor, time) inside each day: row-group min/max on
-        # sensor_id and ts let per-sensor and time-range reads skip groups
-        (df.withColumn("day", F.to_date("ts")).sortWithinPartitions("day", "sensor_id", "ts")
-         .write.mode("overwrite").partitionBy("day").parquet(out))
-    else:
+    if table not in FACT_SCHEMAS:
         df.write.mode("overwrite").parquet(out)
+        return None
+    seen = Observation()
+    day = F.to_date("ts")
+    # sorted by (sensor, time) inside each day: row-group min/max on
+    # sensor_id and ts let per-sensor and time-range reads skip groups
+    (df.withColumn("day", day).observe(seen, F.count(F.lit(1)).alias("rows"), F.max("id").alias("max_id"), F.max("ts").alias("latest"),
+                                       F.collect_set(day).alias("days"), F.collect_set(id_page()).alias("pages"))
+     .sortWithinPartitions("day", "sensor_id", "ts").write.mode("overwrite").partitionBy("day").parquet(out))
+    found = seen.get
+    write_keys(df.sparkSession, root, table, batch_id, found["pages"], found["days"])
+    write_latest(df.sparkSession, root, table, batch_id, found["latest"])
+    return found
+
+
+# -- beside each fact: its newest time, and which batches hold which keys ---------------
+
+#: Ids of one page: a batch of consecutive ids has few pages, and a stored id's batches are found by its page.
+PAGE_IDS = 1 << 16
+#: Batches whose keys share a file, so a reader opens one small file for so many batches.
+KEY_BLOCK = 64
+#: A batch with more pages (ids that follow no order) counts as holding any id.
+MOST_PAGES = 10_000
+KEYS = "batch_id long, pages array<long>, days array<date>"
+
+
+def id_page(column: str = "id"):
+    return F.floor(F.col(column) / F.lit(PAGE_IDS))
+
+
+def _keys_path(root: str, table: str) -> str:
+    return f"{root.rstrip('/')}/_keys_{table}"
+
+
+def write_keys(spark: SparkSession, root: str, table: str, batch_id: int, pages, days) -> None:
+    """A batch's id pages and days, in one file with those of its block's earlier batches; a replay rewrites its own file."""
+    path, block = _keys_path(root, table), batch_id // KEY_BLOCK
+    before = newest_complete(spark, path, batch_id)
+    rows = []
+    if before is not None and before // KEY_BLOCK == block:
+        rows = [tuple(r) for r in spark.read.schema(KEYS).parquet(f"{path}/batch_id={before}").collect()]   # at most KEY_BLOCK rows
+    rows.append((batch_id, sorted(pages) if len(pages) <= MOST_PAGES else None, sorted(days)))
+    spark.createDataFrame(rows, KEYS).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    prune_folders(spark, path, keep_from=batch_id - 2, from_batch=block * KEY_BLOCK)
+
+
+def key_batches(spark: SparkSession, root: str, table: str, pages: list[int], but: int | None = None) -> list[int]:
+    """Stored batches that may hold an id of one of the pages: those whose keys say so and those without known keys."""
+    stored = set(batch_numbers(spark, table_path(root, table))) - {but}
+    path = _keys_path(root, table)
+    last: dict[int, int] = {}
+    for n in batch_numbers(spark, path, complete=True):
+        last[n // KEY_BLOCK] = max(n, last.get(n // KEY_BLOCK, n))
+    if not stored or not last:
+        return sorted(stored)
+    keys = spark.read.schema(KEYS).parquet(*(f"{path}/batch_id={n}" for n in last.values()))
+    wanted = spark.createDataFrame([(p,) for p in pages], "page long")
+    hit = keys.where("pages is not null").select("batch_id", F.explode("pages").alias("page")).join(F.broadcast(wanted), "page")   # at most MOST_PAGES
+    hit = {r[0] for r in hit.select("batch_id").distinct().collect()}
+    known = {r[0] for r in keys.where("pages is not null").select("batch_id").collect()}   # one number per stored batch
+    return sorted(n for n in stored if n in hit or n not in known)
+
+
+def write_latest(spark: SparkSession, root: str, table: str, batch_id: int, latest) -> None:
+    """the newest reading time after a batch: that of the batches before it or its own."""
+    path = f"{root.rstrip('/')}/_latest_{table}"
+    before = newest_complete(spark, path, batch_id)
+    if before is None and batch_numbers(spark, table_path(root, table)) not in ([], [batch_id]):
+        return   # a store filled by other means: its newest time is not known from here
+    if before is not None:
+        known = spark.read.parquet(f"{path}/batch_id={before}").first()["latest"]
+        latest = max([x for x in (known, latest) if x is not None], default=None)
+    spark.createDataFrame([(latest,)], "latest timestamp_ntz").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    prune_folders(spark, path, keep_from=batch_id - 2)
+
+
+def read_latest(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """One row with the newest stored reading time: one small file; None where no write has told it."""
+    path = f"{root.rstrip('/')}/_latest_{table}"
+    newest = newest_complete(spark, path)
+    return None if newest is None else spark.read.schema("latest timestamp_ntz").parquet(f"{path}/batch_id={newest}")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, deleted when the session ends.  Only a session in one process may leave
+    the setting unset (tests)."""
+    base = ensure_checkpoint_dir(spark)
+    if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set")
+        base = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="roomsense-shared-"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -77,14 +174,21 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
+def batch_numbers(spark: SparkSession, path: str, complete: bool = False) -> list[int]:
+    """Numbers of the ``batch_id=`` folders below a path, ascending; ``complete``: only those whose write has committed."""
+    if not _exists(spark, path):
+        return []
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(x.getPath(), re.fullmatch(r"batch_id=(-?\d+)", x.getPath().getName())) for x in fs.listStatus(p)]
+    return sorted(int(m[1]) for folder, m in found
+                  if m and (not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))))
+
+
 def largest_batch(spark: SparkSession, root: str, table: str) -> int | None:
     """Highest batch number that has a folder of a table, complete or not."""
-    path = table_path(root, table)
-    if not _exists(spark, path):
-        return None
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    names = [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
-    return max((int(n.split("=", 1)[1]) for n in names if n.startswith("batch_id=")), default=None)
+    return max(batch_numbers(spark, table_path(root, table)), default=None)
 
 
 def newest_file_time(spark: SparkSession, path: str) -> int | None:
@@ -149,25 +253,12 @@ def newest_complete(spark: SparkSession, path: str, before: int | None = None) -
     """Highest K of the ``path/batch_id=K`` folders whose write has committed
     (Spark's ``_SUCCESS`` marker), optionally below ``before``.  A reader
     never picks a folder that a running batch is still writing."""
-    if not _exists(spark, path):
-        return None
     jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    best = None
-    for status in fs.listStatus(p):
-        name = status.getPath().getName()
-        if not name.startswith("batch_id="):
-            continue
-        try:
-            bid = int(name.split("=", 1)[1])
-        except ValueError:
-            continue
-        if before is not None and bid >= before:
-            continue
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")) and (best is None or bid > best):
-            best = bid
-    return best
+    for n in reversed(batch_numbers(spark, path)):
+        mark = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={n}/_SUCCESS")
+        if (before is None or n < before) and mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            return n
+    return None
 
 
 def read_snapshot(spark: SparkSession, root: str, table: str, before: int | None = None) -> DataFrame | None:
@@ -190,8 +281,8 @@ def prune_snapshots(spark: SparkSession, root: str, table: str, keep_from: int,
     prune_folders(spark, snapshot_path(root, table), keep_from, keep_seconds)
 
 
-def prune_folders(spark: SparkSession, path: str, keep_from: int, keep_seconds: int = KEEP_SECONDS) -> None:
-    """Delete ``path/batch_id=K`` folders with K < keep_from that are older than ``keep_seconds``."""
+def prune_folders(spark: SparkSession, path: str, keep_from: int, keep_seconds: int = KEEP_SECONDS, from_batch: int | None = None) -> None:
+    """Delete ``path/batch_id=K`` folders with (from_batch <=) K < keep_from that are older than ``keep_seconds``."""
     if not _exists(spark, path):
         return
     jvm = spark._jvm
@@ -204,5 +295,5 @@ def prune_folders(spark: SparkSession, path: str, keep_from: int, keep_seconds:
                 bid = int(name.split("=", 1)[1])
             except ValueError:
                 continue
-            if bid < keep_from and status.getModificationTime() <= (time.time() - keep_seconds) * 1000:
+            if bid < keep_from and (from_batch is None or bid >= from_batch) and status.getModificationTime() <= (time.time() - keep_seconds) * 1000:
                 fs.delete(status.getPath(), True)

@@ -10,6 +10,12 @@ The state is one row per hour bucket (not per sensor), so the watermark can
 cover the widest report window (30 days + the anchor hour): about 744 state
 rows, and any reading that any report window could still include is
 counted — the stream then equals batch Q05 on the same rows.
+
+A replayed ingest batch rewrites its files, which the file source takes as
+new.  Below the aggregate a keyed state drops every reading whose id it has
+seen, so a reading counts once however often its batch is replayed.  That
+state holds the ids inside the watermark, spread over the state partitions by
+id; it is evicted as the watermark passes, like the buckets.
 """
 
 from __future__ import annotations
@@ -24,15 +30,20 @@ from roomsense.sources.sink import KEEP_SECONDS, newest_complete, prune_folders
 ENV_VARS = ("co2", "voc", "temperature", "humidity")
 
 
-def hourly_state(readings: DataFrame, watermark: str = "31 days") -> DataFrame:
-    """Streaming (or batch) hourly sums and counts per bucket."""
+def once_per_reading(readings: DataFrame, watermark: str = "31 days") -> DataFrame:
+    """Each reading id once, with its event time ``_ets``; on a stream within the watermark."""
     # event time = the wall clock read as UTC (unix_timestamp of an NTZ value
     # ignores the session zone), so the epoch-aligned hour windows coincide
     # with the wall-clock hour buckets in every session time zone
-    ev = readings.withColumn("_ets", F.timestamp_seconds(F.unix_timestamp("ts")))
+    ev = readings.select("id", "ts", *ENV_VARS, F.timestamp_seconds(F.unix_timestamp("ts")).alias("_ets"))
     if readings.isStreaming:
-        ev = ev.withWatermark("_ets", watermark)
-    g = ev.groupBy(F.window("_ets", "1 hour").alias("w"), hour_bucket("ts").alias("bucket")).agg(
+        return ev.withWatermark("_ets", watermark).dropDuplicatesWithinWatermark(["id"])
+    return ev.dropDuplicates(["id"])
+
+
+def hourly_state(readings: DataFrame, watermark: str = "31 days") -> DataFrame:
+    """Streaming (or batch) hourly sums and counts per bucket, each reading counted once."""
+    g = once_per_reading(readings, watermark).groupBy(F.window("_ets", "1 hour").alias("w"), hour_bucket("ts").alias("bucket")).agg(
         F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"),
         *[F.sum(v).alias(f"sum_{v}") for v in ENV_VARS])
     return g.select("bucket", "first_ts", "n", *[f"sum_{v}" for v in ENV_VARS])

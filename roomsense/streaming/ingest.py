@@ -99,7 +99,9 @@ class IngestJob:
             mine = (F.col("source") == self.kind) & (F.col("batch_id") == batch_id)
             sensors = sink.read_table(spark, self.store_root, "sensors").where(~mine)
             sectors = sink.read_table(spark, self.store_root, "sectors").where(~mine)
-            new_sensors = ops.new_sensors(good, sensors).persist()
+            # a device is known from its first record, valid or not
+            seen = parsed.where(F.col("sensor_id").between(-128, 127)) if self.eight_bit else parsed
+            new_sensors = ops.new_sensors(seen, sensors).persist()
             new_sectors = ops.new_sectors(new_sensors, sectors)
             self._write(new_sensors, "sensors", batch_id, source=self.kind)
             self._write(new_sectors, "sectors", batch_id, source=self.kind)
@@ -107,13 +109,16 @@ class IngestJob:
 
             stored = sink.read_table(spark, self.store_root, self.table).where(F.col("batch_id") != batch_id)
             keep = [c for c in good.columns if c not in (ops.ARRIVAL,) and not c.startswith("_")]
-            accepted = ops.dedupe(good.select(*keep, ops.ARRIVAL), stored).persist()
-            stats = accepted.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("max_id")).first()
-            inserted = stats["n"]
-            if inserted:
-                sink.write_batch(accepted, self.store_root, self.table, batch_id)
+            # the persisted records hold all keys of the batch
+            span = ops.key_span(good.select("id", "sensor_id", "ts"))
+            span.batches = None if span.pages is None else sink.key_batches(spark, self.store_root, self.table, span.pages, but=batch_id)
+            accepted = ops.dedupe(good.select(*keep, ops.ARRIVAL), stored, span=span).persist()
+            inserted = 0
+            if not accepted.isEmpty():
+                written = sink.write_batch(accepted, self.store_root, self.table, batch_id)
+                inserted = written["rows"]
                 self.update_recent(accepted, batch_id)
-                self.update_mark(stats["max_id"], batch_id)
+                self.update_mark(written["max_id"], batch_id)
             accepted.unpersist()
             counters = {"batch_id": batch_id, "received": received, "inserted": inserted}
             spark.createDataFrame([counters]).write.mode("overwrite").json(

@@ -41,6 +41,7 @@ class Tables:
     alerts: DataFrame
     recent_env: DataFrame | None = None
     recent_occ: DataFrame | None = None
+    env_latest: DataFrame | None = None   # one row: the newest environment reading's time
     dim_row_bound: int = DIM_ROW_BOUND
     _small: dict = field(default_factory=dict, repr=False)
 
@@ -76,9 +77,12 @@ class Tables:
         return self.occ
 
     def latest_env_time(self) -> Column:
-        """max(ts) of the environment readings (scalar subquery): from the
-        snapshot when there is one, else from the newest day partition."""
+        """max(ts) of the environment readings (scalar subquery): from the mark
+        that every write leaves (one small file), else from the snapshot, else
+        from the newest day partition."""
         from roomsense.plans.windows import latest_time
+        if self.env_latest is not None:
+            return self.env_latest.select(F.max("latest")).scalar()
         return latest_time(self.env_newest())
 
     def anchor(self, as_of=None) -> Column:
@@ -87,8 +91,10 @@ class Tables:
         return F.coalesce(self.latest_env_time(), as_of_col(as_of))
 
     def replace(self, **frames) -> "Tables":
-        names = TABLE_NAMES + ("recent_env", "recent_occ")
+        names = TABLE_NAMES + ("recent_env", "recent_occ", "env_latest")
         values = {n: getattr(self, n) for n in names}
+        if "env" in frames:
+            values["env_latest"] = None   # told of the rows replaced
         values.update(frames)
         return Tables(**values, dim_row_bound=self.dim_row_bound)
 
@@ -110,6 +116,7 @@ class Tables:
             "alerts": upper_codes(sink.read_plain(spark, root, "alerts", schemas.ALERTS), ALERT_CODES),
             "recent_env": sink.read_snapshot(spark, root, "env_readings"),
             "recent_occ": sink.read_snapshot(spark, root, "occupancy_readings"),
+            "env_latest": sink.read_latest(spark, root, "env_readings"),
         }
         return cls(**frames)
 
