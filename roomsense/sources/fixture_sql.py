@@ -6,7 +6,9 @@ starts with ``ADAPTER_CTES``.
 
 from __future__ import annotations
 
+from roomsense.sources.fixtures import BREAKS, TWINS
 from roomsense.sources.seed import THRESHOLD_ROWS
+from roomsense.tables import STORAGE_NAMES
 
 
 def _threshold_values() -> str:
@@ -97,3 +99,21 @@ ANCHOR_SQL = f"COALESCE((SELECT max(ts) FROM env_readings), {AS_OF_SQL})"
 def with_fixture(body: str) -> str:
     """``body`` either starts with ', name AS (...)' (more CTEs) or 'SELECT'."""
     return ADAPTER_CTES + body
+
+
+def broken_ctes() -> str:
+    """``fixtures.broken`` as CTEs named ``broken_<table>``."""
+    out = []
+    for table in dict.fromkeys(b[0] for b in BREAKS):
+        name, source = STORAGE_NAMES[table], STORAGE_NAMES[table]
+        for t, key, m, r, add in TWINS:
+            if t == table:
+                source = f"(SELECT * FROM {name} UNION ALL SELECT * REPLACE ({key} + {add} AS {key}) FROM {name} WHERE {key} % {m} = {r})"
+        columns: dict[str, list[str]] = {}
+        for t, key, m, r, column, value in BREAKS:
+            if t == table:
+                text = "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+                columns.setdefault(column, []).append(f"WHEN {key} % {m} = {r} THEN {text}")
+        put = ", ".join(f"CASE {' '.join(reversed(cases))} ELSE {c} END AS {c}" for c, cases in columns.items())
+        out.append(f"broken_{name} AS (SELECT * REPLACE ({put}) FROM {source})")
+    return ",\n" + ",\n".join(out)

@@ -106,3 +106,73 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     )
     return Tables(sectors=sectors, sensors=sensors, env=env, occ=occ,
                   thresholds=seed.thresholds(spark), alerts=alerts)
+
+
+# ---------------------------------------------------------------- broken rows, for the constraint report
+
+# Fixed rules of the broken fixture (``fixture_sql.broken_ctes`` holds the same): of the rows whose key leaves remainder r
+# modulo m, a column becomes a value.  (table, key, m, r, column, value); None is NULL.
+LONG_TEXT = "x" * 101
+BREAKS = [
+    ("sectors", "sector_id", 23, 1, "sector_name", None), ("sectors", "sector_id", 23, 2, "sector_type", None),
+    ("sectors", "sector_id", 23, 3, "sector_name", LONG_TEXT), ("sectors", "sector_id", 23, 4, "sector_type", LONG_TEXT),
+    ("sectors", "sector_id", 23, 5, "floor", LONG_TEXT), ("sectors", "sector_id", 23, 6, "active", 300),
+    ("sectors", "sector_id", 23, 7, "sector_id", None), ("sectors", "sector_id", 23, 8, "sector_id", 9),
+    ("sensors", "sensor_id", 29, 1, "sensor_code", None), ("sensors", "sensor_id", 29, 2, "sensor_type", None),
+    ("sensors", "sensor_id", 29, 3, "sector_id", None), ("sensors", "sensor_id", 29, 4, "installed_at", None),
+    ("sensors", "sensor_id", 29, 5, "sensor_code", LONG_TEXT), ("sensors", "sensor_id", 29, 6, "sensor_type", LONG_TEXT),
+    ("sensors", "sensor_id", 29, 7, "active", -129), ("sensors", "sensor_id", 29, 8, "sensor_id", None),
+    ("sensors", "sensor_id", 29, 9, "sensor_id", 1),
+    *(("env", "id", 97, i, c, None) for i, c in enumerate(["ts", "sensor_id", "delta_s", "luminosity", "humidity", "temperature", "voc", "co2",
+                                                           "pressure", "noise", "aerosol_still", "aerosol_risk", "dew_point"])),
+    ("env", "id", 97, 20, "aerosol_still", 128), ("env", "id", 97, 21, "aerosol_risk", -200), ("env", "id", 97, 22, "sensor_id", 99999999),
+    ("env", "id", 97, 23, "id", 5), ("env", "id", 97, 24, "id", None),
+    *(("occ", "id", 89, i, c, None) for i, c in enumerate(["ts", "sensor_id", "delta_s", "people", "luminosity", "humidity", "temperature"])),
+    ("occ", "id", 89, 20, "people", 400), ("occ", "id", 89, 21, "sensor_id", 99999998), ("occ", "id", 89, 22, "id", 6), ("occ", "id", 89, 23, "id", None),
+    ("thresholds", "threshold_id", 11, 1, "sector_type", None), ("thresholds", "threshold_id", 11, 2, "parameter", None),
+    ("thresholds", "threshold_id", 11, 3, "critical_limit", None), ("thresholds", "threshold_id", 11, 4, "unit", None),
+    ("thresholds", "threshold_id", 11, 5, "unit", LONG_TEXT), ("thresholds", "threshold_id", 11, 6, "sector_type", LONG_TEXT),
+    ("thresholds", "threshold_id", 11, 7, "parameter", LONG_TEXT), ("thresholds", "threshold_id", 11, 8, "threshold_id", 9),
+    ("thresholds", "threshold_id", 11, 10, "threshold_id", None),
+    *(("alerts", "alert_id", 83, i, c, None) for i, c in enumerate(["sensor_id", "sector_id", "parameter", "measured", "limit_ref", "unit", "severity",
+                                                                    "status", "fired_at", "alert_id"])),
+    ("alerts", "alert_id", 83, 20, "parameter", LONG_TEXT), ("alerts", "alert_id", 83, 21, "unit", LONG_TEXT),
+    ("alerts", "alert_id", 83, 22, "severity", LONG_TEXT), ("alerts", "alert_id", 83, 23, "status", LONG_TEXT),
+    ("alerts", "alert_id", 83, 24, "status", "FECHADO"), ("alerts", "alert_id", 83, 25, "severity", "LEVE"),
+    ("alerts", "alert_id", 83, 26, "sensor_id", 99999997), ("alerts", "alert_id", 83, 27, "sector_id", 99999996), ("alerts", "alert_id", 83, 28, "alert_id", 7),
+]
+# Rows of these keys come again under another id: (table, key, m, r, added to the key).
+TWINS = [("env", "id", 101, 0, 2_000_000_000), ("occ", "id", 103, 0, 2_000_000_000), ("thresholds", "threshold_id", 7, 0, 1000)]
+
+
+def broken(t: Tables) -> Tables:
+    """The fixture with rows that break every declared constraint."""
+    frames = {}
+    for table in dict.fromkeys(b[0] for b in BREAKS):
+        rows = getattr(t, table)
+        for name, key, m, r, add in TWINS:
+            if name == table:
+                rows = rows.unionByName(rows.where(F.col(key) % m == r).withColumn(key, F.col(key) + add))
+        changed = {}
+        for name, key, m, r, column, value in BREAKS:
+            if name == table:
+                now = changed.get(column, F.col(column))
+                changed[column] = F.when(F.col(key) % m == r, F.lit(value).cast(rows.schema[column].dataType)).otherwise(now)
+        frames[table] = rows.select(*(changed.get(c, F.col(c)).alias(c) for c in rows.columns))
+    return t.replace(**frames)
+
+
+# ---------------------------------------------------------------- a batch with repeated keys, and the store it meets
+
+def repeated_batch(t: Tables, stored_before: str, arrival: str):
+    """(batch, stored): a reading batch with ids and (sensor, ts) pairs that come again, in the batch and against the store.
+
+    The same id comes later with another CO2 (id % 7 = 0), and under a larger id with the same sensor and time (id % 11 = 0);
+    the store holds earlier rows, of which some stand under another id (id % 13 = 0).
+    """
+    env = t.env.withColumn(arrival, F.col("id"))
+    later = env.where("id % 7 = 0").withColumn("co2", F.col("co2") + 1).withColumn(arrival, F.col(arrival) + 3_000_000_000)
+    other = env.where("id % 11 = 0").withColumn("id", F.col("id") + 4_000_000_000).withColumn(arrival, -F.col(arrival))
+    stored = t.env.where(F.col("ts") < F.lit(stored_before).cast("timestamp_ntz"))
+    stored = stored.withColumn("id", F.when(F.col("id") % 13 == 0, F.col("id") + 5_000_000_000).otherwise(F.col("id")))
+    return later.unionByName(env).unionByName(other), stored

@@ -5,10 +5,12 @@ Each batch, streamed or polled, goes through ``process``:
 
 1. parse keys and times; invalid rows (missing value, bad time, optional
    8-bit range) go to quarantine (I03, I04);
-2. register unknown devices and their sectors (I06, I07);
+2. register unknown devices and their sectors (I06, I07), also of rows that
+   go to quarantine: a device is known from its first record;
 3. keep the first arrival per id, then the lowest id per (sensor, ts), and
    drop what is already stored under either key (I02, C7);
-4. write the batch folder with overwrite (C8) and the counters (I08).
+4. write the batch folder with overwrite (C8) and the counters (I08), among
+   them the declared constraints that quarantined rows break (I10).
 
 An empty batch writes nothing and is reported as skipped (I05); empty outputs
 write no folder.  With ``initial_days`` the first load is a date window over
@@ -26,9 +28,10 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from roomsense.operators import constraints
 from roomsense.operators import ingest as ops
 from roomsense.plans.latest import last_n
 from roomsense.sources import landing, sink
@@ -92,7 +95,8 @@ class IngestJob:
                 parsed = parsed.where(~first_load | F.col("ts").isNull() | inside)
             good, bad = ops.split_valid(parsed, self.kind, eight_bit=self.eight_bit)
             bad_cols = [c for c in bad.columns if c != ops.ARRIVAL]
-            self._write(bad.select(*bad_cols), f"quarantine_{self.kind}", batch_id)
+            broken = self._write(bad.select(*bad_cols), f"quarantine_{self.kind}", batch_id,
+                                 metrics=constraints.observed(self.kind, bad_cols))
 
             # dimension rows other than this feed's own batch (a replay must
             # not see its own first attempt)
@@ -121,16 +125,21 @@ class IngestJob:
                 self.update_mark(written["max_id"], batch_id)
             accepted.unpersist()
             counters = {"batch_id": batch_id, "received": received, "inserted": inserted}
-            spark.createDataFrame([counters]).write.mode("overwrite").json(
+            counted = {**counters, "broken": [{"constraint": c, "rows": n} for c, n in sorted(broken.items()) if n]}
+            spark.createDataFrame([counted], "batch_id long, received long, inserted long, broken array<struct<constraint: string, rows: long>>").write.mode("overwrite").json(
                 f"{self.store_root}/_metrics_{self.kind}/batch_id={batch_id}")
             return counters
         finally:
             raw.unpersist()
 
-    def _write(self, df: DataFrame, table: str, batch_id: int, **where) -> None:
-        """Write a batch's rows; no folder for none.  A replayed batch has the same rows, so it writes or skips alike."""
-        if not df.isEmpty():
-            sink.write_batch(df, self.store_root, table, batch_id, **where)
+    def _write(self, df: DataFrame, table: str, batch_id: int, metrics: list | None = None, **where) -> dict:
+        """Write a batch's rows; no folder for none.  A replayed batch has the same rows, so it writes or skips alike.
+        ``metrics`` are counted by the write itself and returned."""
+        if df.isEmpty():
+            return {}
+        seen = Observation()
+        sink.write_batch(df.observe(seen, *metrics) if metrics else df, self.store_root, table, batch_id, **where)
+        return seen.get if metrics else {}
 
     def update_recent(self, accepted: DataFrame, batch_id: int, keep: int = 3) -> None:
         """Newest RECENT_DEPTH readings per sensor: previous snapshot (at most

@@ -211,3 +211,83 @@ def test_polling_skips_refresh_on_empty_table(spark, store, tmp_path):
     pb = _land(str(tmp_path / "l"), "b.json", FILE_B, 2_000_000)
     out = IngestJob(spark, store, "env").poll_once(pb, 0)
     assert out.get("skipped") is True
+
+
+def _wide(ids, day, sensor=3):
+    return [_rec(i, f"2026-01-{day:02d} {i % 24:02d}:{i // 24 % 60:02d}:00", sensor, 1) for i in ids]
+
+
+def test_a_late_row_opens_its_day_and_its_batch_only(spark, store, tmp_path):
+    land = str(tmp_path / "landing")
+    job = IngestJob(spark, store, "occ")
+    for n in range(5):   # five batches, each with its own days and id pages
+        path = _land(land, f"{n}.json", _wide([n * sink.PAGE_IDS + i for i in range(3)], 2 + 3 * n), 1_000_000 + n)
+        job.process(job.with_file(landing.read_feed(spark, path, "occ")), n)
+    late = spark.createDataFrame([(sink.PAGE_IDS + 1, dt.datetime(2026, 1, 5, 1), 3)], "id long, ts timestamp_ntz, sensor_id long")
+    batch = late.unionByName(spark.createDataFrame([(4 * sink.PAGE_IDS + 9, dt.datetime(2026, 1, 14, 9), 3)], late.schema))
+    span = ops.key_span(batch)
+    assert span.days == [dt.date(2026, 1, 5), dt.date(2026, 1, 14)] and span.pages == [1, 4]
+    span.batches = sink.key_batches(spark, store, "occupancy_readings", span.pages)
+    assert span.batches == [1, 4]
+    stored = sink.read_table(spark, store, "occupancy_readings")
+    left = ops.drop_stored(batch, stored, span=span)
+    assert [r.id for r in left.collect()] == [4 * sink.PAGE_IDS + 9]
+    plan = spark._jvm.PythonSQLUtils.explainString(left._jdf.queryExecution(), "formatted")
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
+    assert any("batch_id" in f and "1" in f and "4" in f for f in filters) and any("day" in f for f in filters)
+
+
+def test_keys_of_many_batches_share_files_and_unknown_batches_count(spark, store, monkeypatch):
+    monkeypatch.setattr(sink, "KEY_BLOCK", 4)
+    row = spark.createDataFrame([_rec(0, D + "00:00:05", 3, 4)], "id long, data string, id_sensor long, delta int, pessoas int, luminosidade double, umidade double, temperatura double")
+    facts = ops.parse_feed(row, "occ")
+    for n in range(6):
+        sink.write_batch(facts.withColumn("id", F.lit(n * sink.PAGE_IDS)), store, "occupancy_readings", n)
+    opened = {n // 4: n for n in sink.batch_numbers(spark, f"{store}/_keys_occupancy_readings")}
+    assert spark.read.schema(sink.KEYS).parquet(*(f"{store}/_keys_occupancy_readings/batch_id={n}" for n in opened.values())).count() == 6
+    assert sink.key_batches(spark, store, "occupancy_readings", [2, 5, 77]) == [2, 5]
+    assert sink.key_batches(spark, store, "occupancy_readings", [2, 5], but=5) == [2]
+    facts.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{store}/occupancy_readings/batch_id=9")   # not by the sink
+    assert sink.key_batches(spark, store, "occupancy_readings", [2]) == [2, 9]
+    sink.write_batch(facts, store, "occupancy_readings", 3)   # a replay with other keys
+    assert sink.key_batches(spark, store, "occupancy_readings", [0, 3]) == [0, 3, 9]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_feed_times_know_no_zone(spark, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    texts = ["2024-03-10 02:30:00", "2024-11-03 01:30:00", "2024-02-29 23:59:59", "2023-02-29 00:00:00", "2024-01-01 24:00:00", "2024-01-01T10:00:00",
+             "2024-01-01 10:00", " 2024-01-01 10:00:00", "2024-01-01 10:00:00Z", "", None]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(ops.wall_clock("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 11, 3, 1, 30), dt.datetime(2024, 2, 29, 23, 59, 59)] + [None] * 8
+
+
+def test_a_device_whose_rows_are_all_quarantined_is_registered_once(spark, store, tmp_path):
+    land = str(tmp_path / "landing")
+    path = _land(land, "a.json", [_rec(1, "no date", 77, 4), _rec(2, D + "00:00:05", 77, None), _rec(3, D + "00:00:05", 3, 4)], 1_000_000)
+    job = IngestJob(spark, store, "occ")
+    for _ in range(2):   # the second time as a replay
+        job.process(job.with_file(landing.read_feed(spark, path, "occ")), 0)
+    rows = sink.read_table(spark, store, "sensors").where("sensor_id = 77").collect()
+    assert [(r.sensor_code, r.sector_id) for r in rows] == [("SENSOR_77", 1)]
+    assert stored_ids(spark, store, "occ") == [3]
+    broken = spark.read.json(f"{store}/_metrics_occ").first()["broken"]
+    assert sorted((b["constraint"], b["rows"]) for b in broken) == [("not_null(people)", 1), ("not_null(ts)", 1)]
+
+
+def test_the_anchor_of_a_store_is_one_small_file(spark, store):
+    from roomsense.tables import Tables
+    env = seed.thresholds(spark).limit(1).selectExpr("1L id", "timestamp_ntz'2026-01-15 11:30:00' ts", "1L sensor_id", "60 delta_s", *(
+        f"1.0D {c}" for c in ("luminosity", "humidity", "temperature", "voc", "co2", "pressure", "noise")), "0 aerosol_still", "0 aerosol_risk", "1.0D dew_point")
+    sink.write_batch(env, store, "env_readings", 0)
+    sink.write_batch(env.withColumn("ts", F.expr("ts - interval 3 days")).withColumn("id", F.lit(2)), store, "env_readings", 1)   # older rows come later
+    t = Tables.from_storage(spark, store)
+    assert spark.range(1).select(t.anchor()).first()[0] == dt.datetime(2026, 1, 15, 11, 30)
+    assert len(t.env_latest.inputFiles()) == 1 and "_latest_env_readings/batch_id=1" in t.env_latest.inputFiles()[0]
+    sink.write_batch(env.withColumn("ts", F.expr("ts + interval 1 day")), store, "env_readings", 0)   # a replay
+    assert sink.read_latest(spark, store, "env_readings").count() == 1
+    assert t.replace(env=env.limit(0)).env_latest is None

@@ -33,10 +33,15 @@ def test_last_n_has_partial_limit_below_the_shuffle(spark):
     assert len(limits) == 2 and len(between) == 1
 
 
-def test_minute_join_reuses_aggregate_partitioning(spark):
+def test_minutes_of_both_facts_share_one_shuffle(spark):
     tree = _tree(_plan(spark, "co2_people_by_minute"))
     shuffles = [line for line in tree.splitlines() if re.search(r"\bExchange\b", line) and "Broadcast" not in line]
-    assert len(shuffles) == 2   # one per aggregated side, none added for the join
+    # the tagged union by (sensor, minute), then its aggregates by (sector, minute); no join but with the dimension
+    assert len(shuffles) == 2 and "SortMergeJoin" not in tree
+    lines = tree.splitlines()
+    union = next(i for i, line in enumerate(lines) if "Union" in line)
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert join < union and sum("HashAggregate" in line for line in lines[join:union]) == 2
 
 
 def test_dq_report_uses_one_expand_per_table(spark):
