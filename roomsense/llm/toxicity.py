@@ -316,8 +316,8 @@ def _calibrated(examples: DataFrame, index: Index, class_weight: tuple[float, fl
                 votes += [index.vote(near) if x in numbers else index.share for x, near in zip(ids[at:at + 64], found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("y")], ["vote", "y"])
 
-    votes = examples.select("id", "y", "text").mapInArrow(run, "vote double, y int").orderBy("vote", "y").toArrow()   # one row per example
-    shared.destroy()
+    votes = examples.select("id", "y", "text").mapInArrow(run, "vote double, y int").toArrow().sort_by([("vote", "ascending"), ("y", "ascending")])
+    shared.destroy()   # one row per example came back
     y = votes["y"].to_numpy()
     return monotone(votes["vote"].to_numpy(), y.astype(float), np.asarray(class_weight)[y])
 
