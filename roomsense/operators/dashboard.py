@@ -36,8 +36,8 @@ def odour_events(t: Tables, *, as_of=None) -> DataFrame:
     """VOC alerts (severity other than NORMAL) fired in the day before
     the environment anchor (the alert table uses the readings' clock, C1)."""
     a = t.anchor(as_of)
-    hit = ((F.col("parameter") == "VOC") & (F.col("severity") != "NORMAL") & (F.col("fired_at") >= a - days(1)))
-    return t.alerts.where(hit).agg(F.count(F.lit(1)).alias("odour_events"))
+    hit = (F.col("parameter") == "VOC") & (F.col("severity") != "NORMAL")
+    return since(t.alerts, a - days(1), ts="fired_at").where(hit).agg(F.count(F.lit(1)).alias("odour_events"))
 
 
 def active_sensors(t: Tables) -> DataFrame:
@@ -104,13 +104,13 @@ def sector_heatmap(t: Tables, *, as_of=None) -> DataFrame:
     """
     a = t.anchor(as_of)
     sensor_sector = t.sensor_sector().select("sensor_id", "sector_id")
-    people = latest(t.occ_newest().select("sensor_id", "ts", "id", "people").join(sensor_sector, "sensor_id"),
-                    ["sector_id"], ["people"])
+    # newest per sensor first, so raw readings never meet the dimension; then newest of a sector's sensors
+    of_sensor = latest(t.occ_newest(), ["sensor_id"], ["ts", "id", "people"]).select("sensor_id", "r.*")
+    people = latest(of_sensor.join(sensor_sector, "sensor_id"), ["sector_id"], ["people"])
     # keys limited to existing sectors (broadcast semi-join on the checked
     # dimension), so the aggregate is provably at most one row per sector
-    alerts = (t.alerts.where(F.col("fired_at") >= a - days(1)).select("sector_id")
-              .join(t.dim("sectors").select("sector_id"), "sector_id", "left_semi")
-              .groupBy("sector_id").agg(F.count(F.lit(1)).alias("alerts_24h")))
+    alerts = (since(t.alerts, a - days(1), ts="fired_at").groupBy("sector_id").agg(F.count(F.lit(1)).alias("alerts_24h"))
+              .join(t.dim("sectors").select("sector_id"), "sector_id", "left_semi"))
     # both are one row per sector at most: bounded by the checked dimensions
     small = t.is_small("sensors") and t.is_small("sectors")
     recent = _reading_and_history(t, as_of)

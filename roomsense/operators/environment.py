@@ -108,11 +108,12 @@ def env_score(t: Tables) -> DataFrame:
 
 def peak_by_sector(t: Tables, *, as_of=None) -> DataFrame:
     """Sector (by name, same names merge) with the highest CO2 and the
-    highest VOC in the day before the anchor; ties -> lower name (C6)."""
+    highest VOC in the day before the anchor; ties -> lower name (C6).  Readings
+    are reduced to one row per sensor before they meet the dimension."""
     a = t.anchor(as_of)
-    rows = since(t.env, a - days(1)).select("sensor_id", "co2", "voc")
+    rows = since(t.env, a - days(1)).groupBy("sensor_id").agg(F.max("co2").alias("mc"), F.max("voc").alias("mv"))
     per = (rows.join(t.sensor_sector().select("sensor_id", "sector_name"), "sensor_id")
-           .groupBy("sector_name").agg(F.max("co2").alias("mc"), F.max("voc").alias("mv")))
+           .groupBy("sector_name").agg(F.max("mc").alias("mc"), F.max("mv").alias("mv")))
     one = per.agg(
         F.min_by("sector_name", F.struct(-F.col("mc"), F.col("sector_name"))).alias("co2_sector"),
         F.max("mc").alias("co2_peak"),

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from roomsense import schemas
 from roomsense.session import ensure_checkpoint_dir
+from roomsense.sources.codes import ALERT_CODES, upper_codes
 
 FACT_SCHEMAS = {"env_readings": schemas.ENV_READINGS, "occupancy_readings": schemas.OCCUPANCY_READINGS}
 DIM_SCHEMAS = {"sectors": schemas.SECTORS, "sensors": schemas.SENSORS}
@@ -228,6 +229,28 @@ def read_plain(spark: SparkSession, root: str, table: str, schema: T.StructType)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Alerts with codes as reports compare them, by the day they fired.  A plain ``alerts`` folder may stand beside it.
+ALERTS_BY_DAY = "alerts_by_day"
+
+
+def write_alerts(df: DataFrame, root: str) -> None:
+    """Append alerts: codes are normalised here (C10), once, so that readers push their comparisons to the files."""
+    rows = upper_codes(df, ALERT_CODES).withColumn("day", F.to_date("fired_at"))
+    rows.repartition("day").write.mode("append").partitionBy("day").parquet(table_path(root, ALERTS_BY_DAY))
+
+
+def read_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """All stored alerts with codes normalised.  Those written by ``write_alerts`` come as stored, with their ``day``
+    partitions; those of a plain ``alerts`` folder are normalised as they are read."""
+    plain, by_day = (table_path(root, t) for t in ("alerts", ALERTS_BY_DAY))
+    schema = T.StructType([*schemas.ALERTS.fields, T.StructField("day", T.DateType(), True)])
+    stored = spark.read.schema(schema).option("basePath", by_day).parquet(by_day) if _exists(spark, by_day) else None
+    if not _exists(spark, plain):
+        return spark.createDataFrame([], schema) if stored is None else stored
+    old = upper_codes(spark.read.schema(schemas.ALERTS).parquet(plain), ALERT_CODES)
+    return old if stored is None else stored.unionByName(old.withColumn("day", F.to_date("fired_at")))
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A report as JSON lines."""
     df.write.mode("overwrite").json(path)

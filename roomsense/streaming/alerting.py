@@ -3,7 +3,7 @@
 The per-row rule is ``operators.thresholds.alerts_from_thresholds``.
 ``start_store_alerts`` serves a store: every micro-batch reads the dimensions
 anew, so devices registered meanwhile raise too, and appends full rows of the
-``alerts`` table, which the alert reports read.  An alert's id is a hash of
+alerts, which the alert reports read.  An alert's id is a hash of
 its reading and parameter, and a batch adds only ids that are not there, so a
 replayed batch adds nothing.  ``start_alerts`` is the plain stream-static join
 over dimensions as they are at its start.
@@ -47,18 +47,21 @@ def alert_rows(raised: DataFrame) -> DataFrame:
 
 def start_store_alerts(spark: SparkSession, store_root: str, readings_stream: DataFrame, checkpoint: str, available_now: bool = False,
                        period: str = "60 seconds"):
-    """Raise alerts from a reading stream into ``<store_root>/alerts``."""
+    """Raise alerts from a reading stream into the alerts of a store, by the day they fired.  A trigger opens only the days
+    of its own alerts to see which are there already."""
     def write(batch: DataFrame, _batch_id: int) -> None:
         t = Tables.from_storage(spark, store_root)
         new = alert_rows(alerts_from_thresholds(t, readings=batch)).dropDuplicates(["alert_id"]).persist()
         try:
-            span = new.agg(F.min("fired_at"), F.max("fired_at")).first()
-            if span[0] is None:
+            fired = [r[0] for r in new.select(F.to_date("fired_at")).distinct().collect()]   # one row per day of the batch
+            if not fired:
                 return
-            # only alerts of the batch's own time span can be the same
-            there = sink.read_plain(spark, store_root, "alerts", schemas.ALERTS).where(F.col("fired_at").between(F.lit(span[0]), F.lit(span[1])))
-            new.join(there.select("alert_id"), "alert_id", "left_anti").select(*new.columns).write.mode("append").parquet(
-                sink.table_path(store_root, "alerts"))
+            there = sink.read_alerts(spark, store_root)
+            there = there.where(F.col("day").isin(fired) if "day" in there.columns else F.to_date("fired_at").isin(fired))
+            missing = new.join(there.select("alert_id"), "alert_id", "left_anti").select(*new.columns).persist()
+            if not missing.isEmpty():
+                sink.write_alerts(missing, store_root)
+            missing.unpersist()
         finally:
             new.unpersist()
 

@@ -105,7 +105,7 @@ class Tables:
         newest recent snapshots when present."""
         from roomsense import schemas
         from roomsense.sources import sink
-        from roomsense.sources.codes import ALERT_CODES, THRESHOLD_CODES, upper_codes
+        from roomsense.sources.codes import THRESHOLD_CODES, upper_codes
         frames = {
             "sectors": sink.current_dimension(sink.read_table(spark, root, "sectors"), "sectors"),
             "sensors": sink.current_dimension(sink.read_table(spark, root, "sensors"), "sensors"),
@@ -113,7 +113,7 @@ class Tables:
             "occ": sink.read_table(spark, root, "occupancy_readings"),
             "thresholds": upper_codes(sink.read_plain(spark, root, "thresholds", schemas.THRESHOLDS),
                                       THRESHOLD_CODES),
-            "alerts": upper_codes(sink.read_plain(spark, root, "alerts", schemas.ALERTS), ALERT_CODES),
+            "alerts": sink.read_alerts(spark, root),
             "recent_env": sink.read_snapshot(spark, root, "env_readings"),
             "recent_occ": sink.read_snapshot(spark, root, "occupancy_readings"),
             "env_latest": sink.read_latest(spark, root, "env_readings"),

@@ -58,3 +58,59 @@ def test_no_python_udfs_anywhere(spark):
     for name in entry.queries():
         plan = _plan(spark, name)
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["peak_by_sector", "sector_heatmap", "co2_people_by_minute"])
+def test_readings_are_reduced_before_they_meet_a_dimension(spark, name):
+    """Every join with a dimension has an aggregate of the facts below it on the same branch."""
+    lines = _tree(_plan(spark, name)).splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    scans = [i for i, line in enumerate(lines) if "Scan parquet" in line]
+    details = _plan(spark, name)
+    for i in scans:
+        number = re.search(r"\((\d+)\)", lines[i])[1]
+        about = details[details.index(f"\n({number}) Scan parquet"):][:600]
+        if "events" not in about:
+            continue
+        above, d = [], depth[i]
+        for j in range(i - 1, -1, -1):   # the operators that this scan feeds
+            if depth[j] < d:
+                above.append(lines[j])
+                d = depth[j]
+        joins = [k for k, line in enumerate(above) if "Join" in line]
+        aggregates = [k for k, line in enumerate(above) if "Aggregate" in line]
+        assert not joins or (aggregates and aggregates[0] < joins[0]), (name, above)
+
+
+def test_stored_alerts_are_pruned_by_day_and_codes_reach_the_files(spark, gold, tmp_path):
+    from pyspark.sql import functions as F
+
+    from roomsense.operators import alerts as al
+    from roomsense.operators import dashboard as da
+    from roomsense.sources import sink
+    from roomsense.tables import Tables
+    from tests.conftest import AS_OF
+
+    root = str(tmp_path / "store")
+    sink.seed_store(root, gold.sectors, gold.sensors)
+    gold.thresholds.write.parquet(f"{root}/thresholds")
+    messy = gold.alerts.withColumn("severity", F.lower("severity")).withColumn("status", F.concat(F.lit(" "), "status"))
+    sink.write_alerts(messy, root)
+    t = Tables.from_storage(spark, root).replace(env=gold.env, occ=gold.occ)
+    reports = {"odour": lambda x: da.odour_events(x, as_of=AS_OF), "kpis": lambda x: al.alert_kpis(x, as_of=AS_OF),
+               "open": al.open_critical_sectors, "list": lambda x: al.alert_list(x, severity="critico", status="ABERTO", as_of=AS_OF),
+               "tiles": lambda x: da.sector_heatmap(x, as_of=AS_OF)}
+    for name, report in reports.items():
+        assert sorted(map(str, report(t).collect())) == sorted(map(str, report(gold).collect())), name
+
+    def scan(name):
+        text = spark._jvm.PythonSQLUtils.explainString(reports[name](t)._jdf.queryExecution(), "formatted")
+        return [b for b in text.split("\n\n") if "Scan parquet" in b and "alerts_by_day" in b]
+
+    assert "EqualTo(severity,CRITICO)" in scan("list")[0] and "EqualTo(status,ABERTO)" in scan("list")[0]
+    assert "EqualTo(severity,CRITICO)" in scan("open")[0] and "EqualTo(parameter,VOC)" in scan("odour")[0]
+    for name in ("odour", "kpis", "tiles"):
+        assert re.search(r"PartitionFilters: \[.*day", scan(name)[0]), name
+    # a plain folder beside it, as older stores have, is read too
+    gold.alerts.limit(1).withColumn("alert_id", F.lit(10 ** 9)).write.parquet(f"{root}/alerts")
+    assert Tables.from_storage(spark, root).alerts.count() == gold.alerts.count() + 1
