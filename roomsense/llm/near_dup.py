@@ -19,8 +19,10 @@ The work, as Spark jobs:
    joins a group of copies by a star instead of by all its pairs;
 5. where a bucket's members are not yet in one component, blocks of ``BLOCK`` members are compared at once as a product of
    0/1 matrices over their shingles.  Only what joins two components leaves a block, so the rows stay in proportion to the
-   members.  Sets of more than ``FULL`` shingles enter as samples by hash; pairs whose samples do not rule a link out are
-   compared on their full sets;
+   members.  Sets of more than ``FULL`` shingles enter as samples by hash.  Of the partners that samples do not rule out, a
+   member names its likeliest one; these pairs are compared on their full sets, and members that are joined drop out.
+   Members still apart name their next two partners, then the next four, until none is left, so linked members are joined
+   by a few turns and a pair is left out only between members already joined;
 6. components of the links by alternating stars.
 
 Null ids take part in nothing and are kept; null and empty texts have n_shingles 0 and are their own component.  Ids are
@@ -279,10 +281,12 @@ def _joined(links: np.ndarray, component: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _across(percent: int):
-    """Rows sorted by group (key, p, q) -> (x, y, sure) that join two components, or may.
+def _across(percent: int, turn: int):
+    """Rows sorted by group (key, p, q) -> (x, y, sure, key) that join two components, or may.
 
-    In a group with p < q, only rows of block p are compared with rows of block q.
+    In a group with p < q, only rows of block p are compared with rows of block q.  Where sets are samples, a row names in
+    turn t its partners from place 2^t - 1 on, 2^t of them at most, likeliest first, if they are not joined yet; the places do
+    not depend on the turn.  A row without x says that its key has partners left for later turns.
     """
     def compare(rows: pa.Table) -> list[tuple]:
         ids, component = rows.column("rep").to_pylist(), np.unique(rows.column("component").to_numpy(zero_copy_only=False), return_inverse=True)[1]
@@ -297,11 +301,21 @@ def _across(percent: int):
             asked &= block[:, None] != block[None, :]
         if level == 0:
             root = _joined(asked & (100 * common >= percent * union), component)
-            return [(ids[i], ids[r], True) for i, r in enumerate(root.tolist()) if component[i] != component[r]]
+            return [(ids[i], ids[r], True, None) for i, r in enumerate(root.tolist()) if component[i] != component[r]]
         t, n = percent / 100, rows.column("n_shingles").to_numpy()
-        asked &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-        asked &= common >= t * union - 6 * np.sqrt(t * (1 - t) * np.maximum(union, 1)) - 1
-        return [(ids[i], ids[j], False) for i, j in zip(*np.nonzero(np.triu(asked)), strict=True)]
+        may = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        may &= common >= t * union - 6 * np.sqrt(t * (1 - t) * np.maximum(union, 1)) - 1
+        if rows.column("p")[0].as_py() != rows.column("q")[0].as_py():
+            may &= block[:, None] != block[None, :]
+        np.fill_diagonal(may, False)
+        order = np.argsort(np.where(may, -common / np.maximum(union, 1), 1.0), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(ids))[None, :], axis=1)
+        wanted = may & asked & (place >= 2 ** turn - 1)
+        now = wanted & (place < 2 ** (turn + 1) - 1)
+        key = rows.column("key")[0].as_py()
+        out = [(ids[i], ids[j], False, key) for i, j in zip(*np.nonzero(np.triu(now | now.T)), strict=True)]
+        return out + [(None, None, False, key)] * bool((wanted & ~now).any())
 
     def run(batches):
         def edges(table):
@@ -312,8 +326,8 @@ def _across(percent: int):
             at = [0, *edges(table), table.num_rows]
             found = [x for a, b in zip(at, at[1:], strict=False) if b - a > 1 for x in compare(table.slice(a, b - a))]
             kind = table.schema.field("rep").type
-            cols = list(zip(*found, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.bool_())], ["x", "y", "sure"])
+            cols = list(zip(*found, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, kind, pa.bool_(), pa.int64()), strict=True)], ["x", "y", "sure", "key"])
 
         held = None   # rows of the last group, which may go on in the next batch
         for batch in batches:
@@ -352,15 +366,26 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, words: int, m: in
     kind = texts.schema["id"].dataType.simpleString()
     sets = members.join(live.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
     sets = sets.mapInArrow(_sampled(words), f"rep {kind}, level int, hashes binary").join(sketches.select("rep", "n_shingles"), "rep")
-    live = live.join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    live = live.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "n_shingles", "level", "hashes")
-    live = live.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    joins = written(live.mapInArrow(_across(percent), f"x {kind}, y {kind}, sure boolean"), "block-links")
-    links = links.unionByName(joins.where("sure").select("x", "y"))
-    unsure = joins.where("not sure").select("x", "y")
-    if not unsure.isEmpty():
-        links = links.unionByName(verified(unsure.distinct(), members, percent, words))
+    sets = written(sets, "sets")
+    for turn in range(64):
+        rows_ = live.join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rows_ = rows_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows_ = rows_.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "n_shingles", "level", "hashes")
+        rows_ = rows_.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+        joins = written(rows_.mapInArrow(_across(percent, turn), f"x {kind}, y {kind}, sure boolean, key long"), "block-links")
+        links = links.unionByName(joins.where("sure").select("x", "y"))
+        unsure = joins.where("not sure and x is not null").select("x", "y")
+        if not unsure.isEmpty():
+            links = written(links.unionByName(verified(unsure.distinct(), members, percent, words)), "links")
+        left = joins.where("x is null").select("key").distinct()
+        if left.isEmpty():
+            break
+        # the buckets with partners left, under the components as they are now
+        now = components(links)
+        live = live.join(left, "key", "left_semi").drop("component").join(now, F.col("rep") == F.col("node"), "left")
+        live = written(live.select("key", "rep", "blocks", F.coalesce("component", "rep").alias("component")), "open-buckets")
+        apart = live.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+        live = live.join(apart, "key", "left_semi")
     return components(links)
 
 

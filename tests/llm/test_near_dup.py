@@ -65,6 +65,27 @@ def test_long_sets_are_sampled_then_confirmed(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == roots
 
 
+def test_long_near_copies_are_joined_without_all_their_pairs(spark, monkeypatch):
+    """A chain of long texts that no leader reaches, unlike members among them: few pairs leave the blocks."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    chain, text = [], list(rng.choice(words, 600))
+    for _ in range(60):
+        text = list(text)
+        for at in rng.integers(0, len(text), 4):
+            text[at] = str(rng.choice(words))
+        chain.append(" ".join(text))
+    texts = chain + copies(seed=5, groups=2)
+    asked = []
+    plain = near_dup.verified
+    monkeypatch.setattr(near_dup, "FULL", 64)
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, *a, **k: asked.append(pairs.count()) or plain(pairs, *a, **k))
+    _, roots = brute(texts, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(documents(spark, texts), percent=85).collect()}
+    assert [got[i] for i in range(len(texts))] == roots and len(set(roots[:60])) < 60
+    assert sum(asked[1:]) < 12 * len(texts)   # all pairs of the chain: 1,770
+
+
 def test_null_ids_repeats_and_empty_table(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted(near_dup.near_duplicates(rows).collect(), key=str)
