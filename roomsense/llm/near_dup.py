@@ -46,7 +46,7 @@ from roomsense.llm.components import components
 
 U64 = np.uint64
 #: Members of a bucket that are compared with each other, or with as many others, in one group.
-BLOCK = 1024
+BLOCK = 512
 #: Sets up to this size enter a block whole.
 FULL = 1024
 #: Probability that a pair at the threshold agrees in fewer minhashes than asked for.
@@ -268,11 +268,11 @@ def _common(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
 def _joined(links: np.ndarray, component: np.ndarray) -> np.ndarray:
     """For each row the first row that it is connected with by links and equal components."""
     _, label = np.unique(component, return_inverse=True)
-    first = np.full(label.max() + 1, len(component))
-    np.minimum.at(first, label, np.arange(len(component)))
+    first = np.full(label.max() + 1, len(component), np.int32)
+    np.minimum.at(first, label, np.arange(len(component), dtype=np.int32))
     root = first[label]
     while True:
-        least = np.where(links, root[None, :], len(root)).min(axis=1)
+        least = np.where(links, root[None, :], np.int32(len(root))).min(axis=1)
         np.minimum.at(first, label, np.minimum(root, least))
         new = np.minimum(first[label], root)
         new = new[new]
@@ -294,7 +294,7 @@ def _across(percent: int, turn: int):
         sets = [np.frombuffer(h, U64) for h in rows.column("hashes").to_pylist()]
         if level:
             sets = [x[(x & U64((1 << level) - 1)) == 0] for x in sets]
-        common, sizes = _common(sets), np.array([len(x) for x in sets])
+        common, sizes = _common(sets), np.array([len(x) for x in sets], np.float32)   # all exact: far below 2^24 / 100
         union = sizes[:, None] + sizes[None, :] - common
         asked = component[:, None] != component[None, :]
         if rows.column("p")[0].as_py() != rows.column("q")[0].as_py():
@@ -308,14 +308,15 @@ def _across(percent: int, turn: int):
         if rows.column("p")[0].as_py() != rows.column("q")[0].as_py():
             may &= block[:, None] != block[None, :]
         np.fill_diagonal(may, False)
-        order = np.argsort(np.where(may, -common / np.maximum(union, 1), 1.0), axis=1, kind="stable")
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(len(ids))[None, :], axis=1)
-        wanted = may & asked & (place >= 2 ** turn - 1)
-        now = wanted & (place < 2 ** (turn + 1) - 1)
+        now, more = np.zeros_like(may), False
+        for i in np.nonzero((may & asked).any(axis=1))[0].tolist():   # a row's partners, likeliest first
+            partners = np.nonzero(may[i])[0]
+            partners = partners[np.argsort(-common[i, partners] / np.maximum(union[i, partners], 1), kind="stable")][2 ** turn - 1:]
+            more |= bool(asked[i, partners[2 ** turn:]].any())
+            now[i, partners[: 2 ** turn]] = asked[i, partners[: 2 ** turn]]
         key = rows.column("key")[0].as_py()
         out = [(ids[i], ids[j], False, key) for i, j in zip(*np.nonzero(np.triu(now | now.T)), strict=True)]
-        return out + [(None, None, False, key)] * bool((wanted & ~now).any())
+        return out + [(None, None, False, key)] * bool(more)
 
     def run(batches):
         def edges(table):
