@@ -301,7 +301,8 @@ def _across(percent: int, turn: int):
             asked &= block[:, None] != block[None, :]
         if level == 0:
             root = _joined(asked & (100 * common >= percent * union), component)
-            return [(ids[i], ids[r], True, None) for i, r in enumerate(root.tolist()) if component[i] != component[r]]
+            # rows of one component are joined already and have one root: a row for each component says it all
+            return [(ids[i], ids[root[i]], True, None) for i in np.unique(component, return_index=True)[1].tolist() if component[i] != component[root[i]]]
         t, n = percent / 100, rows.column("n_shingles").to_numpy()
         may = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
         may &= common >= t * union - 6 * np.sqrt(t * (1 - t) * np.maximum(union, 1)) - 1
