@@ -4,13 +4,14 @@ A text's UTF-8 bytes are cut into chunks of ``CHUNK`` bytes that overlap by ``OV
 filters of ``WIDTH`` bytes slide over each chunk by ``STRIDE``; their largest responses are the chunk's features (max
 pooling).  The mean and the maximum of the features over all chunks go through a small hidden layer into one probability.
 
-The network is fitted by Adam on the driver, on a bounded sample: at most ``most_per_class`` labelled texts of each class
-(the first by a hash of the id) with at most ``fit_chunks`` evenly spaced chunks each; class weights restore the shares of the
-labelled rows.  Scoring covers every byte of every text, and its memory does not grow with a text's length beyond the text.
+The network is fitted by Adam on the driver, on a bounded sample of labelled rows: at most ``most_per_class`` of each class
+(the first by a hash of the id) whose texts have at most ``fit_bytes`` bytes, with all chunks of these texts; class weights restore
+the shares of the labelled rows.  Scoring covers every byte of every text, and its memory does not grow with a text's length
+beyond the text.
 
 Null and empty texts are one chunk of padding and get a score like any other; labels that are null are not used; an id
-labelled twice counts as good only if all its labels do; without labels of both classes the score is the labelled rows'
-share of good ones (0.5 without any); repeated rows get equal scores; an empty table gives an empty result; further columns
+labelled twice counts as good only if all its labels do; without labels of both classes, or without texts of both in the
+sample, the score is the labelled rows' share of good ones (0.5 without any); repeated rows get equal scores; an empty table gives an empty result; further columns
 are ignored.
 """
 
@@ -130,7 +131,7 @@ class Network:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 2000, fit_chunks: int = 6) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 2000, fit_bytes: int = 20_000) -> Network:
     """``docs``: id, text; ``labels``: id, y (0 or 1)."""
     spark = docs.sparkSession
     known = written(labels.where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y")), "labels")
@@ -147,15 +148,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = 2000, fit_chun
             out = []
             for text in batch.column("text"):
                 raw = (text.as_py() or "").encode()
-                starts = chunk_starts(len(raw))
-                if len(starts) > fit_chunks:
-                    starts = starts[np.linspace(0, len(starts) - 1, fit_chunks).round().astype(int)]
-                out.append(chunks(raw, starts).tobytes())
+                out.append(chunks(raw, chunk_starts(len(raw))).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(out, pa.binary())], ["id", "y", "chunks"])
 
     rows = docs.join(F.broadcast(chosen), "id").select("id", F.col("y").cast("int").alias("y"), "text")
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= fit_bytes)
     rows = rows.mapInArrow(cut, f"id {rows.schema['id'].dataType.simpleString()}, y int, chunks binary").dropDuplicates(["id"]).orderBy("id").collect()
     y = np.array([r["y"] for r in rows], np.float32)
+    if len(set(y.tolist())) < 2:
+        network.constant = n[1] / sum(n.values())
+        return network
     share = {c: n[c] / sum(n.values()) / max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([share[int(c)] for c in y], np.float32) * len(y)
     return network.fit([np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows], y, weight)

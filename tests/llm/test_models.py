@@ -24,6 +24,53 @@ def test_top_k_equals_brute_force_with_ties(spark):
     assert topk_kdtree.top_k(df.limit(0), lambda i: i % 50 == 0).collect() == []
 
 
+def test_top_k_of_large_vectors_is_exact(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (300, 5))
+    x[7, 2], x[50, 0], x[51, 0], x[100] = 2.0 ** 40, 1.1e7, 1.1e7 + 1 / 256, [2.0 ** 5] * 5   # scores beyond 2^60 beside small ones
+    x[100, 0] += 1 / 256
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    q = [[int(np.floor(v * 256)) for v in row] for row in x.tolist()]
+    want = []
+    for i in range(0, 300, 50):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in range(300) if j != i)[:5]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    for shard in (32, 8192):
+        got = topk_kdtree.top_k(df, lambda i: i % 50 == 0, k=5, shard_rows=shard).collect()
+        assert sorted(tuple(r) for r in got) == want
+
+
+@pytest.mark.parametrize("kind, most", [("signs", 1 / 3), ("axes", 0.9)])
+def test_queries_meet_only_shards_that_their_kth_score_reaches(spark, monkeypatch, kind, most):
+    """Medians tell clusters round corners of a cube apart; clusters on the axes they cut in the middle, so most shards stay."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(8) * 10 if kind == "axes" else rng.choice([-10.0, 10.0], (8, 8))
+    x = np.round(centres[rng.integers(0, 8, 1600)] + rng.normal(0, 0.2, (1600, 8)), 2)
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    sizes = {}
+    write = topk_kdtree.written
+
+    def spy(rows, name, **options):
+        back = write(rows, name, **options)
+        sizes[name] = back.count() if name != "parts" else back.agg({"parts": "sum"}).first()[0]
+        return back
+
+    monkeypatch.setattr(topk_kdtree, "written", spy)
+    got = topk_kdtree.top_k(df, lambda i: i % 20 == 0, k=5, shard_rows=50).toPandas()
+    assert got.sort_values(["query_id", "rank"]).values.tolist() == topk_kdtree.brute_force(list(range(1600)), x, lambda n: n % 20 == 0, 5).values.tolist()
+    print(kind, sizes)
+    assert sizes["homes"] == 80 and sizes["asked-shards"] < most * 80 * (sizes["parts"] - 1)
+
+
+def test_cells_hold_every_row_once():
+    rng = np.random.default_rng(9)
+    v = rng.integers(-50, 50, (1000, 3))
+    tree = topk_kdtree.split_cells(v[:200], 8)
+    n = np.bincount(topk_kdtree.cell_of(v, tree), minlength=8)
+    assert n.sum() == 1000 and n.max() < 300
+    assert topk_kdtree.cell_of(v, topk_kdtree.split_cells(v, 1)).tolist() == [0] * 1000
+
+
 def test_few_candidates_give_all(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<float>")
     got = topk_kdtree.top_k(df, lambda i: i % 50 == 0).collect()
@@ -190,6 +237,49 @@ def test_quality_held_out_and_odd_rows(spark):
     assert quality_cnn.score(docs.limit(0), network).collect() == []
 
 
+def test_network_equals_plain_loops(spark):
+    """Convolution, pooling and combination of a text, byte by byte."""
+    net = quality_cnn.Network(filters=5, hidden=3, seed=4)
+    rng = np.random.default_rng(5)
+    net.bias = rng.normal(0, 0.5, 5).astype(np.float32)
+    texts = ["", "short", "".join(chr(c) for c in rng.integers(32, 300, 1200))]
+    scores = []
+    for text in texts:
+        raw, features, at = text.encode(), [], 0
+        while True:
+            piece = raw[at:at + 512].ljust(512, b"\0")
+            features.append([max(0.0, max(sum(float(net.table[j, piece[p + j], f]) for j in range(6)) + float(net.bias[f])
+                                          for p in range(0, 512 - 6 + 1, 2))) for f in range(5)])
+            if at + 512 >= len(raw):
+                break
+            at += 512 - 64
+        pooled = [sum(c) / len(features) for c in zip(*features, strict=True)] + [max(c) for c in zip(*features, strict=True)]
+        hidden = [np.tanh(sum(x * float(w) for x, w in zip(pooled, net.w1[:, h], strict=True)) + float(net.b1[h])) for h in range(3)]
+        scores.append(1 / (1 + np.exp(-(sum(x * float(w) for x, w in zip(hidden, net.w2, strict=True)) + float(net.b2[0])))))
+    got = {r["doc_id"]: r["score"] for r in quality_cnn.score(documents(spark, texts), net).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(scores, abs=1e-4)
+
+
+def test_fit_takes_whole_texts_within_the_bound(spark):
+    texts = ["good words here " * 200, "bad bad bad " * 200, "x" * 90]
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "id long, y int")
+    docs = pick(documents(spark, texts), id="doc_id", text="text")
+    seen = []
+
+    class Spy(quality_cnn.Network):
+        def fit(self, rows, y, weight, **more):
+            seen.extend(len(x) for x in rows)
+            return self
+
+    quality_cnn_network, quality_cnn.Network = quality_cnn.Network, Spy
+    try:
+        quality_cnn.fit(docs, labels)
+        assert seen == [len(quality_cnn.chunk_starts(len(t))) for t in texts]
+        assert quality_cnn.fit(docs, labels, fit_bytes=100).constant == pytest.approx(1 / 3)   # no good text within the bound
+    finally:
+        quality_cnn.Network = quality_cnn_network
+
+
 def test_labels_of_one_class(spark):
     docs = documents(spark, ["text"])
     network = quality_cnn.fit(pick(docs, id="doc_id", text="text"), spark.createDataFrame([(0, 1)], "id long, y int"))
