@@ -56,30 +56,28 @@ SURE = 1e-8
 # ------------------------------------------------------------------ sets
 
 class _Hashes(dict):
-    """Word -> 64-bit hash, remembering a bounded number of words."""
+    """Word -> 64-bit hash, remembering a bounded number of words for the length of a task."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
 
-_HASHES = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(33))) * U64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> U64(33))) * U64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> U64(33))
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
+def shingles(text: str | None, words: int = 5, hashes: _Hashes | None = None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles.  ``bytes.lower`` and ``bytes.split`` are exactly ASCII's."""
+    hashes = _Hashes() if hashes is None else hashes
     parts = text.encode().lower().split() if text else []
     if not parts:
         return np.empty(0, U64)
-    h = np.fromiter(map(_HASHES.__getitem__, parts), U64, len(parts))
+    h = np.fromiter(map(hashes.__getitem__, parts), U64, len(parts))
     n, width = max(1, len(h) - words + 1), min(words, len(h))
     out = np.full(n, width, U64)
     for i in range(width):   # order counts: every step mixes in the next word
@@ -141,14 +139,14 @@ class MinHash:
 
 def _signatures(m: int, rows: int, words: int, id_type: pa.DataType):
     def run(batches):
-        minhash = MinHash(m, rows)
+        minhash, hashes = MinHash(m, rows), _Hashes()
         bands = pa.list_(pa.int64())
         for batch in batches:
             ids = batch.column("id")
             for at in range(0, batch.num_rows, 1024):
                 n, k1, k2, keys, sketch = [], [], [], [], []
                 for text in batch.column("text").slice(at, 1024):
-                    s = shingles(text.as_py(), words)
+                    s = shingles(text.as_py(), words, hashes)
                     n.append(len(s))
                     if len(s):
                         k1.append(int(s.sum().astype(np.int64)))
@@ -171,17 +169,18 @@ def _signatures(m: int, rows: int, words: int, id_type: pa.DataType):
 def _verify(percent: int, words: int):
     def run(batches):
         sets: OrderedDict[str, np.ndarray] = OrderedDict()   # a leader's set serves the rows after it
+        hashes = _Hashes()
 
         def leader(text):
             if text not in sets:
-                sets[text] = shingles(text, words)
+                sets[text] = shingles(text, words, hashes)
                 if len(sets) > 32:
                     sets.popitem(last=False)
             return sets[text]
 
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
-            yes = [similar(leader(b.as_py()), shingles(a.as_py(), words), percent) for a, b in zip(batch.column("x_text"), batch.column("y_text"), strict=True)]
+            yes = [similar(leader(b.as_py()), shingles(a.as_py(), words, hashes), percent) for a, b in zip(batch.column("x_text"), batch.column("y_text"), strict=True)]
             keep = pa.array(yes, pa.bool_())
             yield pa.RecordBatch.from_arrays([x.filter(keep), y.filter(keep)], ["x", "y"])
     return run
@@ -233,10 +232,11 @@ def _buckets(classes: DataFrame, m: int) -> DataFrame:
 def _sampled(words: int):
     """(id, text) -> rep, level, hashes: those of the set's hashes whose ``level`` low bits are 0, ``FULL`` at most."""
     def run(batches):
+        known = _Hashes()
         for batch in batches:
             level, hashes = [], []
             for text in batch.column("text"):
-                s, n = shingles(text.as_py(), words), 0
+                s, n = shingles(text.as_py(), words, known), 0
                 while len(s) > FULL:
                     n += 1
                     s = s[(s & U64((1 << n) - 1)) == 0]
