@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from roomsense.llm import bpe
-from roomsense.llm.common import pick
+from roomsense.llm.common import pick, released
 
 #: Characters needed on both sides of a cut inside a run: longer than any contraction or special token, so that the
 #: cut is inside neither.
@@ -243,11 +243,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     kind = rows.schema["id"].dataType
     name, arrow = kind.simpleString(), to_arrow_type(kind)
     long = F.length("text") > piece_chars
-    short = rows.where(~long).mapInArrow(_encode_whole(path), f"id {name}, ids array<int>, ids_sha256 string")
+    short = rows.where(~long).mapInArrow(released(_encode_whole(path)), f"id {name}, ids array<int>, ids_sha256 string")
     pieces = rows.where(long).withColumn("row", F.monotonically_increasing_id())
     pieces = pieces.mapInArrow(_pieces(piece_chars, arrow), f"id {name}, row long, piece int, before long, after long, text string")
     pieces = pieces.repartition(F.xxhash64("row", "piece"))
-    pieces = pieces.mapInArrow(_encode_pieces(path), f"id {name}, row long, piece int, before long, after long, ids array<int>")
+    pieces = pieces.mapInArrow(released(_encode_pieces(path)), f"id {name}, row long, piece int, before long, after long, ids array<int>")
     joined = pieces.groupBy("row").applyInArrow(_join_pieces(path, arrow), f"id {name}, ids array<int>, ids_sha256 string")
     return short.unionByName(joined).withColumnRenamed("id", id_col)
 
@@ -267,4 +267,4 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", ou
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, out_col])
 
     schema = StructType([encoded.schema[n] for n in names] + [StructField(out_col, StringType())])
-    return encoded.select(*dict.fromkeys([*names, ids_col])).mapInArrow(run, schema)
+    return encoded.select(*dict.fromkeys([*names, ids_col])).mapInArrow(released(run), schema)

@@ -72,6 +72,24 @@ def open_output(uri: str):
     return system.open_output_stream(path, compression=None)   # bytes as they are, whatever the name ends in
 
 
+def released(run):
+    """A function over a task's batches that hands freed memory back when the task ends.
+
+    A Python worker serves one stage after another; what its allocators keep for themselves would count against the executor's
+    memory in all later stages."""
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # the GNU C library's alone
+        if trim is not None:
+            trim(0)
+    return whole
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a DataFrame as Parquet into the shared folder and read it back: lineage is cut, rows survive executors."""
     path, names = new_path(df.sparkSession, name), df.columns

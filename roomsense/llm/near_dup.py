@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomsense.llm.common import pick, written
+from roomsense.llm.common import pick, released, written
 from roomsense.llm.components import components
 
 U64 = np.uint64
@@ -203,7 +203,7 @@ def promising(pairs: DataFrame, sketches: DataFrame, percent: int, minhashes: in
     """The pairs that set sizes and minhashes do not rule out."""
     x, y = (sketches.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in "xy")
     kind = sketches.schema["rep"].dataType.simpleString()
-    return pairs.join(x, "x").join(y, "y").mapInArrow(_promising(percent, least_agreement(percent, minhashes)), f"x {kind}, y {kind}")
+    return pairs.join(x, "x").join(y, "y").mapInArrow(released(_promising(percent, least_agreement(percent, minhashes))), f"x {kind}, y {kind}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int = 5) -> DataFrame:
@@ -211,7 +211,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int = 5) -
     x = texts.select(F.col("id").alias("x"), F.col("text").alias("x_text"))
     y = texts.select(F.col("id").alias("y"), F.col("text").alias("y_text"))
     kind = texts.schema["id"].dataType.simpleString()
-    return pairs.join(x, "x").join(y, "y").mapInArrow(_verify(percent, words), f"x {kind}, y {kind}")
+    return pairs.join(x, "x").join(y, "y").mapInArrow(released(_verify(percent, words)), f"x {kind}, y {kind}")
 
 
 def _buckets(classes: DataFrame, m: int) -> DataFrame:
@@ -367,14 +367,14 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, words: int, m: in
     live = written(rest.join(live.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "open-buckets")
     kind = texts.schema["id"].dataType.simpleString()
     sets = members.join(live.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
-    sets = sets.mapInArrow(_sampled(words), f"rep {kind}, level int, hashes binary").join(sketches.select("rep", "n_shingles"), "rep")
+    sets = sets.mapInArrow(released(_sampled(words)), f"rep {kind}, level int, hashes binary").join(sketches.select("rep", "n_shingles"), "rep")
     sets = written(sets, "sets")
     for turn in range(64):
         rows_ = live.join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         rows_ = rows_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows_ = rows_.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "n_shingles", "level", "hashes")
         rows_ = rows_.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-        joins = written(rows_.mapInArrow(_across(percent, turn), f"x {kind}, y {kind}, sure boolean, key long"), "block-links")
+        joins = written(rows_.mapInArrow(released(_across(percent, turn)), f"x {kind}, y {kind}, sure boolean, key long"), "block-links")
         links = links.unionByName(joins.where("sure").select("x", "y"))
         unsure = joins.where("not sure and x is not null").select("x", "y")
         if not unsure.isEmpty():
@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = pick(docs, id=id_col, text=text_col)
     kind = source.schema["id"].dataType
     m = half_bands(percent, rows, miss)
-    sets = written(source.mapInArrow(_signatures(m, rows, words, to_arrow_type(kind)),
+    sets = written(source.mapInArrow(released(_signatures(m, rows, words, to_arrow_type(kind))),
                                      f"id {kind.simpleString()}, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"), "shingle-sets")
     usable = sets.where("n_shingles > 0 and id is not null")
     # equal sets have equal half-bands, so any member's serve

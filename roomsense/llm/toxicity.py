@@ -37,7 +37,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomsense.llm.common import pick, written
+from roomsense.llm.common import pick, released, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_clean:
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([y] * len(terms), pa.int32())], ["term", "y"])
 
     a, b = F.col("a"), F.col("b")
-    found = (examples.select("y", "text").mapInArrow(appearing, "term string, y int")
+    found = (examples.select("y", "text").mapInArrow(released(appearing), "term string, y int")
              .groupBy("term").agg(F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b")))
     expected = (a + b) * (n1 / (n0 + n1))
     ratio = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(0.0))
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_clean:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *(pa.array([p[i].astype(np.int32) for p in pairs], pa.list_(pa.int32()))
                                                                                        for i in (0, 1))], ["id", "y", "t", "n"])
 
-    rows = examples.select("id", "y", "text").mapInArrow(vectors, f"id {kind}, y int, t array<int>, n array<int>")
+    rows = examples.select("id", "y", "text").mapInArrow(released(vectors), f"id {kind}, y int, t array<int>, n array<int>")
     table = rows.orderBy("id").toArrow()
     shared.destroy()
     weights = tuple(there[y] / sizes[y] if sizes.get(y) else 1.0 for y in (0, 1))
@@ -316,7 +316,7 @@ def _calibrated(examples: DataFrame, index: Index, class_weight: tuple[float, fl
                 votes += [index.vote(near) if x in numbers else index.share for x, near in zip(ids[at:at + 64], found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("y")], ["vote", "y"])
 
-    votes = examples.select("id", "y", "text").mapInArrow(run, "vote double, y int").toArrow().sort_by([("vote", "ascending"), ("y", "ascending")])
+    votes = examples.select("id", "y", "text").mapInArrow(released(run), "vote double, y int").toArrow().sort_by([("vote", "ascending"), ("y", "ascending")])
     shared.destroy()   # one row per example came back
     y = votes["y"].to_numpy()
     return monotone(votes["vote"].to_numpy(), y.astype(float), np.asarray(class_weight)[y])
@@ -342,7 +342,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
                 seen.append([{"example": index.ids[i], "cosine": s, "toxic": int(index.labels[i])} for s, i in near[:evidence]])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array(seen, arrow)], ["id", "score", "evidence"])
 
-    out = rows.mapInArrow(run, StructType([StructField("id", kind), StructField("score", DoubleType()), StructField("evidence", proof)]))
+    out = rows.mapInArrow(released(run), StructType([StructField("id", kind), StructField("score", DoubleType()), StructField("evidence", proof)]))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -359,4 +359,4 @@ def keep(docs: DataFrame, index: Index, below: float, text_col: str = "text") ->
             fine = [p < below for p, _ in index.scores(text.as_py() for text in batch.column(at))]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema).toDF(*names)
+    return rows.mapInArrow(released(run), rows.schema).toDF(*names)
