@@ -69,43 +69,53 @@ def mostly_dup_lines() -> Column:
     return let(_lines(), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))
 
 
-def n_repeat_words() -> Column:
+def n_repeat_words(window_hash: Callable[..., Column] = F.xxhash64) -> Column:
     """Words in a 3-word window that the text holds twice or more.
 
     Windows are hashed to 64 bits.  The low bits of a hash give way to the window's place, the packed numbers are
     sorted, and neighbours with equal hashes are repeats; sorted again by place, each repeat covers the words up to
-    the next.
+    the next.  Where unlike hashes share their high bits, as can happen among millions of windows, their places may
+    interleave; such a text's (hash, place) pairs are sorted whole instead.
     """
     words = F.col("words")
     hashes = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")),
-                                                       lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])))
+                                                       lambda i: window_hash(words[i], words[i + 1], words[i + 2])))
     bits = F.length(F.bin("n_words"))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
-    def repeats(h: Column, mask: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+    def twice(s: Column, same: Callable[[Column, Column], Column], place: Callable[[Column], Column]) -> Column:
+        found = F.transform(s, lambda x, i: F.when(((i > 0) & same(F.get(s, i - 1), x)) | ((i < F.size(s) - 1) & same(F.get(s, i + 1), x)), place(x)))
+        return F.sort_array(F.filter(found, lambda x: x.isNotNull()))
 
-        def places(s: Column) -> Column:
-            def high(x):
-                return x.bitwiseAND(F.bitwise_not(mask))
+    def by_pairs(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return let(pairs, lambda s: twice(s, lambda a, b: a["h"] == b["h"], lambda x: x["i"]))
 
-            def low(x):
-                return x.bitwiseAND(mask).cast("int")
+    def places(h: Column, mask: Column) -> Column:
+        def high(x):
+            return x.bitwiseAND(F.bitwise_not(mask))
 
-            def same(a, b):
-                return (high(a) == high(b)) & (h[low(a)] == h[low(b)])
+        def low(x):
+            return x.bitwiseAND(mask).cast("int")
 
-            twice = F.transform(s, lambda x, i: F.when(((i > 0) & same(F.get(s, i - 1), x)) | ((i < F.size(s) - 1) & same(F.get(s, i + 1), x)), low(x)))
-            return F.sort_array(F.filter(twice, lambda x: x.isNotNull()))
+        def unlike(a, b):
+            return (high(a) == high(b)) & (h[low(a)] != h[low(b)])
 
-        def covered(at: Column) -> Column:
-            return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
-                               lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n"), x.alias("last")),
-                               lambda acc: acc["n"])
+        def alike(a, b):
+            return (high(a) == high(b)) & (h[low(a)] == h[low(b)])
 
-        return let(let(packed, places), covered)
+        def search(s: Column) -> Column:
+            mixed = F.exists(F.transform(s, lambda x, i: (i > 0) & unlike(F.get(s, i - 1), x)), lambda x: x)
+            return F.when(mixed, by_pairs(h)).otherwise(twice(s, alike, low))
 
-    found = let(F.struct(hashes.alias("h"), mask.alias("m")), lambda x: repeats(x["h"], x["m"]))
+        return let(F.sort_array(F.transform(h, lambda x, i: high(x).bitwiseOR(i.cast("long")))), search)
+
+    def covered(at: Column) -> Column:
+        return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
+                           lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3), x - acc["last"])).alias("n"), x.alias("last")),
+                           lambda acc: acc["n"])
+
+    found = let(F.struct(hashes.alias("h"), mask.alias("m")), lambda x: let(places(x["h"], x["m"]), covered))
     return F.coalesce(F.when(F.col("n_words") >= 3, found), F.lit(0)).cast("long")
 
 

@@ -48,6 +48,18 @@ def test_figures_and_verdict_equal_brute_force(spark):
     assert {r["kept"] for r in got.values()} == {True, False}
 
 
+def test_repeats_are_found_where_hashes_share_their_high_bits(spark):
+    # words are digits, a window's hash is its number below 1000: in a text of 1,000 words or more all high bits are alike
+    rng = random.Random(11)
+    rows = [" ".join(rng.choice("0123456789") for _ in range(n)) for n in (1100, 1500, 5000)]
+    rows += [" ".join("0123456789"[(i * i // 7) % 10] for i in range(1200)), "1 2 3 " * 400, "1 2"]
+    number = lambda a, b, c: (a.cast("long") * 100 + b.cast("long") * 10 + c.cast("long"))
+    found = quality_rules.with_words(documents(spark, rows, clash=False)).select(
+        "doc_id", quality_rules.n_repeat_words(number).alias("n"), quality_rules.n_repeat_words().alias("m"))
+    for r in found.collect():
+        assert (r["n"], r["m"]) == (figures(rows[r["doc_id"]])[4],) * 2
+
+
 def test_keep_gives_the_kept_rows_with_their_columns(spark):
     rows = texts()
     docs = documents(spark, rows)
