@@ -52,6 +52,9 @@ REPORTS = {
     "status_by_threshold": ("calcStatus", lambda t, a: th.status_by_threshold(t)),
 }
 
+# reports that read the facts of ``--period`` alone: folders of earlier days are not listed
+BY_PERIOD = ("env_hourly", "compliance")
+
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="python -m roomsense")
@@ -83,11 +86,13 @@ def main(argv: list[str] | None = None) -> int:
 
     from roomsense.sources import sink
     from roomsense.streaming.ingest import IngestJob
-    from roomsense.tables import Tables
+    from roomsense.plans.windows import period_days
+    from roomsense.tables import Tables, window_start
 
     spark = SparkSession.builder.getOrCreate()
     if args.command == "report":
-        df = REPORTS[args.name][1](Tables.from_storage(spark, args.store), args)
+        since = window_start(spark, args.store, period_days(args.period), args.as_of) if args.name in BY_PERIOD else None
+        df = REPORTS[args.name][1](Tables.from_storage(spark, args.store, since), args)
         sink.write_report(df, args.out)
         return 0
     job = IngestJob(spark, args.store, args.kind, initial_days=args.initial_days)

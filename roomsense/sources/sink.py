@@ -14,6 +14,7 @@ registration (the seed first), as an insert-if-absent table would.
 
 from __future__ import annotations
 
+import datetime
 import re
 import tempfile
 import time
@@ -105,16 +106,24 @@ def write_keys(spark: SparkSession, root: str, table: str, batch_id: int, pages,
     prune_folders(spark, path, keep_from=batch_id - 2, from_batch=block * KEY_BLOCK)
 
 
-def key_batches(spark: SparkSession, root: str, table: str, pages: list[int], but: int | None = None) -> list[int]:
-    """Stored batches that may hold an id of one of the pages: those whose keys say so and those without known keys."""
-    stored = set(batch_numbers(spark, table_path(root, table))) - {but}
+def _known_keys(spark: SparkSession, root: str, table: str) -> tuple[set[int], DataFrame | None]:
+    """Numbers of the stored batches, and the keys of those whose writes have told them: one small file a block."""
+    stored = set(batch_numbers(spark, table_path(root, table)))
     path = _keys_path(root, table)
     last: dict[int, int] = {}
     for n in batch_numbers(spark, path, complete=True):
         last[n // KEY_BLOCK] = max(n, last.get(n // KEY_BLOCK, n))
     if not stored or not last:
+        return stored, None
+    return stored, spark.read.schema(KEYS).parquet(*(f"{path}/batch_id={n}" for n in last.values()))
+
+
+def key_batches(spark: SparkSession, root: str, table: str, pages: list[int], but: int | None = None) -> list[int]:
+    """Stored batches that may hold an id of one of the pages: those whose keys say so and those without known keys."""
+    stored, keys = _known_keys(spark, root, table)
+    stored -= {but}
+    if not stored or keys is None:
         return sorted(stored)
-    keys = spark.read.schema(KEYS).parquet(*(f"{path}/batch_id={n}" for n in last.values()))
     wanted = spark.createDataFrame([(p,) for p in pages], "page long")
     hit = keys.where("pages is not null").select("batch_id", F.explode("pages").alias("page")).join(F.broadcast(wanted), "page")   # at most MOST_PAGES
     hit = {r[0] for r in hit.select("batch_id").distinct().collect()}
@@ -122,6 +131,19 @@ def key_batches(spark: SparkSession, root: str, table: str, pages: list[int], bu
     return sorted(n for n in stored if n in hit or n not in known)
 
 
+def day_folders(spark: SparkSession, root: str, table: str, since: datetime.date) -> list[str]:
+    """Folders of a fact that hold days from ``since`` on: those that the batches' keys name, and all of a batch without
+    known keys.  Their number follows the days asked for, however many batches came before."""
+    stored, keys = _known_keys(spark, root, table)
+    path, found, known = table_path(root, table), [], set()
+    if keys is not None:
+        days = F.filter("days", lambda d: d >= F.lit(since))
+        known = {r[0] for r in keys.select("batch_id").collect()}   # one number per stored batch
+        late = keys.select("batch_id", F.explode(days).alias("day")).distinct().orderBy("batch_id", "day")
+        found = [f"{path}/batch_id={r.batch_id}/day={r.day}" for r in late.collect() if r.batch_id in stored]
+    return found + [f"{path}/batch_id={n}" for n in sorted(stored - known)]
+
+
 def write_latest(spark: SparkSession, root: str, table: str, batch_id: int, latest) -> None:
     """the newest reading time after a batch: that of the batches before it or its own."""
     path = f"{root.rstrip('/')}/_latest_{table}"
@@ -164,15 +186,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A stored table with its partition columns; empty (typed) if absent."""
+def read_table(spark: SparkSession, root: str, table: str, since: datetime.date | None = None) -> DataFrame:
+    """A stored table with its partition columns; empty (typed) if absent.  ``since``: only a fact's days from this one
+    on, and only their folders are listed."""
     fact = table in FACT_SCHEMAS
     base = FACT_SCHEMAS.get(table) or DIM_SCHEMAS.get(table)
     schema = _with_partitions(base, fact, source=table in DIM_SCHEMAS)
     path = table_path(root, table)
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    stored = spark.read.schema(schema).option("basePath", path)
+    if since is None or not fact:
+        return stored.parquet(path)
+    folders = day_folders(spark, root, table, since)
+    return stored.parquet(*folders).where(F.col("day") >= F.lit(since)) if folders else spark.createDataFrame([], schema)
 
 
 def batch_numbers(spark: SparkSession, path: str, complete: bool = False) -> list[int]:

@@ -99,18 +99,19 @@ class Tables:
         return Tables(**values, dim_row_bound=self.dim_row_bound)
 
     @classmethod
-    def from_storage(cls, spark: SparkSession, root: str) -> "Tables":
+    def from_storage(cls, spark: SparkSession, root: str, since=None) -> "Tables":
         """Read the layout written by ``roomsense.sources.sink`` and the ingest
         job: facts with ``batch_id`` / ``day`` partitions, dimensions, and the
-        newest recent snapshots when present."""
+        newest recent snapshots when present.  ``since`` (``window_start``): the
+        first day the facts are read from; folders of days before are not listed."""
         from roomsense import schemas
         from roomsense.sources import sink
         from roomsense.sources.codes import THRESHOLD_CODES, upper_codes
         frames = {
             "sectors": sink.current_dimension(sink.read_table(spark, root, "sectors"), "sectors"),
             "sensors": sink.current_dimension(sink.read_table(spark, root, "sensors"), "sensors"),
-            "env": sink.read_table(spark, root, "env_readings"),
-            "occ": sink.read_table(spark, root, "occupancy_readings"),
+            "env": sink.read_table(spark, root, "env_readings", since),
+            "occ": sink.read_table(spark, root, "occupancy_readings", since),
             "thresholds": upper_codes(sink.read_plain(spark, root, "thresholds", schemas.THRESHOLDS),
                                       THRESHOLD_CODES),
             "alerts": sink.read_alerts(spark, root),
@@ -120,3 +121,14 @@ class Tables:
         }
         return cls(**frames)
 
+
+def window_start(spark: SparkSession, root: str, days: int, as_of=None):
+    """First day of a window of ``days`` that ends at the anchor or at ``as_of``, whichever is earlier; None (all days)
+    where the store does not tell its newest reading."""
+    from roomsense.plans import windows
+    from roomsense.sources import sink
+    latest = sink.read_latest(spark, root, "env_readings")
+    if latest is None:
+        return None
+    end = F.least(F.max("latest"), windows.as_of_col(as_of))
+    return latest.select(F.to_date(end - windows.days(days))).first()[0]

@@ -103,3 +103,33 @@ def test_readers_skip_uncommitted_folders(spark, gold, tmp_path):
     assert sink.newest_complete(spark, sink.snapshot_path(root, "env_readings")) == 3
     assert sink.read_snapshot(spark, root, "env_readings").count() == 6
     assert sink.read_snapshot(spark, root, "env_readings", before=3) is None
+
+
+def test_a_window_lists_the_folders_of_its_days(spark, gold, tmp_path):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from roomsense.tables import window_start
+    root = str(tmp_path / "days")
+    sink.seed_store(root, gold.sectors, gold.sensors)
+    last = gold.env.select(F.max("ts")).first()[0].date()
+    for n in range(6):   # batch n lies 5 - n times 3 days before the newest readings, the last is the golden one
+        for facts, table in ((gold.env, "env_readings"), (gold.occ, "occupancy_readings")):
+            sink.write_batch(facts.withColumn("id", F.col("id") + 1000 * n).withColumn("ts", F.col("ts") - F.make_dt_interval(F.lit(3 * (5 - n)))),
+                             root, table, n)
+    gold.thresholds.write.parquet(f"{root}/thresholds")
+    since = window_start(spark, root, 1, as_of=AS_OF)
+    assert since == last - dt.timedelta(days=1)
+    whole, day = Tables.from_storage(spark, root), Tables.from_storage(spark, root, since)
+    folders = {os.path.dirname(f).split("/env_readings/")[1] for f in day.env.inputFiles()}
+    assert folders == {f"batch_id=5/day={d}" for d in {r[0] for r in gold.env.select(F.to_date("ts")).collect()} if d >= since}
+    # neither do more batches of days long gone add a folder, nor does a report change
+    before = len(sink.day_folders(spark, root, "env_readings", since))
+    sink.write_batch(gold.env.withColumn("id", F.col("id") + 9000).withColumn("ts", F.col("ts") - F.make_dt_interval(F.lit(400))), root, "env_readings", 6)
+    assert len(sink.day_folders(spark, root, "env_readings", since)) == before
+    _same(en.env_hourly(day, "24h", as_of=AS_OF), en.env_hourly(whole, "24h", as_of=AS_OF))
+    # a batch without known keys is read whole, its older days fall to the filter
+    gold.env.withColumn("id", F.col("id") + 50_000).withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{root}/env_readings/batch_id=7")
+    again = sink.read_table(spark, root, "env_readings", since)
+    assert again.where("id >= 50000").count() == gold.env.where(F.to_date("ts") >= F.lit(since)).count()
+    assert sink.read_table(spark, root, "env_readings", dt.date(2100, 1, 1)).count() == 0
+    assert window_start(spark, str(tmp_path / "none"), 1, as_of=AS_OF) is None
