@@ -41,7 +41,7 @@ REPORTS = {
     "occupancy_events": ("GET /api/sensores/eventos", lambda t, a: oc.occupancy_events(t, a.sector_id)),
     "compliance": ("GET /api/tendencia/compliance", lambda t, a: co.compliance(t, a.period, as_of=a.as_of)),
     "latest_status": ("SQL 5.1 status per sensor", lambda t, a: en.latest_status(t)),
-    "co2_people_by_minute": ("SQL 5.5 CO2 x people", lambda t, a: oc.co2_people_by_minute(t, a.sector_id)),
+    "co2_people_by_minute": ("SQL 5.5 CO2 x people", lambda t, a: oc.co2_people_by_minute(t, a.sector_id, a.start, a.end)),
     "alert_kpis_all_time": ("SQL 5.7 KPIs", lambda t, a: al.alert_kpis(t, window_days=None)),
     "orphan_sensors": ("SQL test A", lambda t, a: qa.orphan_sensors(t)),
     "avg_co2_by_type": ("SQL test B", lambda t, a: en.avg_co2_by_type(t)),
@@ -50,6 +50,10 @@ REPORTS = {
     "dq_report": ("schema constraints", lambda t, a: qa.dq_report(t)),
     "threshold_lookup": ("getLimiar", lambda t, a: th.threshold_lookup(t)),
     "status_by_threshold": ("calcStatus", lambda t, a: th.status_by_threshold(t)),
+    "env_current": ("GET /api/graficos/ambiental (current)", lambda t, a: en.env_current(t, a.period, as_of=a.as_of)),
+    "co2_humidity_points": ("CO2 x humidity points", lambda t, a: en.co2_humidity_points(t, a.period, as_of=a.as_of)),
+    "table_counts": ("SQL counts per table", lambda t, a: qa.table_counts(t)),
+    "alerts_from_thresholds": ("alerts raised by limits", lambda t, a: th.alerts_from_thresholds(t)),
 }
 
 # reports that read the facts of ``--period`` alone: folders of earlier days are not listed
@@ -68,6 +72,8 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("--sector-id", dest="sector_id", type=int, default=None)
     r.add_argument("--sensor-id", dest="sensor_id", type=int, default=None)
     r.add_argument("--around", default=None)
+    r.add_argument("--start", default=None, help="'YYYY-MM-DD HH:MM:SS', first time of co2_people_by_minute")
+    r.add_argument("--end", default=None, help="'YYYY-MM-DD HH:MM:SS', last time of co2_people_by_minute")
     r.add_argument("--severity", default=None)
     r.add_argument("--status", default=None)
     i = sub.add_parser("ingest", help="run the ingest of one feed")

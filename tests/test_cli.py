@@ -37,6 +37,16 @@ def test_every_report_name_runs(spark, gold, tmp_path):
                      "--around", "2026-01-15 05:20:00"]) == 0, name
 
 
+def test_minutes_of_a_time_range(spark, gold, tmp_path):
+    from roomsense.operators import occupancy as oc
+    root, out = str(tmp_path / "store"), str(tmp_path / "minutes")
+    _store(gold, root)
+    whole = oc.co2_people_by_minute(gold).collect()
+    minute = str(min(r["minute"] for r in whole))[:16]
+    assert main(["report", "co2_people_by_minute", "--store", root, "--out", out, "--start", f"{minute}:00", "--end", f"{minute}:59"]) == 0
+    assert spark.read.json(out).count() == sum(str(r["minute"])[:16] == minute for r in whole) > 0
+
+
 def test_ingest_once(spark, gold, tmp_path):
     root = str(tmp_path / "store")
     sink.seed_store(root, gold.sectors, gold.sensors)
