@@ -18,9 +18,10 @@ The work, as Spark jobs:
 4. in each bucket the members are compared with a leader (the one that shares most half-bands) on their full sets, which
    joins a group of copies by a star instead of by all its pairs;
 5. where a bucket's members are not yet in one component, blocks of ``BLOCK`` members are compared at once as a product of
-   0/1 matrices over their shingles.  Only what joins two components leaves a block, so the rows stay in proportion to the
-   members.  Sets of more than ``FULL`` shingles enter as samples by hash.  Of the partners that samples do not rule out, a
-   member names its likeliest one; these pairs are compared on their full sets, and members that are joined drop out.
+   0/1 matrices over their shingles; members of one team (neighbouring components) are compared once, not in each bucket.
+   Only what joins two components leaves a block, so the rows stay in proportion to the members.  Sets of more than
+   ``FULL`` shingles enter as samples by hash.  Of the partners that samples do not rule out, a member names its likeliest
+   one; these pairs are compared on their full sets, and members that are joined drop out.
    Members still apart name their next two partners, then the next four, until none is left, so linked members are joined
    by a few turns and a pair is left out only between members already joined;
 6. components of the links by alternating stars.
@@ -215,7 +216,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int = 5) -
 
 
 def _buckets(classes: DataFrame, m: int) -> DataFrame:
-    """Buckets of two or more classes: key, rep, score.  Buckets of equal members are given once."""
+    """Buckets of two or more classes: key, rep, lead (the member that shares most half-bands).  Buckets of equal members are given once."""
     half = classes.select("rep", F.posexplode("bands").alias("at", "half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
     half = written(half.join(shared, "half").select("rep", (F.col("at") < m).alias("first"), "half", "n"), "half-bands")
@@ -224,9 +225,46 @@ def _buckets(classes: DataFrame, m: int) -> DataFrame:
     b = half.where("not first").select("rep", F.col("half").alias("b")).join(score, "rep")
     full = written(a.join(b, "rep").select(F.xxhash64("a", "b").alias("key"), "rep", "score"), "keys")
     who = F.xxhash64("rep").cast("decimal(38,0)")
-    groups = full.groupBy("key").agg(F.count("*").alias("n"), F.sum(who).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("f2")).where("n > 1")
-    once = groups.groupBy("n", "f1", "f2").agg(F.min("key").alias("key")).select("key")
-    return written(full.join(once, "key"), "buckets")
+    groups = full.groupBy("key").agg(F.count("*").alias("n"), F.sum(who).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("f2"),
+                                     F.max(F.struct("score", "rep"))["rep"].alias("lead")).where("n > 1")
+    once = groups.groupBy("n", "f1", "f2").agg(F.min("key").alias("key"), F.min("lead").alias("lead")).select("key", "lead")   # equal members, equal leader
+    return written(full.join(once, "key").select("key", "rep", "lead"), "buckets")
+
+
+def _teams(stars: DataFrame, marks: DataFrame) -> DataFrame:
+    """(node, component) of all members -> node, component, team: that of the component's neighbour of most members, or its own.
+
+    Components are neighbours where a star has an end in each.  A large group of near copies and the members that no link joins
+    to it make one team, so what buckets hold of them alone can be compared at once.
+    """
+    sizes = written(marks.groupBy("component").agg(F.count("*").alias("size")), "component-sizes")
+    x, y = (marks.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "xy")
+    ends = written(stars.join(x, "x").join(y, "y").where("cx <> cy").select("cx", "cy").distinct(), "neighbours")
+    ends = ends.unionByName(ends.select(F.col("cy").alias("cx"), F.col("cx").alias("cy")))
+    ends = ends.join(sizes, F.col("cy") == F.col("component")).select("cx", "cy", "size")
+    ends = ends.unionByName(sizes.select(F.col("component").alias("cx"), F.col("component").alias("cy"), "size"))
+    chosen = ends.groupBy("cx").agg(F.max(F.struct("size", "cy"))["cy"].alias("team"))
+    return marks.join(chosen, F.col("component") == F.col("cx")).select("node", "component", "team")
+
+
+def _open(buckets: DataFrame, teams: DataFrame) -> DataFrame:
+    """What is still to be compared, as key, rep, component, blocks: buckets whose members are of several components.
+
+    A bucket within one team is left to its team, all of whose members are then compared once instead of in each of its buckets,
+    if that takes fewer rows than those buckets do.
+    """
+    rest = written(buckets.select("key", "rep").join(teams, F.col("rep") == F.col("node")).drop("node"), "bucket-components")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    apart = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("team").alias("t1"), F.max("team").alias("t2"),
+                                    F.count("*").alias("n")).where("c1 <> c2 and n > 2")   # of two members one was the leader
+    apart = written(apart.select("key", "t1", "t2", "n", blocks.alias("blocks")), "open-keys")
+    saved = apart.where("t1 = t2").groupBy(F.col("t1").alias("of")).agg(F.sum(F.col("n") * F.col("blocks")).alias("saved"))
+    whole = teams.groupBy("team").agg(F.count("*").alias("n")).join(saved, F.col("team") == F.col("of"))
+    whole = written(whole.where(F.col("n") * blocks <= F.col("saved")).select("of", blocks.alias("blocks")), "whole-teams")
+    single = apart.join(whole.select("of"), (F.col("t1") == F.col("of")) & (F.col("t1") == F.col("t2")), "left_anti")
+    rows = rest.join(single.select("key", "blocks"), "key").select("key", "rep", "component", "blocks")
+    at_once = teams.join(whole, F.col("team") == F.col("of")).select(F.xxhash64("team", F.lit("team")).alias("key"), F.col("node").alias("rep"), "component", "blocks")
+    return written(rows.unionByName(at_once), "open-buckets")
 
 
 def _sampled(words: int):
@@ -352,19 +390,10 @@ def _links(classes: DataFrame, texts: DataFrame, percent: int, words: int, m: in
     # the one shuffle of all texts, asked for by name so that every input size is planned alike
     members = written(texts.join(reps.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "member-texts")
 
-    lead = buckets.groupBy("key").agg(F.max(F.struct("score", "rep"))["rep"].alias("y"))
-    stars = written(buckets.join(lead, "key").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct(), "stars")
+    stars = written(buckets.where("rep <> lead").select(F.col("rep").alias("x"), F.col("lead").alias("y")).distinct(), "stars")
     links = written(verified(promising(stars, sketches, percent, 2 * m * rows), members, percent, words), "star-links")
-    # two hops along the stars are enough to tell most members as joined; equal marks are always in one component
-    hop = links.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("component"))
-    over = hop.select(F.col("node").alias("component"), F.col("component").alias("further"))
-    hops = written(hop.join(over, "component", "left").select("node", F.least("component", "further").alias("component")), "hops")
-    rest = buckets.select("key", "rep").join(hops, F.col("rep") == F.col("node"), "left")
-    rest = rest.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    rest = written(rest, "bucket-components")
-    live = (rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n"))
-            .where("c1 <> c2 and n > 2"))   # of two members one was the leader
-    live = written(rest.join(live.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key"), "open-buckets")
+    marks = written(reps.join(components(links), F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component")), "marks")
+    live = _open(buckets, written(_teams(stars, marks), "teams"))
     kind = texts.schema["id"].dataType.simpleString()
     sets = members.join(live.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
     sets = sets.mapInArrow(released(_sampled(words)), f"rep {kind}, level int, hashes binary").join(sketches.select("rep", "n_shingles"), "rep")

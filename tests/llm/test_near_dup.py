@@ -57,6 +57,32 @@ def test_large_group_of_unlike_members_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == roots
 
 
+@pytest.mark.parametrize("copies_", [120, 240])
+def test_a_large_group_enters_the_blocks_once(spark, monkeypatch, copies_):
+    """Near copies, some linked with none of the others: rows to be compared stay in proportion to the members, not to their buckets."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(130)]
+    texts = []
+    for n in range(copies_):
+        text = list(base)
+        for at in rng.sample(range(130), 5 if n % 10 == 0 else rng.randint(1, 2)):
+            text[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
+    made = {}
+    plain = near_dup.written
+
+    def counted(df, name, **options):
+        out = plain(df, name, **options)
+        made.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    _, roots = brute(texts, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(documents(spark, texts), percent=85).collect()}
+    assert [got[i] for i in range(len(texts))] == roots and len(set(roots)) > 2
+    assert 0 < made["open-buckets"] <= 2 * len(texts)
+
+
 def test_long_sets_are_sampled_then_confirmed(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "FULL", 32)
     texts = copies(seed=9, groups=4)
